@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, token_counts
+from . import bpe, exact_dedup, minhash, mixing, sharding, token_counts, toxicity
 from .common import documents
 
 
@@ -35,6 +35,33 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_hyperminhash_near_dedup, op5_bpe)}
+def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
-SQL: dict[str, str] = {}
+
+def op6_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    hashes = docs.select("doc_id", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
+    return exact_dedup.exact_duplicates(docs).join(hashes, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op8_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _, takes = mixing.mix(documents(spark, sf_dir))
+    taken = takes.groupBy("doc_id").agg(F.sum("n_words").alias("taken"))
+    return docs.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(documents(spark, sf_dir), 16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_hyperminhash_near_dedup, op4_kneser_ney_toxicity, op5_bpe, op6_progressive_exact_dedup, op8_low_discrepancy_mix, op10_histogram_sort)}
+
+SQL: dict[str, str] = {
+    "op6_progressive_exact_dedup": """
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS x FROM documents)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
+               doc_id = min(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
+        FROM t""",
+}
