@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, mixing, sharding, token_counts, toxicity
+from . import bpe, exact_dedup, minhash, mixing, quality, sharding, suffix_dedup, token_counts, toxicity
 from .common import documents
 
 
@@ -45,18 +45,28 @@ def op6_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(docs).join(hashes, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.line_quality(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
+
+
 def op8_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _, takes = mixing.mix(documents(spark, sf_dir))
     taken = takes.groupBy("doc_id").agg(F.sum("n_words").alias("taken"))
     return docs.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def op9_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_dedup.remove_repeats(documents(spark, sf_dir), 200)
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(documents(spark, sf_dir), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_hyperminhash_near_dedup, op4_kneser_ney_toxicity, op5_bpe, op6_progressive_exact_dedup, op8_low_discrepancy_mix, op10_histogram_sort)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_hyperminhash_near_dedup, op4_kneser_ney_toxicity, op5_bpe, op6_progressive_exact_dedup, op7_line_frequency_quality, op8_low_discrepancy_mix, op9_prefix_free_dedup, op10_histogram_sort)}
 
 SQL: dict[str, str] = {
     "op6_progressive_exact_dedup": """
