@@ -73,7 +73,7 @@ def _numbered(df: DataFrame, group: list[str], rough: str, order: list[str], amo
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, schedule, takes).
 
-    documents: (id, source, size, source_size, target); takes: (slot, source, id, first_word, n_words), the mix in the
+    documents: (id, source, size, source_size, target); takes: (slot, source, id, pass, first_word, n_words), the mix in the
     order of its slots. schedule: (slot, source, rank). A source's words, its documents in an order shuffled by hash,
     form blocks of `block` words; after the last the source starts again, at most `repeats` times in all. Slot i has the
     golden-ratio point i, mapped through the targets' cumulative shares to a source; it takes the source's block of
@@ -102,9 +102,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     touched = passes.withColumn("rank", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
     low = F.greatest(F.col("begin"), F.col("rank") * block)
     high = F.least(F.col("begin") + F.col("size"), (F.col("rank") + 1) * block)
-    shares = touched.select("id", "source", "rank", (low - F.col("begin")).alias("first_word"), (high - low).alias("n_words"))
+    shares = touched.select("id", "source", "pass", "rank", (low - F.col("begin")).alias("first_word"), (high - low).alias("n_words"))
     used = schedule.select(F.col("source").alias("_s"), F.col("rank").alias("_r"), "slot")
-    takes = shares.join(used, F.col("source").eqNullSafe(F.col("_s")) & (F.col("rank") == F.col("_r"))).select("slot", "source", "id", "first_word", "n_words")
+    takes = shares.join(used, F.col("source").eqNullSafe(F.col("_s")) & (F.col("rank") == F.col("_r"))).select("slot", "source", "id", "pass", "first_word", "n_words")
 
     described = docs.join(goals.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s")), "left")
     named = lambda frame: frame.withColumnRenamed("id", id_col)

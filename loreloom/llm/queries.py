@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, mixing, quality, sharding, suffix_dedup, token_counts, toxicity
+from . import bpe, exact_dedup, minhash, mixing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
 from .common import documents
 
+#: Key of the surrogates of the registered query; who runs the operator gives their own.
+SURROGATE_KEY = b"the registered query's key"
+
 
 def vocabulary_path() -> str:
     import public_tokenizers
@@ -20,6 +23,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(documents(spark, sf_dir), SURROGATE_KEY)
+    return made.select("doc_id", F.size("spans").cast("long").alias("n_entities"), "text", F.to_json("spans").alias("spans"))
+
+
 def op3_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -66,7 +74,7 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_hyperminhash_near_dedup, op4_kneser_ney_toxicity, op5_bpe, op6_progressive_exact_dedup, op7_line_frequency_quality, op8_low_discrepancy_mix, op9_prefix_free_dedup, op10_histogram_sort)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii_surrogates, op3_hyperminhash_near_dedup, op4_kneser_ney_toxicity, op5_bpe, op6_progressive_exact_dedup, op7_line_frequency_quality, op8_low_discrepancy_mix, op9_prefix_free_dedup, op10_histogram_sort)}
 
 SQL: dict[str, str] = {
     "op6_progressive_exact_dedup": """
