@@ -23,6 +23,9 @@ from .common import RollingHash, chunks, codes, combine, cut, map_texts, ranges,
 #: Bytes that the rolling hash covers, and places of a window that its trigger is chosen from: a power of 2.
 TRIGGER, PLACES = 16, 128
 
+#: A key with more different phrases is not left to one task: its windows are dealt out by their hashes.
+LOCAL = 200_000
+
 
 def phrases(df: DataFrame, length: int) -> DataFrame:
     """(key, phrase, id, place) for each phrase of (id, text): place holds the first window's start and two more bytes,
@@ -57,33 +60,93 @@ def phrases(df: DataFrame, length: int) -> DataFrame:
     return map_texts(df.select("id", "text"), run, f"key long, phrase long, id {kind}, place long")
 
 
-def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """(window, id, start, single) for each window of the phrases of (id, text, phrases)."""
+def _spans(texts: DataFrame, length: int) -> DataFrame:
+    """(key, id, start, single, wide, span): the bytes of each phrase of (id, text, phrases)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         lists = batch.column(2)
         counts = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten()
-        place, single = flat.field("place").to_numpy(), flat.field("single").to_numpy(zero_copy_only=False)
+        place = flat.field("place").to_numpy()
         begins = np.cumsum(counts) - counts
         data, offsets = text_bytes(batch.column(1))
         for a, b in chunks(offsets):
-            own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            take = slice(begins[a], begins[b - 1] + counts[b - 1])
+            own, first = data[offsets[a] : offsets[b]], begins[a]
+            many = int(begins[b - 1] + counts[b - 1] - first)
             row = np.repeat(np.arange(b - a), counts[a:b])
-            n = (place[take] >> 8 & 0xFF) + 1
-            start = ranges(place[take] >> 16, n)
-            row, alone = np.repeat(row, n), np.repeat(single[take], n)
-            window = RollingHash(own, codes()).ranges(at[row] + start, at[row] + start + length)
-            yield pa.record_batch([pa.array(window.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(start), pa.array(alone)], ["window", "id", "start", "single"])
+            start, n = place[first : first + many] >> 16, (place[first : first + many] >> 8 & 0xFF) + length
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            span = pa.Array.from_buffers(pa.binary(), many, [None, pa.py_buffer(ends), pa.py_buffer(own[ranges(offsets[a:b][row] - offsets[a] + start, n)])])
+            some = flat.slice(int(first), many)
+            yield pa.record_batch([some.field("key"), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(start), some.field("single"), some.field("wide"), span], ["key", "id", "start", "single", "wide", "span"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return map_texts(texts.select("id", "text", "phrases"), run, f"window long, id {kind}, start long, single boolean")
+    return map_texts(texts.select("id", "text", "phrases"), run, f"key long, id {kind}, start long, single boolean, wide boolean, span binary")
+
+
+def _suffixes(spans: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each suffix of the spans, cut to `length` bytes, with its span and its place in it."""
+    data, at = text_bytes(spans)
+    n = np.diff(at) - length + 1
+    start = ranges(at[:-1], n)
+    row = np.repeat(np.arange(len(n)), n)
+    return RollingHash(data, codes()).ranges(start, start + length), row, start - at[row]
+
+
+def _equal_neighbours(spans: DataFrame, length: int) -> DataFrame:
+    """(id, low, high): window starts of the single phrases that another phrase of the same key has too.
+
+    Equal windows have equal keys, so each task orders the suffixes of its own keys and compares neighbours.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = held["key"].to_numpy()
+            done = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if done:
+                yield compare(held.slice(0, done))
+                held = held.slice(done)
+        if held is not None:
+            yield compare(held)
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        window, row, place = _suffixes(table["span"], length)
+        order = np.argsort(window, kind="stable")
+        same = window[order][1:] == window[order][:-1]
+        twice = np.zeros(len(window), bool)
+        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        twice &= table["single"].to_numpy()[row]
+        row, start = row[twice], table["start"].to_numpy()[row[twice]] + place[twice]
+        first, n = run_lengths(row * (1 << 40) + start - np.arange(len(start)))
+        low = start[first]
+        return pa.record_batch([table["id"].combine_chunks().take(pa.array(row[first])), pa.array(low), pa.array(low + n - 1)], ["id", "low", "high"])
+
+    kind = spans.schema["id"].dataType.simpleString()
+    dealt = spans.select("key", "id", "start", "single", "span").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, f"id {kind}, low long, high long")
+
+
+def _equal_anywhere(spans: DataFrame, length: int) -> DataFrame:
+    """The same for keys of very many phrases: the suffixes themselves are dealt out."""
 
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(batch), 5000):
+            part = batch.slice(a, 5000)
+            window, row, place = _suffixes(part.column(3), length)
+            yield pa.record_batch([pa.array(window.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(part.column(1).to_numpy()[row] + place), part.column(2).take(pa.array(row))], ["window", "id", "start", "single"])
 
-def repeated_spans(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans): for each text with repeated strings, the starts and ends in bytes of the windows of `length` bytes
-    that also start elsewhere, in this text or another; ranges of neighbouring starts are joined."""
+    kind = spans.schema["id"].dataType.simpleString()
+    windows = map_texts(spans.select("id", "start", "single", "span"), run, f"window long, id {kind}, start long, single boolean")
+    twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
+    return windows.filter("single").join(twice, "window", "left_semi").select("id", F.col("start").alias("low"), F.col("start").alias("high"))
+
+
+def repeated_spans(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", local: int = LOCAL) -> DataFrame:
+    """(id, starts): for each text with repeated strings, ranges of the starts, in bytes, of the windows of `length`
+    bytes that also start elsewhere, in this text or another."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     long = docs.filter(F.octet_length("text") >= length)
     parsed = phrases(long, length)
@@ -91,18 +154,16 @@ def repeated_spans(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     shared = cut(parsed.join(keys, "key", "left_semi"))
 
     dictionary = shared.groupBy("key", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first"))
-    mixed = dictionary.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key")
-    dictionary = cut(dictionary.join(mixed.withColumn("mixed", F.lit(True)), "key", "left"))
+    mixed = dictionary.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    dictionary = cut(dictionary.join(mixed, "key", "left"))
     whole = shared.join(dictionary.filter("n > 1").select("key", "phrase"), ["key", "phrase"], "left_semi")
     whole = whole.select("id", F.shiftright("place", 16).alias("low"), (F.shiftright("place", 16) + F.shiftright("place", 8).bitwiseAND(0xFF)).alias("high"))
 
-    apart = dictionary.filter("mixed").select("first.id", F.struct(F.col("first.place").alias("place"), (F.col("n") == 1).alias("single")).alias("p"))
-    apart = apart.groupBy("id").agg(F.collect_list("p").alias("phrases"))  # as many as the text has triggers
-    windows = cut(_windows(long.join(apart, "id"), length))
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    some = windows.filter("single").join(twice, "window", "left_semi").select("id", F.col("start").alias("low"), F.col("start").alias("high"))
-    found = whole.union(some).groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("starts"))
-    return found
+    apart = dictionary.filter("kinds > 1").select(F.col("first.id").alias("own_id"), F.struct("key", F.col("first.place").alias("place"), (F.col("n") == 1).alias("single"), (F.col("kinds") > local).alias("wide")).alias("p"))
+    apart = apart.groupBy("own_id").agg(F.collect_list("p").alias("phrases"))  # as many as the text has triggers
+    spans = cut(_spans(long.join(apart, F.col("id") == F.col("own_id")), length))
+    found = whole.union(_equal_neighbours(spans.filter("not wide"), length)).union(_equal_anywhere(spans.filter("wide"), length))
+    return found.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("starts"))
 
 
 def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
