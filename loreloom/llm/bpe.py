@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from . import pretokens
 from .common import ranges
 
-#: Distinct pieces that a task remembers from one batch to the next.
-REMEMBERED = 600_000
+#: Distinct pieces that a task remembers; beyond, it starts afresh.
+REMEMBERED = 400_000
 
-#: Documents are encoded this many at a time within an Arrow batch when their pieces are turned to ids.
-ROWS = 512
+#: Documents that are encoded at a time, and those whose ids are put together at a time.
+SLICE, ROWS = 2048, 512
 
 
 class Merges:
@@ -31,21 +31,21 @@ class Merges:
             model = json.load(f)["model"]
         vocab = model["vocab"]
         self.letters = byte_letters()
-        self.of_byte = np.array([vocab[c] for c in self.letters], np.int64)
+        self.of_byte = np.array([vocab[c] for c in self.letters], np.int32)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
-        self.becomes = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.becomes = np.array([vocab[a + b] for a, b in pairs], np.int32)
         keys = left << 32 | right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of symbols; the number of merges where there is none."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, self.ranks[at], len(self.ranks))
+        return np.where(self.keys[at] == keys, self.ranks[at], np.int32(len(self.ranks)))
 
 
 @lru_cache(2)
@@ -86,15 +86,15 @@ def encode_words(words: list[str], rules: Merges) -> tuple[np.ndarray, np.ndarra
     sizes = np.array([len(x) for x in raw], np.int64)
     symbols = rules.of_byte[np.frombuffer(b"".join(raw), np.uint8)]
     n, none = len(symbols), len(rules.ranks)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     edges = np.cumsum(sizes)
     filled = sizes > 0
     after[edges[filled] - 1] = -1
     before[(edges - sizes)[filled]] = -1
-    rank = np.full(n, none)
+    rank = np.full(n, none, np.int32)
     at = np.flatnonzero(after >= 0)
     rank[at] = rules.rank(symbols[at], symbols[at + 1])
-    alive = np.ones(n, bool)
+    alive, merged = np.ones(n, bool), np.zeros(n, bool)
 
     places: dict[int, list[np.ndarray]] = {}
     active: list[int] = []
@@ -119,10 +119,12 @@ def encode_words(words: list[str], rules: Merges) -> tuple[np.ndarray, np.ndarra
     while active:
         r = heapq.heappop(active)
         lists = places.pop(r)
-        where = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
-        where = where[alive[where] & (rank[where] == r)]
+        where = lists[0] if len(lists) == 1 else np.concatenate(lists)
+        where = np.sort(where[alive[where] & (rank[where] == r)])
         if not len(where):
             continue
+        if len(lists) > 1:  # a place may have had this rank before
+            where = where[np.concatenate([[True], where[1:] != where[:-1]])]
         nxt = after[where]
         # of pairs that share a symbol, as in "aaa", the left one is merged: every other one of a chain of neighbours
         touching = np.concatenate([[False], nxt[:-1] == where[1:]])
@@ -137,10 +139,13 @@ def encode_words(words: list[str], rules: Merges) -> tuple[np.ndarray, np.ndarra
         after[where] = beyond
         before[beyond[beyond >= 0]] = where[beyond >= 0]
         prior = before[where]
-        changed = np.concatenate([where[beyond >= 0], prior[prior >= 0]])
+        prior = prior[prior >= 0]
+        merged[where] = True
+        changed = np.concatenate([where[beyond >= 0], prior[~merged[prior]]])
+        merged[where] = False
         rank[where] = none
         rank[changed] = rules.rank(symbols[changed], symbols[after[changed]])
-        add(np.unique(changed))
+        add(changed)
     owner = np.repeat(np.arange(len(words)), sizes)[alive]
     return symbols[alive], np.bincount(owner, minlength=len(words))
 
@@ -207,20 +212,22 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Memory(path)
         for batch in batches:
-            if len(memory.index) > REMEMBERED:
-                memory.clear()
-            look = memory.index.__getitem__
-            found = [np.array([*map(look, pretokens.pieces(text.as_py(), path))], np.int32) for text in batch.column(place)]
-            memory.learn()
-            for start in range(0, max(1, len(batch)), ROWS):
-                part, own = batch.slice(start, ROWS), found[start : start + ROWS]
-                of = np.concatenate([*own, np.zeros(0, np.int32)])
-                counts = [len(x) for x in own]
-                sizes = memory.sizes[of]
-                ids = memory.ids[ranges(memory.starts[of], sizes)]
-                ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*kept, ids_col])
+            for start in range(0, max(1, len(batch)), SLICE):
+                if len(memory.index) > REMEMBERED:
+                    memory.clear()
+                look, part = memory.index.__getitem__, batch.slice(start, SLICE)
+                found = [np.array([*map(look, pretokens.pieces(text.as_py(), path))], np.int32) for text in part.column(place)]
+                memory.learn()
+                for first in range(0, max(1, len(part)), ROWS):
+                    yield lists(memory, part.slice(first, ROWS), found[first : first + ROWS])
+
+    def lists(memory: _Memory, rows: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
+        of = np.concatenate([*found, np.zeros(0, np.int32)])
+        sizes = memory.sizes[of]
+        ids = memory.ids[ranges(memory.starts[of], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)]
+        made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+        return pa.RecordBatch.from_arrays([*rows.columns, made], [*kept, ids_col])
 
     return source.mapInArrow(run, schema)
 

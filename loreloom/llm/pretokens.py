@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 import re
+import unicodedata
 
 from tokenizers import Tokenizer
 
@@ -32,8 +33,20 @@ def _specials(path: str) -> re.Pattern | None:
     return re.compile("(" + "|".join(map(re.escape, found)) + ")") if found else None
 
 
+def _class(first: str) -> str:
+    """The characters below U+0250 of a general category, as the inside of a character class."""
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == first)
+
+
+#: The tokenizer's pattern for texts of characters below U+0250, whose categories no Unicode version has changed.
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_class('L')}]+| ?[{_class('N')}]+| ?[^{_WS}{_class('L')}{_class('N')}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_ONLY_LATIN = re.compile("[\x00-\u024f]*").fullmatch
+
+
 def split(piece: str, path: str) -> list[str]:
     """The tokenizer's own pre-tokens of a piece."""
+    if _ONLY_LATIN(piece):
+        return _LATIN.findall(piece)
     cut = load(path).pre_tokenizer.pre_tokenize_str(piece)
     return [piece[a:b] for _, (a, b) in cut]
 
