@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ LANGUAGE_LETTERS = {"en": None, "de": "[äöüß]", "fr": "[àâæçéèêëîï
 CHARS_PER_TOKEN = 4
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use has it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -123,12 +130,14 @@ def embed_text(kind: str, first: Column, *others: Column) -> Column:
 
 def name_key(name: Column) -> Column:
     """The key under which names are the same: folded, without possessives, punctuation, a leading "the" and plurals."""
-    folded = collapse(F.lower(name))
+    return let(collapse(F.lower(name)), _key)
+
+
+def _key(folded: Column) -> Column:
     clean = F.regexp_replace(folded, r"['’]s(?= |$)", "")
     words = F.split(collapse(F.regexp_replace(clean, r"[^\p{IsAlphabetic}\p{N}\s]", " ")), " ")
-    words = F.when((F.element_at(words, 1) == "the") & (F.size(words) > 1), F.slice(words, 2, 1 << 30)).otherwise(words)
-    key = F.array_join(F.transform(words, _singular), " ")
-    return F.when(key == "", folded).otherwise(key)
+    named = let(words, lambda w: F.when((F.element_at(w, 1) == "the") & (F.size(w) > 1), F.slice(w, 2, 1 << 30)).otherwise(w))
+    return let(F.array_join(F.transform(named, _singular), " "), lambda key: F.when(key == "", folded).otherwise(key))
 
 
 def _singular(word: Column) -> Column:

@@ -93,7 +93,9 @@ def resolve_links(links: DataFrame, visible: DataFrame, scope: str = "campaign_i
     link of a scope is looked up once.
     """
     asked = links.select(scope, "link").distinct()
-    forms = F.array(F.struct(F.lit(1).alias("tier"), F.lower(T.strip(F.col("link"))).alias("form")), F.struct(F.lit(2), F.lower(T.strip(F.col("link")))), F.struct(F.lit(3), T.name_key(F.col("link"))))
+    form = lambda tier, made: F.struct(F.lit(tier).alias("tier"), made.alias("form"))
+    folded = F.lower(T.strip(F.col("link")))
+    forms = F.array(form(1, folded), form(2, folded), form(3, T.name_key(F.col("link"))))
     wide = asked.select(scope, "link", F.explode(forms).alias("f")).select(scope, "link", "f.tier", "f.form")
     best = wide.join(_answers(visible, scope), [scope, "tier", "form"]).groupBy(scope, "link").agg(F.min(F.struct("tier", "id")).alias("b"))
     return links.join(best.select(scope, "link", F.col("b.id").alias("entity_id")), [scope, "link"], "left")

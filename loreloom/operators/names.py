@@ -19,17 +19,20 @@ CONTAINED = 0.75
 
 def numbered_trigrams(key: Column) -> Column:
     """The key's trigrams with the number of each repeat, so that a set of them is the multiset."""
-    ordered = F.sort_array(T.trigrams(key))
-    return F.transform(ordered, lambda x, i: F.concat(x, (i - F.array_position(ordered, x) + 1).cast("string")))
+    return T.let(F.sort_array(T.trigrams(key)), lambda ordered: F.transform(ordered, lambda x, i: F.concat(x, (i - F.array_position(ordered, x) + 1).cast("string"))))
+
+
+def _measured(a: Column, b: Column, x: Column, y: Column, u: Column, v: Column) -> Column:
+    """Similarity of the keys a and b with the trigrams x and y and the words u and v."""
+    inside = (F.size(F.array_except(u, v)) == 0) | (F.size(F.array_except(v, u)) == 0)
+    lifted = lambda dice: F.when(inside, F.greatest(dice, CONTAINED + (1 - CONTAINED) * dice)).otherwise(dice)
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(T.let(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)), lifted))
 
 
 def similarity(a: Column, b: Column) -> Column:
     """Dice coefficient of two keys' trigrams, more if all words of one are in the other; empty keys are like nothing."""
-    x, y = numbered_trigrams(a), numbered_trigrams(b)
-    dice = 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
-    u, v = F.split(a, " "), F.split(b, " ")
-    inside = (F.size(F.array_except(u, v)) == 0) | (F.size(F.array_except(v, u)) == 0)
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(inside, F.greatest(dice, CONTAINED + (1 - CONTAINED) * dice)).otherwise(dice)
+    parts = F.struct(numbered_trigrams(a).alias("x"), numbered_trigrams(b).alias("y"), F.split(a, " ").alias("u"), F.split(b, " ").alias("v"))
+    return T.let(parts, lambda p: _measured(a, b, p["x"], p["y"], p["u"], p["v"]))
 
 
 def similar_keys(left: DataFrame, right: DataFrame, block: list[str], threshold: float) -> DataFrame:
@@ -40,7 +43,8 @@ def similar_keys(left: DataFrame, right: DataFrame, block: list[str], threshold:
     other, its rarest word is. Candidates are then measured in full.
     """
     share = threshold / (2 - threshold)
-    keys = {"a": left.select(*block, "key").distinct().filter("key <> ''"), "b": right.select(*block, "key").distinct().filter("key <> ''")}
+    parts = lambda df: df.select(*block, "key").distinct().filter("key <> ''").select("*", numbered_trigrams(F.col("key")).alias("grams"), F.split("key", " ").alias("words"))
+    keys = {"a": parts(left), "b": parts(right)}
 
     def ranked(parts: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """Each side's parts with their rank in their key, rare ones first."""
@@ -48,14 +52,17 @@ def similar_keys(left: DataFrame, right: DataFrame, block: list[str], threshold:
         order = Window.partitionBy(*block, "key").orderBy("freq", "part")
         return {s: p.join(counts, [*block, "part"]).withColumn("rank", F.row_number().over(order)) for s, p in parts.items()}
 
-    grams = ranked({s: k.select(*block, "key", F.explode(numbered_trigrams(F.col("key"))).alias("part")) for s, k in keys.items()})
+    grams = ranked({s: k.select(*block, "key", F.explode("grams").alias("part")) for s, k in keys.items()})
     few = lambda df: df.filter(F.col("rank") <= F.length("key") + 1 - F.ceil((F.length("key") + 1) * share - 1e-9) + 1)
-    words = ranked({s: k.select(*block, "key", F.explode(F.array_distinct(F.split("key", " "))).alias("part")) for s, k in keys.items()})
+    words = ranked({s: k.select(*block, "key", F.explode(F.array_distinct("words")).alias("part")) for s, k in keys.items()})
     side = lambda df, s: df.select(*block, "part", F.col("key").alias(s))
     join = lambda x, y: side(x, "a").join(side(y, "b"), [*block, "part"]).select(*block, "a", "b")
     pairs = join(few(grams["a"]), few(grams["b"]))
     pairs = pairs.union(join(words["a"].filter("rank = 1"), words["b"])).union(join(words["a"], words["b"].filter("rank = 1")))
-    return pairs.distinct().withColumn("similarity", similarity(F.col("a"), F.col("b"))).filter(F.col("similarity") >= threshold - 1e-12)
+    named = lambda s: keys[s].select(*block, F.col("key").alias(s), F.col("grams").alias(f"g_{s}"), F.col("words").alias(f"w_{s}"))
+    full = pairs.distinct().join(named("a"), [*block, "a"]).join(named("b"), [*block, "b"])
+    measured = full.select(*block, "a", "b", _measured(*map(F.col, ("a", "b", "g_a", "g_b", "w_a", "w_b"))).alias("similarity"))
+    return measured.filter(F.col("similarity") >= threshold - 1e-12)
 
 
 def best_match(needles: DataFrame, names: DataFrame, block: list[str], threshold: float = SAME) -> DataFrame:

@@ -24,8 +24,7 @@ def hash_embedder(width: int = WIDTH) -> Embedder:
     def embed(text: Column) -> Column:
         words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{IsAlphabetic}\p{N}]+", " ")), " "), lambda w: w != "")
         at = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % width)
-        counts = F.map_from_entries(F.transform(F.array_distinct(at), lambda k: F.struct(k, F.size(F.filter(at, lambda x: x == k)).cast("double"))))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(counts[i.cast("long")], F.lit(0.0)))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
         norm = F.sqrt(F.aggregate(dense, F.lit(0.0), lambda a, x: a + x * x))
         return F.when(F.size(words) > 0, F.transform(dense, lambda x: x / norm))
 

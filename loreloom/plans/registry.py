@@ -53,7 +53,7 @@ def sql_key(x: str) -> str:
     clean = rf"regexp_replace({folded}, '[''’]s( |$)', '\1', 'g')"
     words = rf"string_split(trim(regexp_replace(regexp_replace({clean}, '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')"
     one = "CASE WHEN s IN ('series', 'species') OR strlen(s) <= 3 THEN s WHEN s LIKE '%ies' THEN left(s, length(s) - 3) || 'y' WHEN s LIKE '%es' AND s NOT LIKE '%ses' THEN left(s, length(s) - 2) WHEN s LIKE '%s' AND NOT regexp_matches(s, '(ss|us|os|as|is)$') THEN left(s, length(s) - 1) ELSE s END"
-    return f"list_transform([{words}], w -> list_aggregate(list_transform(CASE WHEN w[1] = 'the' AND len(w) > 1 THEN w[2:] ELSE w END, s -> {one}), 'string_agg', ' '))[1]"
+    return f"list_transform([{words}], lambda w: list_aggregate(list_transform(CASE WHEN w[1] = 'the' AND len(w) > 1 THEN w[2:] ELSE w END, lambda s: {one}), 'string_agg', ' '))[1]"
 
 
 #: Rows that aren't marked as deleted, in a check.
