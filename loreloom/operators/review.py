@@ -24,6 +24,7 @@ EXTRACTION = f"entities array<struct<name: string, kind: string, summary: string
 RULES = "entries array<struct<name: string, category: string, body: string, page_refs: array<struct<source_name: string, page_start: bigint, page_end: bigint>>>>"
 DRAFTS = "proposals array<struct<kind: string, target_name: string, entity_kind: string, category: string, proposed_text: string, rationale: string>>, mentioned array<string>"
 PROFILE = "summary string, notes string"
+REFS = "array<struct<source_name: string, page_start: bigint, page_end: bigint>>"
 
 
 def strip_fences(raw: Column) -> Column:
@@ -160,8 +161,8 @@ def parse_rules(responses: DataFrame) -> DataFrame:
 def upsert_rules(rules: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rules, counts): parsed entries by collection and name. A known rule gets the last body and category and all page
     references, and keeps notes; counts has created and updated per collection."""
-    refs = rules.schema["page_refs"].dataType
-    none = F.array().cast(refs)
+    refs, none = REFS, F.array().cast(REFS)
+    rules = rules.withColumn("page_refs", F.col("page_refs").cast(refs))
     new = found.groupBy("collection_id", "name").agg(F.max_by(F.struct("category", "body"), F.struct("batch", "place")).alias("e"), F.array_distinct(F.flatten(F.sort_array(F.collect_list(F.coalesce(F.col("page_refs").cast(refs), none))))).alias("refs"))
     joined = rules.withColumn("_old", F.lit(True)).join(new, ["collection_id", "name"], "full")
     out = joined.withColumns({
@@ -186,7 +187,8 @@ def redo_requests(rules: DataFrame, objections: DataFrame, chunks: DataFrame, in
 
 def apply_redo(rules: DataFrame, objections: DataFrame, found: DataFrame) -> DataFrame:
     """rules with the new bodies of found (id, body, page_refs), the objection kept and the references joined."""
-    refs = rules.schema["page_refs"].dataType
+    refs = REFS
+    rules = rules.withColumn("page_refs", F.col("page_refs").cast(refs))
     got = objections.join(found.select("id", F.col("body").alias("_b"), F.col("page_refs").cast(refs).alias("_r")), "id").filter(T.strip(F.col("_b")) != "")
     joined = rules.join(got, "id", "left")
     hit = F.col("_b").isNotNull()

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreloom.functions.text import let
+
 
 #: Width of the hashing embedder, and the default number of neighbours.
 WIDTH, TOP = 256, 15
@@ -24,9 +26,9 @@ def hash_embedder(width: int = WIDTH) -> Embedder:
     def embed(text: Column) -> Column:
         words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{IsAlphabetic}\p{N}]+", " ")), " "), lambda w: w != "")
         at = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % width)
-        dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-        norm = F.sqrt(F.aggregate(dense, F.lit(0.0), lambda a, x: a + x * x))
-        return F.when(F.size(words) > 0, F.transform(dense, lambda x: x / norm))
+        counts = lambda at: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
+        unit = lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), lambda norm: F.transform(v, lambda x: x / norm))
+        return let(at, lambda a: F.when(F.size(a) > 0, let(counts(a), unit)))
 
     return embed
 

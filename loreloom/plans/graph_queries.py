@@ -313,7 +313,7 @@ def x9(kb: Base) -> DataFrame:
 def x10(kb: Base) -> DataFrame:
     rules = kb.rules
     entry = F.struct(F.element_at(F.split("name", " "), 1).alias("name"), "category", F.upper("body").alias("body"), "page_refs")
-    told = rules.select("collection_id", F.crc32("id").cast("int").alias("batch"), F.to_json(F.struct(F.array(entry).alias("entries"))).alias("response"))
+    told = rules.select("collection_id", (F.crc32("id") % 1_000_000).cast("int").alias("batch"), F.to_json(F.struct(F.array(entry).alias("entries"))).alias("response"))
     return R.upsert_rules(rules, R.parse_rules(told))[1]
 
 
