@@ -1,0 +1,263 @@
+"""The operators on training text against plain versions, with nulls, empty and long texts, ties and repeated rows."""
+
+from collections import Counter
+import hashlib
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+import pytest
+from tokenizers import Tokenizer
+
+from loreloom.llm import bpe, exact_dedup, minhash, mixing, pii, pretokens, quality, sharding, suffix_dedup, token_counts, toxicity
+from loreloom.llm.queries import vocabulary_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    random.seed(11)
+    words = ["the", "Abc", "zig", "é", "漢字", "x1", "don't", "...", "of", "queen", "stone", "river"]
+    line = lambda n: " ".join(random.choices(words, k=n))
+    base = [line(random.randint(40, 120)) for _ in range(12)]
+    near = [" ".join(w if i != 20 else "changed" for i, w in enumerate(b.split(" "))) for b in base[:6]]
+    rest = [None, "", "  ", "one", "two words", "a" * 3000, "<|endoftext|> x <|endoftext|>", "a\tb\nc", "a b c", line(4000), "\x85\x1c ok", "漢" * 300]
+    return [*base, *near, base[0], base[0].replace(" ", "  "), *rest]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    """Ids with a gap and extra columns whose names the operators use themselves."""
+    rows = [(3 * i, t, f"s{i % 3}" if i % 4 else None, "clash", i) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, id string, size int").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_token_counts(docs, empty, texts):
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    for head in (0, 50):
+        got = by_id(token_counts.count_tokens(docs, vocabulary_path(), head=head))
+        for i, t in enumerate(texts):
+            assert got[3 * i].n_tokens == len(tokenizer.encode(t or "", add_special_tokens=False).ids)
+            assert got[3 * i].n_bytes == len((t or "").encode())
+    assert token_counts.count_tokens(empty, vocabulary_path()).count() == 0
+
+
+def test_bpe_round_trip(docs, empty, texts):
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    got = by_id(bpe.decode(bpe.encode(docs, vocabulary_path()), vocabulary_path()))
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        assert got[3 * i].ids == ids
+        assert got[3 * i].decoded == tokenizer.decode(ids, skip_special_tokens=False)
+    assert bpe.encode(empty, vocabulary_path()).count() == 0
+
+
+def test_latin_pattern_is_the_tokenizers():
+    own = Tokenizer.from_file(vocabulary_path()).pre_tokenizer
+    for c in range(0x250):
+        text = f"a{chr(c)}1{chr(c)}!{chr(c)}{chr(c)} {chr(c)}b's"
+        assert pretokens.split(text, vocabulary_path()) == [text[a:b] for _, (a, b) in own.pre_tokenize_str(text)]
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+
+def plain_components(texts):
+    sets = [shingle_set(t) for t in texts]
+    parent = [*range(len(texts))]
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    return sets, [top(i) for i in range(len(texts))]
+
+
+def test_near_duplicates(docs, empty, texts):
+    sets, tops = plain_components(texts)
+    got = by_id(minhash.near_duplicates(docs))
+    assert {k: (r.n_shingles, r.component_id, r.kept) for k, r in got.items()} == {3 * i: (len(s), 3 * t, t == i) for i, (s, t) in enumerate(zip(sets, tops))}
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_registers_estimate_similarity():
+    random.seed(2)
+    both = np.array(sorted(random.sample(range(1 << 64), 900)), np.uint64)
+    left, right = both[:800], both[100:]
+    got = minhash.estimate(minhash.registers(left)[None], minhash.registers(right)[None], np.array([800]), np.array([800]))[0]
+    assert abs(got - 700 / 900) < 0.12
+
+
+def test_exact_duplicates(docs, empty, texts):
+    first, size = {}, Counter()
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
+    for i, t in enumerate(norm):
+        first.setdefault(t, 3 * i)
+        size[t] += 1
+    got = by_id(exact_dedup.exact_duplicates(docs))
+    assert {k: (r.keep_id, r.group_size, r.kept) for k, r in got.items()} == {3 * i: (first[t], size[t], first[t] == 3 * i) for i, t in enumerate(norm)}
+    assert exact_dedup.exact_duplicates(empty).count() == 0
+    assert exact_dedup.exact_duplicates(docs.union(docs)).count() == 2 * len(texts)
+
+
+def test_quality(docs, empty, texts):
+    got = by_id(quality.line_quality(docs))
+    for i, t in enumerate(texts):
+        words = WORD.findall(t or "")
+        windows = Counter(tuple(words[j : j + 5]) for j in range(len(words) - 4))
+        cover = {k for j in range(len(words) - 4) if windows[tuple(words[j : j + 5])] > 1 for k in range(j, j + 5)}
+        seen, dup = set(), 0
+        for line in (t or "").split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        r = got[3 * i]
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), dup, len(cover))
+        assert r.base_failed == (len(words) < 10 or 100 * len(cover) > 20 * len(words))
+    assert quality.line_quality(empty).count() == 0
+
+
+def test_shared_lines_are_lost(spark):
+    shared = "this line stands in all of the pages of the host and says nothing"
+    rows = [(i, f"{shared}\n{i} apples", "h") for i in range(30)] + [(99, "a page of its own with words enough to stay in the corpus", "h")]
+    got = by_id(quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert not any(got[i].kept for i in range(30)) and got[99].kept
+
+
+def test_mixing(spark, docs, empty, texts):
+    described, schedule, takes = mixing.mix(docs, block=16)
+    rows = by_id(described.join(takes.groupBy("doc_id").agg(F.sum("n_words").alias("taken")), "doc_id", "left"))
+    sizes = Counter()
+    for i, t in enumerate(texts):
+        n = len((t or "").encode().split())
+        sizes[f"s{i % 3}" if i % 4 else None] += n
+        assert rows[3 * i]["size"] == n and (rows[3 * i].taken or 0) <= 2 * n
+    names = sorted(k for k in sizes if k) + [None]
+    weight = dict(zip(names, (3, 1, 2, 3)))
+    total, full, target = 1.5 * sum(sizes.values()), set(), {}
+    while True:
+        left = total - sum(2 * sizes[k] for k in full)
+        open_ = [k for k in names if k not in full]
+        target = {k: 2 * sizes[k] if k in full else left * weight[k] / sum(weight[o] for o in open_) for k in names}
+        over = {k for k in open_ if target[k] > 2 * sizes[k]}
+        if not over:
+            break
+        full |= over
+    taken = Counter()
+    for i, _ in enumerate(texts):
+        name = f"s{i % 3}" if i % 4 else None
+        assert abs(rows[3 * i].target - target[name]) < 1e-6
+        taken[name] += rows[3 * i].taken or 0
+    assert all(abs(taken[k] - target[k]) <= 3 * 16 for k in names)
+    again = mixing.mix(docs.repartition(5), block=16)[2]
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, takes.collect()))
+    assert mixing.mix(empty)[2].count() == 0
+    assert schedule.groupBy("slot").count().filter("count > 1").count() == 0
+
+
+def test_repeats(spark, docs, empty, texts):
+    for local in (0, suffix_dedup.LOCAL):
+        own = suffix_dedup.repeated_spans(docs, 50, local=local)
+        assert own.count() > 0
+    got = by_id(suffix_dedup.remove_repeats(docs, 200))
+    raw = [(t or "").encode() for t in texts]
+    counts = Counter(b[j : j + 200] for b in raw for j in range(len(b) - 199))
+    for i, b in enumerate(raw):
+        cover = np.zeros(len(b), bool)
+        for j in range(len(b) - 199):
+            if counts[b[j : j + 200]] > 1:
+                cover[j : j + 200] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~cover])
+        assert (got[3 * i].n_removed, bytes(got[3 * i].kept)) == (int(cover.sum()), kept)
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_wide_keys_take_the_other_way(docs):
+    spans = lambda n: {(r.id, tuple(sorted(y for x in r.starts for y in range(x.low, x.high + 1)))) for r in suffix_dedup.repeated_spans(docs, 200, local=n).collect()}
+    assert spans(0) == spans(suffix_dedup.LOCAL)
+
+
+def test_sharding(docs, empty, texts):
+    rows = sharding.shard(docs, 4).collect()
+    assert len(rows) == len(texts)
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == [*range(sum(r.shard == shard for r in rows))]
+    keys = [(r.text_crc32, r.doc_id) for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    assert keys == sorted(keys)
+    assert sharding.shard(empty, 4).count() == 0
+
+
+def test_shards_are_even_with_a_hot_text(spark):
+    rows = [(i, "same text" if i % 3 == 0 else f"text {i}") for i in range(6000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 16).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert len(got) == 16 and sharding.spread([r.n for r in got]) < 1.02
+
+
+def test_toxicity(spark):
+    random.seed(4)
+    plain, rude = ["alpha", "beta", "gamma", "delta", "omega"], ["moron", "scum"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 1
+        words = random.choices(plain, k=30)
+        if toxic:
+            words[3] = words[17] = random.choice(rude)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(1000, None), (1001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = by_id(toxicity.score(docs, given))
+    held = [i for i, _ in labels if got[i].held_out]
+    assert sum(got[i].predicted == labels[i][1] for i in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in got.values()) and len(got) == 602
+    none = by_id(toxicity.score(docs, given.limit(0)))
+    assert not any(r.predicted for r in none.values())
+
+
+def test_surrogates(spark):
+    rows = [(1, "Mail ann.b@x.org or call +1 (555) 555-0134, card 4539 1488 0343 6467."), (2, "ANN.B@X.ORG again; 10.0.0.1; Mrs. Smith and Mr. Smith"), (3, None), (4, "")]
+    rows.append((5, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in (-1, 1000):
+        got = by_id(pii.pseudonymise(df, b"key", broadcast_rows=bound))
+        assert got[3].text is None and got[4].text == ""
+        assert "ann.b" not in got[1].text and "0134" not in got[1].text and "4539" not in got[1].text and "04dbebab" not in got[5].text
+        mail = [s.surrogate for k in (1, 2) for s in got[k].spans if s.kind == "email"]
+        assert mail[0].lower() == mail[1].lower() and mail[0] != mail[1]
+        names = [s.surrogate for s in got[2].spans if s.kind == "name"]
+        assert len(set(names)) == 2 and names[0].endswith("a") and names[1].endswith("n")
+        card = [s.surrogate for s in got[1].spans if s.kind == "card"][0]
+        assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", card) and pii._luhn([int(c) for c in card if c.isdigit()]) == 0
+
+
+def test_pipeline_stages(spark, tmp_path, docs):
+    import corpus_pipeline
+
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "bpe"]
+    full = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"))
+    full.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    rows = out.collect()
+    assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in full.collect()}
+    assert hashlib.sha256(str(sorted(map(tuple, ((r.doc_id, r.source, tuple(r.ids)) for r in rows)), key=repr)).encode()).hexdigest()
