@@ -20,16 +20,24 @@ from pyspark.sql import functions as F
 
 from .common import RollingHash, chunks, codes, combine, cut, map_texts, ranges, run_lengths, text_bytes
 
-#: Bytes that the rolling hash covers, and places of a window that its trigger is chosen from: a power of 2.
+#: Bytes that the rolling hash covers, and the most places of a window that its trigger is chosen from.
 TRIGGER, PLACES = 16, 128
 
 #: A key with more different phrases is not left to one task: its windows are dealt out by their hashes.
 LOCAL = 200_000
 
 
+def places(length: int) -> int:
+    """How many places of a window its trigger is chosen from: a power of 2 for which the hash stays in the window."""
+    if length <= TRIGGER:
+        raise ValueError(f"strings must be longer than {TRIGGER} bytes")
+    return min(PLACES, 1 << (length - TRIGGER + 1).bit_length() - 1)
+
+
 def phrases(df: DataFrame, length: int) -> DataFrame:
     """(key, phrase, id, place) for each phrase of (id, text): place holds the first window's start and two more bytes,
     the number of further windows and the trigger's distance from the start."""
+    chosen_from = places(length)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(batch.column(1))
@@ -43,7 +51,7 @@ def phrases(df: DataFrame, length: int) -> DataFrame:
             # the hash above, the place below: the least is the leftmost trigger of least hash
             low = (hashed.ranges(every, every + TRIGGER) & np.uint64(0xFFFFFF0000000000 | 0xFF << 32)) | every.astype(np.uint64)
             step = 1
-            while step < PLACES:
+            while step < chosen_from:
                 low = np.minimum(low[:-step], low[step:])
                 step *= 2
             starts = ranges(at[:-1], sizes)  # of all windows that end in their text
@@ -51,7 +59,7 @@ def phrases(df: DataFrame, length: int) -> DataFrame:
             first, n = run_lengths(trigger)
             start, trigger = starts[first], trigger[first]
             row = np.searchsorted(at, start, "right") - 1
-            key = hashed.ranges(trigger, trigger + length - PLACES + 1)
+            key = hashed.ranges(trigger, trigger + length - chosen_from + 1)
             phrase = combine([hashed.ranges(start, start + n - 1 + length), (trigger - start).astype(np.uint64)])
             place = (start - at[row]) << 16 | (n - 1) << 8 | (trigger - start)
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(phrase.view(np.int64)), batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(place)], ["key", "phrase", "id", "place"])
