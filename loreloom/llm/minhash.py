@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import RollingHash, chunks, codes, combine, components, cut, map_texts, mix, run_lengths, shingles, text_bytes, words
@@ -74,8 +74,9 @@ def document_shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.nd
         yield a, counts, owner[new], found[new]
 
 
-def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_key, sketch): set_key is a hash of the whole set; without words both are null."""
+def sketches(df: DataFrame, texts: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, set_key, key, sketch[, text]) of (doc_id, text): set_key is 16 bytes that stand for the set, key
+    the first 8 as a number; without words they and the sketch are null."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a, counts, owner, found in document_shingles(batch.column(1)):
@@ -84,11 +85,13 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             keys, sketch = [], []
             for start, size in zip(begins.tolist(), sizes.tolist()):
                 own = found[start : start + size]
-                keys.append(None if not size else own.tobytes() if size <= 2 else _digest(own))
+                keys.append(_digest(own) if size else None)
                 sketch.append(registers(own).tobytes() if size else None)
-            yield pa.record_batch([batch.column(0).slice(a, len(counts)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
+            part = batch.slice(a, len(counts))
+            columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([k and int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()), pa.array(sketch, pa.binary()), part.column(1)]
+            yield pa.RecordBatch.from_arrays(columns[: 5 + texts], ["doc_id", "n_shingles", "set_key", "key", "sketch", "text"][: 5 + texts])
 
-    return map_texts(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_shingles long, set_key binary, sketch binary")
+    return map_texts(df.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_key binary, key long, sketch binary" + ", text string" * texts)
 
 
 def _digest(found: np.ndarray) -> bytes:
@@ -99,17 +102,18 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def bands(sketched: DataFrame) -> DataFrame:
-    """(band, doc_id): a hash for each band of the compressed registers."""
+    """(band, key): a hash for each band of the compressed registers, with the set's key."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, sketch = batch.column(0).to_numpy(), batch.column(1)
-        for a in range(0, len(ids), 2000):
-            own = np.frombuffer(b"".join(sketch.slice(a, 2000).to_pylist()), np.uint16).reshape(-1, REGISTERS)[:, : BANDS * BAND].reshape(-1, BANDS, BAND).astype(np.uint64)
+        for a in range(0, len(batch), 2000):
+            part = batch.slice(a, 2000)
+            own = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)[:, : BANDS * BAND].reshape(-1, BANDS, BAND).astype(np.uint64)
+            keys = part.column(0).to_numpy()
             parts = [own[:, :, i].ravel() for i in range(BAND)]
-            keys = combine([*parts, np.tile(np.arange(BANDS, dtype=np.uint64), len(own))])
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.repeat(ids[a : a + 2000], BANDS))], ["band", "doc_id"])
+            band = combine([*parts, np.tile(np.arange(BANDS, dtype=np.uint64), len(own))])
+            yield pa.record_batch([pa.array(band.view(np.int64)), pa.array(np.repeat(keys, BANDS))], ["band", "key"])
 
-    return map_texts(sketched.select("doc_id", "sketch"), run, "band long, doc_id long")
+    return map_texts(sketched.select("key", "sketch"), run, "band long, key long")
 
 
 def estimate(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -121,11 +125,14 @@ def estimate(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray)
     return (equal - chance) / (1 - chance)
 
 
-def _verified(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough: an estimate first, then the sets themselves."""
-    side = lambda x: sketched.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+def _verified(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough: an estimate by the sketches first, then the texts' own sets.
+
+    pool: (doc_id, n_shingles, sketch, text) of all documents that share a bucket with another.
+    """
+    side = lambda x: pool.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     # a set can't be similar to one that is much larger
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sizes("n_a", "n_b", percent))
 
     def guess(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(batch), 5000):
@@ -134,66 +141,79 @@ def _verified(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, percent: i
             near = estimate(left, right, part.column(2).to_numpy(), part.column(3).to_numpy()) >= percent / 100 - SLACK
             yield part.select([0, 1]).filter(pa.array(near))
 
-    likely = cut(map_texts(sized.select("a", "b", "n_a", "n_b", "s_a", "s_b"), guess, "a long, b long"))
-    involved = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+    likely = map_texts(sized.select("a", "b", "n_a", "n_b", "s_a", "s_b"), guess, "a long, b long")
+    text = lambda x: pool.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
 
-    def full(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = batch.column(0)
-        for a, counts, owner, found in document_shingles(batch.column(1)):
-            ends = np.cumsum(np.bincount(owner, minlength=len(counts)))
-            sets = pa.array([found[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends)], pa.binary())
-            yield pa.record_batch([ids.slice(a, len(counts)), sets], ["doc_id", "hashes"])
+    def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(batch), 500):
+            part = batch.slice(start, 500)
+            left, right = _sets(part.column(2)), _sets(part.column(3))
+            same = []
+            for x, y in zip(left, right):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield part.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
-    sets = cut(map_texts(docs.join(involved, "doc_id", "left_semi"), full, "doc_id long, hashes binary"))
-    of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"h_{x}"))
+    return map_texts(likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "t_a", "t_b"), check, "a long, b long")
 
-    def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        same = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            same.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
-    return map_texts(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "h_a", "h_b"), check, "a long, b long")
+def _sizes(n: str, m: str, percent: int) -> Column:
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, counts, owner, found in document_shingles(column):
+        out += np.split(found, np.cumsum(np.bincount(owner, minlength=len(counts)))[:-1])
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: components of documents whose 5-word shingle sets agree.
 
     Two sets are linked where 100 * intersection >= percent * union. Rows with equal sets fall into one class, whose
-    smallest id goes on. Banded sketches bring classes into buckets. Links are looked for in three rounds, each only
-    between classes that the rounds before left in different components: each class with the smallest one that it
-    shares a bucket with; with the smallest of each of its buckets; with all in its buckets. So a bucket of thousands
-    of copies of one text costs one link a member, and no link between components is lost. Texts without words have
-    an empty set, are linked with nothing and kept. Ids should be unique; null ids are left out; an empty table
-    gives an empty result; other columns are ignored.
+    smallest id goes on. Banded sketches bring classes into buckets. Links are looked for in four rounds, each only
+    between classes that the rounds before left in different components: each class with the most central one that it
+    shares a bucket with; with the most central of each of its buckets; with the most central of each other component
+    in them; with all in them. The centre of a bucket is its class that shares the largest buckets, so a group of
+    thousands of copies of one text costs about one link a member, and no link between components is lost. Texts
+    without words have an empty set, are linked with nothing and kept. Ids should be unique; null ids are left out; an
+    empty table gives an empty result; other columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     all_sketches = cut(sketches(docs))
     filled = all_sketches.filter("n_shingles > 0")
-    classes = cut(filled.groupBy("set_key").agg(F.min("doc_id").alias("doc_id")))
-    members = filled.join(classes.withColumnRenamed("doc_id", "class_id"), "set_key").select("doc_id", "class_id")
-    sketched = filled.join(classes.select("doc_id"), "doc_id", "left_semi")
-
-    banded = bands(sketched)
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).filter("n > 1").select("band", "low")
-    buckets = cut(banded.join(shared, "band").select("band", "low", "doc_id"))
-
-    links = cut(_verified(buckets.filter("doc_id <> low").groupBy(F.col("doc_id").alias("b")).agg(F.min("low").alias("a")).select("a", "b"), sketched, docs, percent))
-    for every in (False, True):
+    classes = cut(filled.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.min("key").alias("key")))
+    members = filled.select("doc_id", "set_key").join(classes.drop("key"), "set_key").select("doc_id", "class_id")
+
+    # buckets of at least two different sets; sets go by 8 bytes of their keys until there are few of them
+    banded = bands(filled)
+    shared = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).filter("low <> high").select("band", "n")
+    keyed = banded.join(shared, "band").distinct()
+    names = classes.select("key", "class_id")
+    buckets = cut(keyed.join(names, "key").select("band", "n", F.col("class_id").alias("doc_id")))
+    pool = cut(sketches(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), texts=True).select("doc_id", "n_shingles", "sketch", "text"))
+    scores = buckets.groupBy("doc_id").agg(F.sum("n").alias("score")).join(pool.select("doc_id", "n_shingles"), "doc_id")
+    buckets = cut(buckets.select("band", "doc_id").join(scores, "doc_id"))
+
+    central = F.max_by("doc_id", F.struct("score", -F.col("doc_id")))
+    centres = cut(buckets.groupBy("band").agg(central.alias("a"), F.max("score").alias("s")))
+    spokes = cut(buckets.join(centres, "band").filter("doc_id <> a").select("a", "s", F.col("doc_id").alias("b")).distinct())
+    links = cut(_verified(spokes.groupBy("b").agg(F.max_by("a", F.struct("s", -F.col("a"))).alias("a")).select("a", "b"), pool, percent))
+    for step in range(3):
         label = components(links)
         of = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
-        apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
-        if every:
-            named = buckets.select("band", F.col("doc_id").alias("a")).join(of("a"), "a", "left").withColumn("c", F.coalesce("c_a", "a"))
-            mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("band")
-            named = cut(named.join(mixed, "band", "left_semi").select("band", "a", "c"))
-            pairs = named.alias("x").join(named.alias("y"), "band").filter("x.c <> y.c and x.a < y.a").select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
+        if step == 0:
+            pairs = spokes.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
         else:
-            pairs = buckets.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-            pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(apart).select("a", "b")
-        links = cut(links.union(_verified(cut(pairs.distinct()), sketched, docs, percent)))
+            named = buckets.join(of("doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c_doc_id", "doc_id"))
+            mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("band")
+            named = cut(named.join(mixed, "band", "left_semi").select("band", "doc_id", "n_shingles", "score", "c"))
+            other = named if step == 2 else named.groupBy("band", "c").agg(central.alias("doc_id"), F.max_by("n_shingles", F.struct("score", -F.col("doc_id"))).alias("n_shingles"))
+            x, y = named.select("band", F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "c"), other.select("band", F.col("doc_id").alias("y"), F.col("n_shingles").alias("m"), F.col("c").alias("d"))
+            apart = (F.col("c") != F.col("d")) & _sizes("n", "m", percent) & ((F.col("x") < F.col("y")) if step == 2 else F.lit(True))
+            pairs = x.join(y, "band").filter(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        links = cut(links.union(_verified(cut(pairs.select("a", "b").distinct()), pool, percent)))
     label = components(links)
 
     placed = members.join(label.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("component_id"))
