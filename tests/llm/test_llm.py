@@ -234,6 +234,41 @@ def test_toxicity(spark):
     assert not any(r.predicted for r in none.values())
 
 
+def plain_ratio(gram, counts):
+    """Log of the toxic over the ordinary chance of the last byte, from Counters of the classes' n-grams."""
+    levels = {toxicity.ORDER: counts}
+    for k in range(toxicity.ORDER - 1, 0, -1):
+        levels[k] = [Counter(g[1:] for g in level) for level in levels[k + 1]]
+    both = levels[1][0] + levels[1][1]
+
+    def chance(g, c):
+        if len(g) == 1:
+            return (max(both[g] - 0.75, 0) + 0.75 * len(both) / 256) / sum(both.values())
+        n = {k: v for k, v in levels[len(g)][c].items() if k[:-1] == g[:-1]}
+        below = chance(g[1:], c)
+        return (max(n.get(g, 0) - 0.75, 0) + 0.75 * len(n) * below) / sum(n.values()) if n else below
+
+    return float(np.log(chance(gram, 1)) - np.log(chance(gram, 0)))
+
+
+def test_toxicity_keeps_each_ngram(spark):
+    random.seed(8)
+    grams = lambda t: [(b"    " + t.encode().lower())[i : i + 5] for i in range(len(t.encode()))]
+    known = [("".join(random.choices("abcdé漢字", k=60)), i % 2) for i in range(8)]
+    texts = [("".join(random.choices("abcdexyzé漢", k=n))) for n in (1, 7, 40)] + ["", None]
+    counts = [Counter(g for t, c in known if c == want for g in grams(t)) for want in range(2)]
+    frame = spark.createDataFrame(known, "text string, toxic int")
+    docs = spark.createDataFrame([(None if i else 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counted = toxicity.ngram_counts(docs.select("text", F.lit(0).alias("toxic"))).select("gram", F.col("ordinary").alias("n"))
+    found = toxicity.chances(counted.select("gram"), toxicity._levels(toxicity.ngram_counts(frame)))
+    ratios = counted.join(found, "gram").withColumn("ratio", F.log("toxic") - F.log("ordinary"))
+    assert all(0 < r[c] <= 1 for r in found.collect() for c in ("toxic", "ordinary"))
+    want = sorted(sum(plain_ratio(g, counts) for g in grams(t)) / len(grams(t)) if t else 0.0 for t in texts)
+    for head in (0, 10, toxicity.HEAD):
+        got = sorted(r.ratio for r in toxicity.log_ratios(docs, ratios, head).collect())
+        assert np.allclose(got, want, atol=1e-8)
+
+
 def test_surrogates(spark):
     rows = [(1, "Mail ann.b@x.org or call +1 (555) 555-0134, card 4539 1488 0343 6467."), (2, "ANN.B@X.ORG again; 10.0.0.1; Mrs. Smith and Mr. Smith"), (3, None), (4, "")]
     rows.append((5, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'))
