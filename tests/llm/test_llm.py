@@ -4,6 +4,7 @@ from collections import Counter
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -269,6 +270,23 @@ def test_toxicity_keeps_each_ngram(spark):
         assert np.allclose(got, want, atol=1e-8)
 
 
+def test_toxicity_learns_from_the_rest_of_the_calibration_fold(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
+    random.seed(5)
+    fold = lambda i: zlib.crc32(str(i).encode()) % toxicity.FOLDS
+    rows = []
+    for i in range(600):
+        words, toxic = random.choices(["alpha", "beta", "gamma", "delta", "omega"], k=30), i % 3 == 0
+        if toxic:
+            # half the held-out rows have an expression that only the calibration fold teaches
+            words[3] = words[17] = "zvykqj" if fold(i) == toxicity.CALIBRATION or fold(i) == toxicity.HELD_OUT and i % 2 else "moron"
+        rows.append((i, " ".join(words), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = by_id(toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")))
+    own = [i for i, text, _ in rows if "zvykqj" in text and got[i].held_out]
+    assert own and all(got[i].predicted for i in own)
+
+
 def test_surrogates(spark):
     rows = [(1, "Mail ann.b@x.org or call +1 (555) 555-0134, card 4539 1488 0343 6467."), (2, "ANN.B@X.ORG again; 10.0.0.1; Mrs. Smith and Mr. Smith"), (3, None), (4, "")]
     rows.append((5, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'))
