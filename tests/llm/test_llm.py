@@ -144,6 +144,13 @@ def test_shared_lines_are_lost(spark):
     assert not any(got[i].kept for i in range(30)) and got[99].kept
 
 
+def test_shared_lines_are_lost_in_a_large_host(spark):
+    shared = "this line stands in some of the pages of the host and says nothing"
+    rows = [(i, f"{shared if i < 30 else f'page w{i} has a line of words of its own that no other page w{i}x has'}\n{i} apples", "h") for i in range(8000)]
+    got = by_id(quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("text", F.translate("text", "0123456789", "abcdefghij"))))
+    assert not any(got[i].kept for i in range(30)) and all(got[i].kept for i in range(30, 8000))
+
+
 def test_mixing(spark, docs, empty, texts):
     described, schedule, takes = mixing.mix(docs, block=16)
     rows = by_id(described.join(takes.groupBy("doc_id").agg(F.sum("n_words").alias("taken")), "doc_id", "left"))
