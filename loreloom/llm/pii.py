@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect, insort
 from collections.abc import Iterator
 import hashlib
 import hmac
@@ -19,6 +20,11 @@ BROADCAST_ROWS = 50_000
 # Titles that show a person's gender, or that one follows.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Dr": "n", "Prof": "n", "г-н": "m", "г-жа": "f"}
 
+_INITIAL = r"[A-ZА-ЯЁ]\."
+_FULL = r"[^\W\d_a-zа-я](?:['’][^\W\d_])?[^\W\d_]+(?:['’-](?!s\b)[^\W\d_]+)*"
+#: A part of a name: an initial, or a word with its hyphens and apostrophes but without a genitive's ending.
+_PART = re.compile(rf"(?<![\w'’-])(?:{_INITIAL}|{_FULL})")
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Each kind's pattern, and a character without which there can be no match.
 PATTERNS = {
@@ -29,7 +35,7 @@ PATTERNS = {
     "ssn": (re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "-"),
     "card": (re.compile(r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d])"), ""),
     "phone": (re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])"), ""),
-    "name": (re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<own>[^\W\d_a-zа-я][^\W\d_]+(?: [^\W\d_a-zа-я][^\W\d_]+)?)"), ""),
+    "name": (re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?[^\S\n]{{0,4}}\s[^\S\n]{{0,4}}(?P<own>(?:{_INITIAL} ?){{0,3}}{_FULL}(?: (?:{_INITIAL} ?){{0,3}}{_FULL})?)"), ""),
 }
 
 _HAS_DIGITS = re.compile(r"\d[\d .()-]{5}")
@@ -59,6 +65,116 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     return sorted(found)
 
 
+class _Person:
+    """A person of one text: the fullest form of the name, the gender that a title shows, and the places of mentions."""
+
+    def __init__(self, parts: list[str], gender: str, at: int):
+        self.parts, self.gender, self.at = parts, gender, [at]
+
+    def fits(self, parts: list[str], gender: str) -> bool:
+        if "n" not in (gender, self.gender) and gender != self.gender:
+            return False
+        if len(parts) == 1:
+            return parts[0].lower() in (p.lower() for p in self.parts)
+        if len(self.parts) == 1:
+            return self.parts[0].lower() in (p.lower() for p in parts)
+        return parts[-1].lower() == self.parts[-1].lower() and all(_same(x, y) for x, y in zip(parts[:-1], self.parts[:-1]))
+
+    def add(self, parts: list[str], gender: str, at: int) -> None:
+        if (len(parts), sum(map(len, parts))) > (len(self.parts), sum(map(len, self.parts))):
+            self.parts = parts
+        self.gender = self.gender if gender == "n" else gender
+        insort(self.at, at)
+
+
+def _same(x: str, y: str) -> bool:
+    """Whether two first names can be one: an initial is any name that it begins."""
+    return x[0] == y[0] if x.endswith(".") or y.endswith(".") else x.lower() == y.lower()
+
+
+def _nearest(people: list[_Person], at: int) -> _Person:
+    """Whose last mention before a place is nearest, else whose first one after it."""
+    def far(person: _Person) -> tuple[bool, int]:
+        i = bisect(person.at, at)
+        return (False, at - person.at[i - 1]) if i else (True, person.at[0] - at)
+
+    return min(people, key=far)
+
+
+def entities(text: str | None) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, form, own) of the entities and, of names found after a title, of all their other mentions.
+
+    own is the text that tells an entity: of a name the fullest form in this text. Names of a text are one person if
+    they share the last name, or one is a single part of the other, and neither titles' genders nor first names
+    contradict. Mentions that fit several persons go to the one that was last mentioned before.
+    """
+    spans = detect(text)
+    named = [(a, b, form) for a, b, kind, form in spans if kind == "name"]
+    if not named:
+        return [(a, b, kind, form, text[a:b]) for a, b, kind, form in spans]
+    by_part: dict[str, list[_Person]] = {}
+    mentions: dict[tuple[int, int], _Person] = {}
+
+    def fitting(parts: list[str], gender: str) -> list[_Person]:
+        return [p for p in {id(p): p for x in parts for p in by_part.get(x.lower(), ())}.values() if p.fits(parts, gender)]
+
+    # the fullest names first, and those whose title shows a gender
+    for a, b, gender in sorted(named, key=lambda x: (-len(parts := _PART.findall(text[x[0] : x[1]])), -sum(map(len, parts)), x[2] == "n", x)):
+        parts = _PART.findall(text[a:b])
+        if found := fitting(parts, gender):
+            person = _nearest(found, a)
+            person.add(parts, gender, a)
+        else:
+            person = _Person(parts, gender, a)
+        for part in parts:
+            if not part.endswith(".") and person not in by_part.setdefault(part.lower(), []):
+                by_part[part.lower()].append(person)
+        mentions[a, b] = person
+
+    taken, i, run = spans, 0, []
+    runs: list[list[re.Match]] = []
+    for m in _PART.finditer(text):
+        while i < len(taken) and taken[i][1] <= m.start():
+            i += 1
+        if i < len(taken) and taken[i][0] < m.end() or not m[0].endswith(".") and m[0].lower() not in by_part:
+            continue
+        if run and text[run[-1].end() : m.start()] in (" ", ""):
+            run.append(m)
+        else:
+            runs.append(run := [m])
+    for run in runs:
+        while run and run[-1][0].endswith("."):
+            run.pop()
+        if not run:
+            continue
+        if not fitting([m[0] for m in run], "n"):
+            # not one name: each part is a mention of its own
+            alone = [[m] for m in run if not m[0].endswith(".")]
+        else:
+            alone = [run]
+        for part in alone:
+            a, b = part[0].start(), part[-1].end()
+            if found := fitting([m[0] for m in part], "n"):
+                mentions[a, b] = _nearest(found, a)
+                insort(mentions[a, b].at, a)
+    out = [(a, b, kind, form, text[a:b]) for a, b, kind, form in spans if kind != "name"]
+    return sorted(out + [(a, b, "name", p.gender, " ".join(p.parts)) for (a, b), p in mentions.items()])
+
+
+def _mention(made: str, own: str, text: str) -> str:
+    """A mention of a name in the surrogate of the name's fullest form: the same parts, initials as initials."""
+    full, new, shown = _PART.findall(own), made.split(" "), _PART.findall(text)
+    places = [next((k for k, y in enumerate(full) if y.lower() == x.lower()), None) for x in shown]
+    out = []
+    for i, x in enumerate(shown):
+        k = places[i]
+        if k is None:
+            k = next((k for k, y in enumerate(full[:-1]) if k not in places and _same(x, y)), min(i, len(full) - 1))
+        part = new[k][0] + "." if x.endswith(".") else new[k]
+        out.append(part.upper() if x.isupper() else part)
+    return " ".join(out)
+
+
 def entity_key(kind: str, raw: str, form: str) -> str:
     """What two mentions of one entity share: separators and, but for secrets, letter case don't tell entities apart."""
     if kind in ("card", "iban", "phone", "ssn"):
@@ -121,10 +237,16 @@ def _name(own: str, gender: str, draw: _Draw) -> str:
     onsets, vowels = ("бвгдзклмнпрст", "аеиоу") if cyrillic else ("bdfgklmnprstv", "aeiou")
     ends = {"f": "а" if cyrillic else "a", "m": "н" if cyrillic else "n"}.get(gender, "л" if cyrillic else "l")
     words = []
-    for word in own.split(" "):
+    for word in re.split("([ -])", own):
+        if word in (" ", "-"):
+            words.append(word)
+            continue
+        if word.endswith("."):
+            words.append((onsets[draw.below(13)] + ".").upper())
+            continue
         made = "".join(onsets[draw.below(13)] + vowels[draw.below(5)] for _ in range(3)) + onsets[draw.below(13)] * (gender == "f") + ends
         words.append(made.upper() if word.isupper() and len(word) > 1 else made.capitalize())
-    return " ".join(words)
+    return "".join(words)
 
 
 def surrogate(key: bytes, kind: str, own: str, form: str, attempt: int = 0) -> str:
@@ -166,8 +288,7 @@ def _distinct(docs: DataFrame) -> DataFrame:
         found: dict[str, tuple[str, str, str]] = {}
         for text in batch.column(0):
             text = text.as_py()
-            for a, b, kind, form in detect(text):
-                own = text[a:b]
+            for _, _, kind, form, own in entities(text):
                 entity = entity_key(kind, own, form)
                 found[entity] = min(found.get(entity, (kind, form, own)), (kind, form, own))
         yield pa.record_batch([pa.array([*found], pa.string()), *(pa.array([v[i] for v in found.values()], pa.string()) for i in range(3))], ["entity", "kind", "form", "own"])
@@ -204,12 +325,13 @@ def assign(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def _replaced(text: str | None, key: bytes, attempts: dict[str, int]) -> tuple[str | None, list[dict]]:
-    spans = detect(text)
+    spans = entities(text)
     if not spans:
         return text, []
     out, at, told = [], 0, []
-    for a, b, kind, form in spans:
-        made = surrogate(key, kind, text[a:b], form, attempts.get(entity_key(kind, text[a:b], form), 0))
+    for a, b, kind, form, own in spans:
+        made = surrogate(key, kind, own, form, attempts.get(entity_key(kind, own, form), 0))
+        made = _mention(made, own, text[a:b]) if kind == "name" else made
         out += [text[at:a], made]
         told.append({"start": a, "end": b, "kind": kind, "surrogate": made})
         at = b
@@ -223,7 +345,8 @@ def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     """(id, text, spans) of every row: each detected entity replaced by its surrogate.
 
     The same key gives the same surrogates in every run. All mentions of an entity get one surrogate, in the form of the
-    mention; different entities get different ones. spans have the place of each entity in the original, in characters,
+    mention; a name is told by its fullest form in the text, and its shorter mentions, with other titles or none, get
+    the same parts of its surrogate. Different entities get different ones. spans have the place of each entity in the original, in characters,
     its kind and its surrogate. Null texts stay null and empty ones empty; ids may repeat or be null as long as no
     surrogate has to be drawn again beyond the broadcast bound, where ids must be unique; other columns are ignored.
     """
@@ -245,13 +368,13 @@ def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
         return map_texts(docs, near, schema)
 
     def mentions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at, entities = [], []
+        at, keys = [], []
         for i, text in enumerate(batch.column(1)):
             text = text.as_py()
-            own = {entity_key(k, text[a:b], f) for a, b, k, f in detect(text)}
+            own = {entity_key(k, o, f) for _, _, k, f, o in entities(text)}
             at += [i] * len(own)
-            entities += own
-        yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(entities, pa.string())], ["own_id", "entity"])
+            keys += own
+        yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string())], ["own_id", "entity"])
 
     own = map_texts(docs, mentions, f"own_id {kind}, entity string").join(again, "entity").groupBy("own_id").agg(F.collect_list(F.struct("entity", "attempt")).alias("attempts"))
 

@@ -310,6 +310,21 @@ def test_surrogates(spark):
         assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", card) and pii._luhn([int(c) for c in card if c.isdigit()]) == 0
 
 
+def test_mentions_of_a_person_agree():
+    def names(text):
+        made, spans = pii._replaced(text, b"key", {})
+        return made, [s["surrogate"] for s in spans]
+
+    made, found = names("Mr John Smith came. Smith said that Dr Smith and J. Smith left John's house; SMITH smiths. Mr O'Brien, Ms  Smith-Jones and Mr J. Brown's Brown.")
+    first, last = found[0].split(" ")
+    assert found[1:6] == [last, last, f"{first[0]}. {last}", first, last.upper()]
+    assert "smiths" in made and "'s house" in made and not re.search(r"Smith|John|Jones|Brien|Brown|SMITH", made)
+    assert len(found) == 10 and "-" in found[7] and found[8] == f"{found[8][0]}. {found[9]}"
+    _, found = names("Mrs Smith met Mr Smith. Smith left. Mr Paul Reed and Mr Carl Reed")
+    assert found[0] != found[1] == found[2] and found[3] != found[4]
+    assert names("Smith said so")[1] == []
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
 
