@@ -17,6 +17,9 @@ from .common import cut, map_texts
 #: Surrogates that had to be drawn again are broadcast if they are at most so many, else joined per document.
 BROADCAST_ROWS = 50_000
 
+#: An invented name has three syllables, and one more after each so many attempts, so that names never run out.
+REDRAWS = 4
+
 # Titles that show a person's gender, or that one follows.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Dr": "n", "Prof": "n", "г-н": "m", "г-жа": "f"}
 
@@ -231,7 +234,7 @@ def _fill(form: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in form)
 
 
-def _name(own: str, gender: str, draw: _Draw) -> str:
+def _name(own: str, gender: str, draw: _Draw, syllables: int = 3) -> str:
     """Invented names from syllables of the name's script; the last letter follows the gender."""
     cyrillic = any("а" <= c.lower() <= "я" for c in own)
     onsets, vowels = ("бвгдзклмнпрст", "аеиоу") if cyrillic else ("bdfgklmnprstv", "aeiou")
@@ -244,7 +247,7 @@ def _name(own: str, gender: str, draw: _Draw) -> str:
         if word.endswith("."):
             words.append((onsets[draw.below(13)] + ".").upper())
             continue
-        made = "".join(onsets[draw.below(13)] + vowels[draw.below(5)] for _ in range(3)) + onsets[draw.below(13)] * (gender == "f") + ends
+        made = "".join(onsets[draw.below(13)] + vowels[draw.below(5)] for _ in range(syllables)) + onsets[draw.below(13)] * (gender == "f") + ends
         words.append(made.upper() if word.isupper() and len(word) > 1 else made.capitalize())
     return "".join(words)
 
@@ -253,7 +256,7 @@ def surrogate(key: bytes, kind: str, own: str, form: str, attempt: int = 0) -> s
     """A replacement of the same kind: same separators, length and scripts, valid where the original is."""
     draw = _Draw(key, entity_key(kind, own, form), attempt)
     if kind == "name":
-        return _name(own, form, draw)
+        return _name(own, form, draw, 3 + attempt // REDRAWS)
     if kind == "ip":
         return ".".join(str(draw.below(256)) for _ in range(4))
     if kind == "email":

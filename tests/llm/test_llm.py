@@ -325,6 +325,14 @@ def test_mentions_of_a_person_agree():
     assert names("Smith said so")[1] == []
 
 
+def test_names_never_run_out(monkeypatch):
+    monkeypatch.setattr(pii._Draw, "below", lambda self, n: 0)
+    for own in ("Smith", "J. Smith", "Smith-Jones", "Иванов"):
+        for form in "mfn":
+            made = [pii.surrogate(b"key", "name", own, form, n) for n in range(40)]
+            assert made[0] == made[pii.REDRAWS - 1] and len(set(made)) == 40 // pii.REDRAWS
+
+
 def test_pipeline_stages(spark, tmp_path, docs):
     import corpus_pipeline
 
