@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,12 @@ BANDS = REGISTERS // BAND
 #: How far the estimated similarity of a pair may lie below the limit: seven standard deviations at 0.75.
 SLACK = 0.2
 
+#: Classes in a block of sets that are compared with one another, and the shingles that close a block before.
+BLOCK, BLOCK_SHINGLES = 512, 300_000
+
+#: Buckets of more classes than this are compared in blocks, smaller ones pair by pair.
+SMALL = 16
+
 
 def _order() -> np.ndarray:
     """For each register, at which step it asks each bucket: a fixed random order of the buckets."""
@@ -74,12 +81,12 @@ def document_shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.nd
         yield a, counts, owner[new], found[new]
 
 
-def sketches(df: DataFrame, texts: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, set_key, key, sketch[, text]) of (doc_id, text): set_key is 16 bytes that stand for the set, key
-    the first 8 as a number; without words they and the sketch are null."""
+def sketches(df: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, set_key, sketch) of (doc_id, text_hash, text): set_key is 16 bytes that stand for
+    the set; without words it and the sketch are null."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for a, counts, owner, found in document_shingles(batch.column(1)):
+        for a, counts, owner, found in document_shingles(batch.column(2)):
             sizes = np.bincount(owner, minlength=len(counts))
             begins = np.cumsum(sizes) - sizes
             keys, sketch = [], []
@@ -88,10 +95,11 @@ def sketches(df: DataFrame, texts: bool = False) -> DataFrame:
                 keys.append(_digest(own) if size else None)
                 sketch.append(registers(own).tobytes() if size else None)
             part = batch.slice(a, len(counts))
-            columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([k and int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()), pa.array(sketch, pa.binary()), part.column(1)]
-            yield pa.RecordBatch.from_arrays(columns[: 5 + texts], ["doc_id", "n_shingles", "set_key", "key", "sketch", "text"][: 5 + texts])
+            columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())]
+            yield pa.record_batch(columns, ["doc_id", "text_hash", "n_shingles", "set_key", "sketch"])
 
-    return map_texts(df.select("doc_id", "text"), run, "doc_id long, n_shingles long, set_key binary, key long, sketch binary" + ", text string" * texts)
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return map_texts(df.select("doc_id", "text_hash", "text"), run, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, sketch binary")
 
 
 def _digest(found: np.ndarray) -> bytes:
@@ -102,120 +110,237 @@ def _digest(found: np.ndarray) -> bytes:
 
 
 def bands(sketched: DataFrame) -> DataFrame:
-    """(band, key): a hash for each band of the compressed registers, with the set's key."""
+    """(band, class_id): a hash for each band of the compressed registers, with the class that has it."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(batch), 2000):
             part = batch.slice(a, 2000)
-            own = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)[:, : BANDS * BAND].reshape(-1, BANDS, BAND).astype(np.uint64)
-            keys = part.column(0).to_numpy()
+            own = _matrix(part.column(1))[:, : BANDS * BAND].reshape(-1, BANDS, BAND).astype(np.uint64)
             parts = [own[:, :, i].ravel() for i in range(BAND)]
             band = combine([*parts, np.tile(np.arange(BANDS, dtype=np.uint64), len(own))])
-            yield pa.record_batch([pa.array(band.view(np.int64)), pa.array(np.repeat(keys, BANDS))], ["band", "key"])
+            yield pa.record_batch([pa.array(band.view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "class_id"])
 
-    return map_texts(sketched.select("key", "sketch"), run, "band long, key long")
+    return map_texts(sketched.select("class_id", "sketch"), run, "band long, class_id long")
 
 
-def estimate(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+def corrected(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard similarity from the share of equal registers, corrected for registers that agree by chance."""
-    equal = (left == right).mean(axis=1)
     ratio = np.maximum(n, m) / np.maximum(1, np.minimum(n, m))
     # fixed values: the published approximation of the expected collisions per bucket
     chance = 0.169919487159739093975315012348 * 2.0**-MANTISSA_BITS * 4 * ratio / (1 + ratio) ** 2
     return (equal - chance) / (1 - chance)
 
 
+def estimate(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of sets by their registers and sizes, row by row."""
+    return corrected((left == right).mean(axis=1), n, m)
+
+
+def class_sets(docs: DataFrame) -> DataFrame:
+    """(class_id, n_shingles, sketch, grams) of (class_id, n_shingles, sketch, text): grams are the sorted hashes of the set."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a, counts, owner, found in document_shingles(batch.column(3)):
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(counts)))]).astype(np.int64) * 8
+            grams = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(found)]).cast(pa.binary())
+            part = batch.slice(a, len(counts))
+            yield pa.record_batch([*part.columns[:3], grams], ["class_id", "n_shingles", "sketch", "grams"])
+
+    return map_texts(docs.select("class_id", "n_shingles", "sketch", "text"), run, "class_id long, n_shingles long, sketch binary, grams binary")
+
+
+def _matrix(sketches_of: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches_of.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
 def _verified(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough: an estimate by the sketches first, then the texts' own sets.
+    """The pairs (a, b) of classes whose full sets are similar enough: an estimate by the sketches first, then the sets.
 
-    pool: (doc_id, n_shingles, sketch, text) of all documents that share a bucket with another.
+    pool: (class_id, n_shingles, sketch, grams) of all classes that share a bucket with another.
     """
-    side = lambda x: pool.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    side = lambda x: pool.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     # a set can't be similar to one that is much larger
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(_sizes("n_a", "n_b", percent))
 
     def guess(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(batch), 5000):
             part = batch.slice(start, 5000)
-            left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (4, 5))
-            near = estimate(left, right, part.column(2).to_numpy(), part.column(3).to_numpy()) >= percent / 100 - SLACK
+            near = estimate(_matrix(part.column(4)), _matrix(part.column(5)), part.column(2).to_numpy(), part.column(3).to_numpy()) >= percent / 100 - SLACK
             yield part.select([0, 1]).filter(pa.array(near))
 
     likely = map_texts(sized.select("a", "b", "n_a", "n_b", "s_a", "s_b"), guess, "a long, b long")
-    text = lambda x: pool.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
+    grams = lambda x: pool.select(F.col("class_id").alias(x), F.col("grams").alias(f"g_{x}"))
 
     def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for start in range(0, len(batch), 500):
-            part = batch.slice(start, 500)
-            left, right = _sets(part.column(2)), _sets(part.column(3))
-            same = []
-            for x, y in zip(left, right):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield part.select([0, 1]).filter(pa.array(same, pa.bool_()))
+        same = []
+        for left, right in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            same.append(100 * both >= percent * (len(x) + len(y) - both))
+        yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
-    return map_texts(likely.join(text("b"), "b").join(text("a"), "a").select("a", "b", "t_a", "t_b"), check, "a long, b long")
+    return map_texts(likely.join(grams("b"), "b").join(grams("a"), "a").select("a", "b", "g_a", "g_b"), check, "a long, b long")
 
 
 def _sizes(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for _, counts, owner, found in document_shingles(column):
-        out += np.split(found, np.cumsum(np.bincount(owner, minlength=len(counts)))[:-1])
+class _Block:
+    """The classes of one block, in arrays."""
+
+    def __init__(self, members: pa.Scalar):
+        rows = members.values
+        self.ids, self.labels, self.sizes = (rows.field(k).to_numpy() for k in ("class_id", "c", "n_shingles"))
+        self.registers = _matrix(rows.field("sketch"))
+        self.grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("grams")]
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each set on the left shares with each on the right: a product of their 0-1 matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    x, y = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(x, y)
+    placed = []
+    for flat, sets in ((x, left), (y, right)):
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        hit = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        at, row = at[hit], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit]
+        order = np.argsort(at, kind="stable")
+        placed.append((at[order], row[order]))
+    for low in range(0, len(shared), 4096):
+        parts = []
+        for (at, row), n in zip(placed, out.shape):
+            a, b = np.searchsorted(at, [low, low + 4096])
+            matrix = np.zeros((n, min(4096, len(shared) - low)), np.float32)
+            matrix[row[a:b], at[a:b] - low] = 1
+            parts.append(matrix)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _links(x: _Block, y: _Block, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Links between classes of two blocks (or of one, if they are the same), one for each two components joined."""
+    equal = np.zeros((len(x.ids), len(y.ids)), np.int32)
+    for r in range(REGISTERS):
+        equal += x.registers[:, r, None] == y.registers[None, :, r]
+    n, m = np.broadcast_arrays(x.sizes[:, None], y.sizes[None, :])
+    likely = (corrected(equal / REGISTERS, n, m) >= percent / 100 - SLACK) & (x.labels[:, None] != y.labels[None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    if same:
+        likely &= np.arange(len(x.ids))[:, None] < np.arange(len(y.ids))[None, :]
+    left, right = np.flatnonzero(likely.any(axis=1)), np.flatnonzero(likely.any(axis=0))
+    if not len(left):
+        return []
+    common = _common([x.grams[i] for i in left], [y.grams[j] for j in right])
+    n, m = x.sizes[left, None], y.sizes[None, right]
+    linked = likely[np.ix_(left, right)] & (100 * common >= percent * (n + m - common))
+    i, j = np.nonzero(linked)
+    i, j = left[i], right[j]
+    labels, place = np.unique(np.concatenate([x.labels[i], y.labels[j]]), return_inverse=True)
+    _, first = np.unique(place[: len(i)] * len(labels) + place[len(i) :], return_index=True)
+    parent, out = [*range(len(labels))], []
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for k in first:
+        a, b = top(int(place[k])), top(int(place[len(i) + k]))
+        if a != b:
+            parent[b] = a
+            out.append((int(x.ids[i[k]]), int(y.ids[j[k]])))
     return out
 
 
+def _within_groups(groups: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of one group that have different labels, of groups (class_id, grp, c).
+
+    A group's classes are dealt into blocks of about BLOCK classes of like set size, those of its commonest label apart.
+    Blocks meet blocks whose sizes allow a link, unless both hold the commonest label; a task compares all classes of
+    two blocks in matrices and returns links that join labels, fewer than the classes it has.
+    """
+    most = groups.groupBy("grp", "c").count().groupBy("grp").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    level = F.floor(F.log("n_shingles") / math.log(100 / min(percent, 99))).cast("int")
+    placed = groups.join(most, "grp").select("class_id", "grp", "c", (F.col("c") == F.col("main")).alias("main"))
+    placed = cut(placed.join(pool.select("class_id", "n_shingles"), "class_id").withColumn("level", level))
+    keys = ["grp", "level", "main"]
+    counted = placed.groupBy(*keys).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
+    dealt = placed.join(counted, keys).withColumn("part", F.pmod(F.xxhash64("class_id"), "parts")).drop("parts", "n_shingles")
+    member = F.struct("class_id", "c", "n_shingles", "sketch", "grams")
+    blocks = dealt.join(pool, "class_id").groupBy(*keys, "part").agg(F.collect_list(member).alias("members"))  # bounded by parts
+    blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()))
+    x = blocks.select("grp", F.col("main").alias("main_x"), F.col("block").alias("x"), "level", F.explode(F.array("level", F.col("level") + 1)).alias("level_y"))
+    y = blocks.select("grp", F.col("level").alias("level_y"), F.col("main").alias("main_y"), F.col("block").alias("y"))
+    meet = ((F.col("level_y") > F.col("level")) | (F.col("y") >= F.col("x"))) & ~(F.col("main_x") & F.col("main_y"))
+    pairs = x.join(y, ["grp", "level_y"]).filter(meet).select("x", "y")
+    loaded = pairs.join(blocks.select(F.col("block").alias("x"), F.col("members").alias("left")), "x").join(blocks.select(F.col("block").alias("y"), F.col("members").alias("right")), "y")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(len(batch)):
+            same = batch.column(0)[i] == batch.column(1)[i]
+            found = _links(_Block(batch.column(2)[i]), _Block(batch.column(3)[i]), same, percent)
+            yield pa.record_batch([pa.array([k[n] for k in found], pa.int64()) for n in (0, 1)], ["a", "b"])
+
+    return map_texts(loaded.select("x", "y", "left", "right"), run, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row: components of documents whose 5-word shingle sets agree.
-
-    Two sets are linked where 100 * intersection >= percent * union. Rows with equal sets fall into one class, whose
-    smallest id goes on. Banded sketches bring classes into buckets. Links are looked for in four rounds, each only
-    between classes that the rounds before left in different components: each class with the most central one that it
-    shares a bucket with; with the most central of each of its buckets; with the most central of each other component
-    in them; with all in them. The centre of a bucket is its class that shares the largest buckets, so a group of
-    thousands of copies of one text costs about one link a member, and no link between components is lost. Texts
-    without words have an empty set, are linked with nothing and kept. Ids should be unique; null ids are left out; an
-    empty table gives an empty result; other columns are ignored.
+    """(id, n_shingles, component_id, kept, text_hash) of every row: components of rows whose 5-word shingle sets agree.
+
+    Two sets are linked where 100 * intersection >= percent * union. Rows with equal sets fall into one class. Banded
+    sketches bring classes into buckets. First each class meets the most central one that it shares a bucket with, the
+    centre of a bucket being its class that shares the largest buckets; a group of thousands of copies of one text
+    costs about one link a member. Then all classes that this left in different components and that share a bucket are
+    compared: in buckets of up to SMALL classes pair by pair; larger buckets that share classes form groups, compared in
+    blocks without a row for each pair. So no link between components is lost.
+
+    component_id is the smallest id of the component, kept says that the row's id is that; text_hash is xxhash64 of the
+    text, which tells rows of one id apart. Texts without words have an empty set, are linked with nothing and kept.
+    Every row gives one row: repeated rows are in one component, null ids take part, and where a component has only null
+    ids its component_id is null and all its rows are kept. Texts of any length are taken whole. An empty table gives an
+    empty result; other columns are ignored.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    all_sketches = cut(sketches(docs))
-    filled = all_sketches.filter("n_shingles > 0")
-    classes = cut(filled.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.min("key").alias("key")))
-    members = filled.select("doc_id", "set_key").join(classes.drop("key"), "set_key").select("doc_id", "class_id")
-
-    # buckets of at least two different sets; sets go by 8 bytes of their keys until there are few of them
-    banded = bands(filled)
-    shared = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).filter("low <> high").select("band", "n")
-    keyed = banded.join(shared, "band").distinct()
-    names = classes.select("key", "class_id")
-    buckets = cut(keyed.join(names, "key").select("band", "n", F.col("class_id").alias("doc_id")))
-    pool = cut(sketches(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), texts=True).select("doc_id", "n_shingles", "sketch", "text"))
-    scores = buckets.groupBy("doc_id").agg(F.sum("n").alias("score")).join(pool.select("doc_id", "n_shingles"), "doc_id")
-    buckets = cut(buckets.select("band", "doc_id").join(scores, "doc_id"))
-
-    central = F.max_by("doc_id", F.struct("score", -F.col("doc_id")))
-    centres = cut(buckets.groupBy("band").agg(central.alias("a"), F.max("score").alias("s")))
-    spokes = cut(buckets.join(centres, "band").filter("doc_id <> a").select("a", "s", F.col("doc_id").alias("b")).distinct())
-    links = cut(_verified(spokes.groupBy("b").agg(F.max_by("a", F.struct("s", -F.col("a"))).alias("a")).select("a", "b"), pool, percent))
-    for step in range(3):
-        label = components(links)
-        of = lambda x: label.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
-        if step == 0:
-            pairs = spokes.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
-        else:
-            named = buckets.join(of("doc_id"), "doc_id", "left").withColumn("c", F.coalesce("c_doc_id", "doc_id"))
-            mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("band")
-            named = cut(named.join(mixed, "band", "left_semi").select("band", "doc_id", "n_shingles", "score", "c"))
-            other = named if step == 2 else named.groupBy("band", "c").agg(central.alias("doc_id"), F.max_by("n_shingles", F.struct("score", -F.col("doc_id"))).alias("n_shingles"))
-            x, y = named.select("band", F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "c"), other.select("band", F.col("doc_id").alias("y"), F.col("n_shingles").alias("m"), F.col("c").alias("d"))
-            apart = (F.col("c") != F.col("d")) & _sizes("n", "m", percent) & ((F.col("x") < F.col("y")) if step == 2 else F.lit(True))
-            pairs = x.join(y, "band").filter(apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        links = cut(links.union(_verified(cut(pairs.select("a", "b").distinct()), pool, percent)))
-    label = components(links)
+    docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = cut(sketches(docs))
+    filled = rows.filter("n_shingles > 0")
+    by_set = filled.groupBy("set_key").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = cut(by_set.withColumn("class_id", F.monotonically_increasing_id()))
+
+    banded = bands(classes)
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = cut(banded.join(shared, "band"))
+    scores = buckets.groupBy("class_id").agg(F.sum("n").alias("score"))
+
+    # one text of each class in a bucket
+    wanted = classes.join(scores.select("class_id"), "class_id").select("class_id", "n_shingles", "sketch", F.col("one.doc_id").alias("own_id"), F.col("one.text_hash").alias("own_hash"))
+    pool = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    if rows.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
+        pool = pool.dropDuplicates(["class_id"])
+    pool = cut(class_sets(pool))
+
+    scored = buckets.join(scores, "class_id")
+    centres = scored.groupBy("band").agg(F.max_by("class_id", F.struct("score", -F.col("class_id"))).alias("a"), F.max("score").alias("s"))
+    spokes = buckets.join(centres, "band").filter("class_id <> a").groupBy(F.col("class_id").alias("b")).agg(F.max_by("a", F.struct("s", -F.col("a"))).alias("a"))
+    links = cut(_verified(spokes.select("a", "b"), pool, percent))
 
-    placed = members.join(label.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = all_sketches.select("doc_id", "n_shingles").join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept"))
+    label = components(links)
+    named = buckets.join(label.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("band", "class_id", "n", F.coalesce("component", "class_id").alias("c"))
+    mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("class_id").alias("low")).filter("c0 <> c1").select("band", "low")
+    named = cut(named.join(mixed, "band"))
+
+    large = components(named.filter(F.col("n") > SMALL).select(F.col("low").alias("a"), F.col("class_id").alias("b")).distinct())
+    groups = cut(large.select(F.col("id").alias("class_id"), F.col("component").alias("grp")).join(named.select("class_id", "c").distinct(), "class_id"))
+    in_groups = _within_groups(groups, pool, percent)
+
+    few = named.filter(F.col("n") <= SMALL).select("band", "class_id", "c").join(groups.select("class_id", "grp"), "class_id", "left")
+    x, y = few.select("band", F.col("class_id").alias("a"), "c", "grp"), few.select("band", F.col("class_id").alias("b"), F.col("c").alias("d"), F.col("grp").alias("other"))
+    apart = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & F.coalesce(F.col("grp") != F.col("other"), F.lit(True))
+    in_pairs = _verified(x.join(y, "band").filter(apart).select("a", "b").distinct(), pool, percent)
+    label = components(cut(links.union(in_groups).union(in_pairs)))
+
+    named = classes.select("class_id", "set_key", "low").join(label.select(F.col("id").alias("class_id"), "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    placed = named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("set_key", "component_id")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "set_key").join(placed, "set_key", "left").withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
