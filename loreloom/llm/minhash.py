@@ -287,17 +287,18 @@ def _within_groups(groups: DataFrame, pool: DataFrame, percent: int) -> DataFram
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(id, n_shingles, component_id, kept, text_hash) of every row: components of rows whose 5-word shingle sets agree.
+    """(id, n_shingles, component_id, kept, text_hash, stays) of every row: components of rows whose 5-word shingle sets agree.
 
     Two sets are linked where 100 * intersection >= percent * union. Rows with equal sets fall into one class. Banded
     sketches bring classes into buckets. First each class meets the most central one that it shares a bucket with, the
     centre of a bucket being its class that shares the largest buckets; a group of thousands of copies of one text
     costs about one link a member. Then all classes that this left in different components and that share a bucket are
-    compared: in buckets of up to SMALL classes pair by pair; larger buckets that share classes form groups, compared in
-    blocks without a row for each pair. So no link between components is lost.
+    compared: in buckets of up to SMALL classes pair by pair; larger buckets whose centres are linked form a group, compared
+    in blocks without a row for each pair. So no link between components is lost.
 
     component_id is the smallest id of the component, kept says that the row's id is that; text_hash is xxhash64 of the
-    text, which tells rows of one id apart. Texts without words have an empty set, are linked with nothing and kept.
+    text, which tells rows of one id apart, and stays marks one such row of each component (several only if they have
+    the same id and text). Texts without words have an empty set, are linked with nothing and kept.
     Every row gives one row: repeated rows are in one component, null ids take part, and where a component has only null
     ids its component_id is null and all its rows are kept. Texts of any length are taken whole. An empty table gives an
     empty result; other columns are ignored.
@@ -305,7 +306,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     rows = cut(sketches(docs))
     filled = rows.filter("n_shingles > 0")
-    by_set = filled.groupBy("set_key").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    by_set = filled.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = cut(by_set.withColumn("class_id", F.monotonically_increasing_id()))
 
     banded = bands(classes)
@@ -325,22 +326,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spokes = buckets.join(centres, "band").filter("class_id <> a").groupBy(F.col("class_id").alias("b")).agg(F.max_by("a", F.struct("s", -F.col("a"))).alias("a"))
     links = cut(_verified(spokes.select("a", "b"), pool, percent))
 
-    label = components(links)
-    named = buckets.join(label.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("band", "class_id", "n", F.coalesce("component", "class_id").alias("c"))
-    mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("class_id").alias("low")).filter("c0 <> c1").select("band", "low")
+    # a link leads from each class to a more central one: two jumps give labels that joined classes share, mostly all
+    up = lambda x: links.select(F.col("b").alias(x), F.col("a").alias(f"{x}_up"))
+    jump = links.join(up("a"), "a", "left").select("b", F.coalesce("a_up", "a").alias("a"))
+    label = cut(jump.join(jump.select(F.col("b").alias("a"), F.col("a").alias("a_up")), "a", "left").select(F.col("b").alias("class_id"), F.coalesce("a_up", "a").alias("label")))
+
+    named = buckets.join(label, "class_id", "left").select("band", "class_id", "n", F.coalesce("label", "class_id").alias("c"))
+    hub = centres.join(label.withColumnRenamed("class_id", "a"), "a", "left").select("band", F.coalesce("label", "a").alias("grp"))
+    mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").join(hub, "band").select("band", "grp")
     named = cut(named.join(mixed, "band"))
 
-    large = components(named.filter(F.col("n") > SMALL).select(F.col("low").alias("a"), F.col("class_id").alias("b")).distinct())
-    groups = cut(large.select(F.col("id").alias("class_id"), F.col("component").alias("grp")).join(named.select("class_id", "c").distinct(), "class_id"))
+    groups = cut(named.filter(F.col("n") > SMALL).select("class_id", "grp", "c").distinct())
     in_groups = _within_groups(groups, pool, percent)
 
-    few = named.filter(F.col("n") <= SMALL).select("band", "class_id", "c").join(groups.select("class_id", "grp"), "class_id", "left")
+    own = groups.groupBy("class_id").agg(F.min("grp").alias("grp"))
+    few = named.filter(F.col("n") <= SMALL).select("band", "class_id", "c").join(own, "class_id", "left")
     x, y = few.select("band", F.col("class_id").alias("a"), "c", "grp"), few.select("band", F.col("class_id").alias("b"), F.col("c").alias("d"), F.col("grp").alias("other"))
     apart = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & F.coalesce(F.col("grp") != F.col("other"), F.lit(True))
     in_pairs = _verified(x.join(y, "band").filter(apart).select("a", "b").distinct(), pool, percent)
-    label = components(cut(links.union(in_groups).union(in_pairs)))
 
-    named = classes.select("class_id", "set_key", "low").join(label.select(F.col("id").alias("class_id"), "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    placed = named.join(named.groupBy("component").agg(F.min("low").alias("component_id")), "component").select("set_key", "component_id")
-    out = rows.select("doc_id", "text_hash", "n_shingles", "set_key").join(placed, "set_key", "left").withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
+    # the components of the labels are those of the classes
+    of = lambda x: label.select(F.col("class_id").alias(x), F.col("label").alias(f"c_{x}"))
+    joined = links.union(in_groups).union(in_pairs).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).filter("a <> b")
+    component = components(joined)
+    label = label.join(component.withColumnRenamed("id", "label"), "label", "left").select("class_id", F.coalesce("component", "label").alias("component"))
+    label = label.union(component.join(label.select(F.col("class_id").alias("id")), "id", "left_anti").select("id", "component"))
+
+    named = classes.select("class_id", "set_key", "one").join(label, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    placed = named.join(named.groupBy("component").agg(F.min("one").alias("first")), "component").select("set_key", "first.doc_id", "first.text_hash")
+    placed = placed.select("set_key", F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", "set_key").join(placed, "set_key", "left")
+    out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("first_id"))).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    stays = F.col("kept") & F.coalesce(F.col("first_hash") == F.col("text_hash"), F.lit(True))
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "kept", "text_hash", stays.alias("stays"))
