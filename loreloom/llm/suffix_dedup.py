@@ -4,9 +4,12 @@ A rolling hash over every 16 bytes of a text sets triggers; they cut the text in
 a window of `length` bytes belongs to one trigger, the one of least hash in the window's first 128 places, which the
 window's own bytes decide. A phrase holds all windows of one trigger, so equal windows lie in phrases that agree from
 the trigger on for at least `length` - 127 bytes: that stretch is the phrase's key. The dictionary is the distinct
-phrases, the parse the documents' sequences of them. A repeated phrase settles all its windows at once, a phrase whose
-key is unique has no repeated window, and only phrases that share a key but differ elsewhere are taken apart: their
-suffixes, cut to `length` bytes, are brought into order (by hash) to find equal neighbours.
+phrases with their numbers of occurrences, the parse the documents' sequences of them. Suffixes of the dictionary's
+phrases, cut to `length` bytes, are put in lexicographic order by prefix doubling; equal neighbours, and phrases that
+the parse has twice, are the corpus's repeated windows, and the parse says where in the corpus they are.
+
+Only phrases of one key can share windows, so the order is made for the keys of a task, not for all keys in one merge;
+a key of one phrase needs none, as its windows are repeated where the phrase is.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ from .common import RollingHash, chunks, codes, combine, cut, map_texts, ranges,
 TRIGGER, PLACES = 16, 128
 
 #: A key with more different phrases is not left to one task: its windows are dealt out by their hashes.
-LOCAL = 200_000
+LOCAL = 4_000
+
+#: Phrases whose suffixes are put in order at a time, besides those of the last key.
+AT_ONCE = 4_000
 
 
 def places(length: int) -> int:
@@ -92,13 +98,44 @@ def _spans(texts: DataFrame, length: int) -> DataFrame:
     return map_texts(texts.select("id", "text", "phrases"), run, f"key long, id {kind}, start long, single boolean, wide boolean, span binary")
 
 
-def _suffixes(spans: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each suffix of the spans, cut to `length` bytes, with its span and its place in it."""
-    data, at = text_bytes(spans)
+def _windows(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of each window in the spans that begin and end at `at`, with its span and its place in it."""
     n = np.diff(at) - length + 1
     start = ranges(at[:-1], n)
     row = np.repeat(np.arange(len(n)), n)
-    return RollingHash(data, codes()).ranges(start, start + length), row, start - at[row]
+    return start, row, start - at[row]
+
+
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """The place of each number among the distinct ones."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    new = np.ones(len(keys), np.int64)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def suffix_ranks(data: np.ndarray, length: int, start: np.ndarray) -> np.ndarray:
+    """The rank of the `length` bytes from each start in their lexicographic order; equal bytes have equal ranks.
+
+    Prefix doubling: the order of all places by twice as many bytes follows from two ranks by the bytes known so far.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    first = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        first = first << np.uint64(8) | padded[i : i + len(data)]
+    if length < 8:
+        return _ranked(first[start] >> np.uint64(8 * (8 - length)))
+    rank, depth = _ranked(first), 8
+    while 2 * depth <= length:
+        later = np.zeros(len(rank), np.int64)
+        later[:-depth] = rank[depth:]
+        rank, depth = _ranked(rank * (len(rank) + 1) + later), 2 * depth
+    if depth == length:
+        return _ranked(rank[start])
+    return _ranked(rank[start] * (len(rank) + 1) + rank[start + length - depth])
 
 
 def _equal_neighbours(spans: DataFrame, length: int) -> DataFrame:
@@ -110,23 +147,22 @@ def _equal_neighbours(spans: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = held["key"].to_numpy()
-            done = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            if done:
-                yield compare(held.slice(0, done))
-                held = held.slice(done)
+            for at in range(0, len(batch), AT_ONCE):
+                table = pa.Table.from_batches([batch.slice(at, AT_ONCE)])
+                held = table if held is None else pa.concat_tables([held, table])
+                keys = held["key"].to_numpy()
+                done = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next rows
+                if done:
+                    yield compare(held.slice(0, done))
+                    held = held.slice(done)
         if held is not None:
             yield compare(held)
 
     def compare(table: pa.Table) -> pa.RecordBatch:
-        window, row, place = _suffixes(table["span"], length)
-        order = np.argsort(window, kind="stable")
-        same = window[order][1:] == window[order][:-1]
-        twice = np.zeros(len(window), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        twice &= table["single"].to_numpy()[row]
+        data, at = text_bytes(table["span"])
+        start, row, place = _windows(at, length)
+        rank = suffix_ranks(data, length, start)
+        twice = (np.bincount(rank) > 1)[rank] & table["single"].to_numpy()[row]
         row, start = row[twice], table["start"].to_numpy()[row[twice]] + place[twice]
         first, n = run_lengths(row * (1 << 40) + start - np.arange(len(start)))
         low = start[first]
@@ -138,26 +174,34 @@ def _equal_neighbours(spans: DataFrame, length: int) -> DataFrame:
 
 
 def _equal_anywhere(spans: DataFrame, length: int) -> DataFrame:
-    """The same for keys of very many phrases: the suffixes themselves are dealt out."""
+    """The same for keys of very many phrases: the windows themselves are dealt out, told by 128 bits of key and hash."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(batch), 5000):
-            part = batch.slice(a, 5000)
-            window, row, place = _suffixes(part.column(3), length)
-            yield pa.record_batch([pa.array(window.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(part.column(1).to_numpy()[row] + place), part.column(2).take(pa.array(row))], ["window", "id", "start", "single"])
+        for a in range(0, len(batch), AT_ONCE):
+            part = batch.slice(a, AT_ONCE)
+            data, at = text_bytes(part.column(4))
+            start, row, place = _windows(at, length)
+            window, row_of = RollingHash(data, codes()).ranges(start, start + length), pa.array(row)
+            yield pa.record_batch([part.column(0).take(row_of), pa.array(window.view(np.int64)), part.column(1).take(row_of), pa.array(part.column(2).to_numpy()[row] + place), part.column(3).take(row_of)], ["key", "window", "id", "start", "single"])
 
     kind = spans.schema["id"].dataType.simpleString()
-    windows = map_texts(spans.select("id", "start", "single", "span"), run, f"window long, id {kind}, start long, single boolean")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    return windows.filter("single").join(twice, "window", "left_semi").select("id", F.col("start").alias("low"), F.col("start").alias("high"))
+    windows = map_texts(spans.select("key", "id", "start", "single", "span"), run, f"key long, window long, id {kind}, start long, single boolean")
+    twice = windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n > 1").select("key", "window")
+    return windows.filter("single").join(twice, ["key", "window"], "left_semi").select("id", F.col("start").alias("low"), F.col("start").alias("high"))
 
 
-def repeated_spans(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", local: int = LOCAL) -> DataFrame:
-    """(id, starts): for each text with repeated strings, ranges of the starts, in bytes, of the windows of `length`
-    bytes that also start elsewhere, in this text or another."""
+def _identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text): id tells rows apart but for those of equal id and text, whose windows are all repeated anyway."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    long = docs.filter(F.octet_length("text") >= length)
-    parsed = phrases(long, length)
+    if docs.groupBy("id").count().filter("count > 1").limit(1).count():
+        docs = docs.select(F.struct("id", F.xxhash64("text").alias("hash")).alias("id"), "text")
+    return docs
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, local: int = LOCAL) -> DataFrame:
+    """(id, starts): for each row of (id, text) with repeated strings, ranges of the starts, in bytes, of the windows of
+    `length` bytes that also start elsewhere, in this text or another. Ids may be null, but must tell texts apart."""
+    parsed = phrases(docs.filter(F.octet_length("text") >= length), length)
     keys = parsed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     shared = cut(parsed.join(keys, "key", "left_semi"))
 
@@ -169,8 +213,11 @@ def repeated_spans(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
 
     apart = dictionary.filter("kinds > 1").select(F.col("first.id").alias("own_id"), F.struct("key", F.col("first.place").alias("place"), (F.col("n") == 1).alias("single"), (F.col("kinds") > local).alias("wide")).alias("p"))
     apart = apart.groupBy("own_id").agg(F.collect_list("p").alias("phrases"))  # as many as the text has triggers
-    spans = cut(_spans(long.join(apart, F.col("id") == F.col("own_id")), length))
-    found = whole.union(_equal_neighbours(spans.filter("not wide"), length)).union(_equal_anywhere(spans.filter("wide"), length))
+    # the same exchange of the texts by id as that of the removal, so that Spark makes it once
+    spans = _spans(docs.join(apart, F.col("id").eqNullSafe(F.col("own_id"))), length)
+    found = whole.union(_equal_neighbours(spans.filter("not wide"), length))
+    if dictionary.filter(F.col("kinds") > local).limit(1).count():
+        found = found.union(_equal_anywhere(spans.filter("wide"), length))
     return found.groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("starts"))
 
 
@@ -179,11 +226,12 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
 
     A string of `length` bytes is repeated if it starts at more than one place of all texts; matches don't cross texts
     and are judged on the input. spans are the maximal removed runs, as starts and ends in bytes; kept are the other
-    bytes in order, which need not be UTF-8 at the cuts. Null texts count as empty; repeated rows remove each other's
-    texts if long enough, so ids should be unique; an empty table gives an empty result; other columns are ignored.
+    bytes in order, which need not be UTF-8 at the cuts. Null texts count as empty. Every row gives one row: null and
+    repeated ids are rows like others, and repeated rows remove each other's texts if long enough. Texts of any length
+    are taken whole; an empty table gives an empty result; other columns are ignored.
     """
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = repeated_spans(df, length, id_col, text_col).withColumnRenamed("id", "found_id")
+    docs = _identified(df, id_col, text_col)
+    found = repeated_spans(docs, length).withColumnRenamed("id", "found_id")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(batch.column(1))
@@ -203,8 +251,9 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
         kinds = (pa.int64(), pa.int64(), pa.int64(), span, pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(rows, kinds))], [id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    joined = docs.join(found, F.col("id") == F.col("found_id"), "left").select("id", "text", "starts")
+    kind = df.schema[id_col].dataType.simpleString()
+    joined = docs.join(found, F.col("id").eqNullSafe(F.col("found_id")), "left")
+    joined = joined.select("id.id" if kind != docs.schema["id"].dataType.simpleString() else "id", "text", "starts")
     return map_texts(joined, run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary")
 
 
