@@ -13,7 +13,7 @@ from .common import cut
 BLOCK = 128
 
 #: Rows in a range whose rows one task numbers or sums up.
-RANGE = 20_000
+RANGE = 4_000
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -73,15 +73,17 @@ def _numbered(df: DataFrame, group: list[str], rough: str, order: list[str], amo
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, schedule, takes).
 
-    documents: (id, source, size, source_size, target); takes: (slot, source, id, pass, first_word, n_words), the mix in the
-    order of its slots. schedule: (slot, source, rank). A source's words, its documents in an order shuffled by hash,
+    documents: (row, id, text_hash, source, size, source_size, target), row being a number of its own for every row;
+    takes: (slot, source, row, id, text_hash, pass, first_word, n_words), the mix in the order of its slots. schedule: (slot, source, rank). A source's words, its documents in an order shuffled by hash,
     form blocks of `block` words; after the last the source starts again, at most `repeats` times in all. Slot i has the
     golden-ratio point i, mapped through the targets' cumulative shares to a source; it takes the source's block of
     the slot's rank. Equal input and seed give an equal mix. Null texts and texts without words have size 0 and are
-    never taken; the null source is one source; an empty table gives empty results; ids should be unique; other
-    columns are ignored.
+    never taken; the null source is one source; null and repeated ids are rows like others, and rows of equal id and
+    text are taken as often as rows of different ones; a text of any length is one document; an empty table gives
+    empty results; other columns are ignored.
     """
-    docs = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")))
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    docs = cut(docs.withColumn("row", F.monotonically_increasing_id()))
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     goals = cut(targets(sizes.select("source", "source_size"), weights, share, repeats).join(sizes.select(F.col("source").alias("_s"), "n_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
 
@@ -94,21 +96,21 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     schedule = _numbered(schedule.withColumn("one", F.lit(1)).withColumn("part", F.floor(F.col("slot") / RANGE)), ["source"], "part", ["slot"], "one", "rank").select("slot", "source", "source_size", "rank")
 
     hashed = docs.filter("size > 0").join(goals.select(F.col("source").alias("_s"), "n_docs", "source_size"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    hashed = hashed.withColumn("shuffled", F.xxhash64("id", F.lit(seed))).withColumn("part", F.pmod(F.xxhash64("shuffled", F.lit(1)), F.ceil(F.col("n_docs") / RANGE)))
-    laid = _numbered(hashed, ["source"], "part", ["shuffled", "id"], "size", "start")
+    hashed = hashed.withColumn("shuffled", F.xxhash64("id", "text_hash", F.lit(seed))).withColumn("part", F.pmod(F.xxhash64("shuffled", F.lit(1)), F.ceil(F.col("n_docs") / RANGE)))
+    laid = _numbered(hashed, ["source"], "part", ["shuffled", "id", "row"], "size", "start")
 
     # what each document gives to the blocks of each pass
     passes = laid.withColumn("pass", F.explode(F.array(*(F.lit(i) for i in range(repeats))))).withColumn("begin", F.col("start") + F.col("pass") * F.col("source_size"))
     touched = passes.withColumn("rank", F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))))
     low = F.greatest(F.col("begin"), F.col("rank") * block)
     high = F.least(F.col("begin") + F.col("size"), (F.col("rank") + 1) * block)
-    shares = touched.select("id", "source", "pass", "rank", (low - F.col("begin")).alias("first_word"), (high - low).alias("n_words"))
+    shares = touched.select("row", "id", "text_hash", "source", "pass", "rank", (low - F.col("begin")).alias("first_word"), (high - low).alias("n_words"))
     used = schedule.select(F.col("source").alias("_s"), F.col("rank").alias("_r"), "slot")
-    takes = shares.join(used, F.col("source").eqNullSafe(F.col("_s")) & (F.col("rank") == F.col("_r"))).select("slot", "source", "id", "pass", "first_word", "n_words")
+    takes = shares.join(used, F.col("source").eqNullSafe(F.col("_s")) & (F.col("rank") == F.col("_r"))).select("slot", "source", "row", "id", "text_hash", "pass", "first_word", "n_words")
 
     described = docs.join(goals.select(F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s")), "left")
     named = lambda frame: frame.withColumnRenamed("id", id_col)
-    return named(described.select("id", "source", "size", "source_size", "target")), schedule.select("slot", "source", "rank"), named(takes)
+    return named(described.select("row", "id", "text_hash", "source", "size", "source_size", "target")), schedule.select("slot", "source", "rank"), named(takes)
 
 
 def _schedule(docs: DataFrame, arcs: DataFrame, slots: int) -> DataFrame:

@@ -29,7 +29,7 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(documents(spark, sf_dir))
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("text_hash", "stays")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,13 +44,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_hash")
 
 
 def op6_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    hashes = docs.select("doc_id", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
-    return exact_dedup.exact_duplicates(docs).join(hashes, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = exact_dedup.exact_duplicates(documents(spark, sf_dir), hashes=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op7_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +59,8 @@ def op7_line_frequency_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _, takes = mixing.mix(documents(spark, sf_dir))
-    taken = takes.groupBy("doc_id").agg(F.sum("n_words").alias("taken"))
-    return docs.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = takes.groupBy("row").agg(F.sum("n_words").alias("taken"))
+    return docs.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op9_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,15 +14,19 @@ from .common import cut
 #: bits: 32 of the checksum, and 64 of the id with its sign turned, which keeps the order.
 KEY_BITS = 96
 
-#: A round refines each open splitter by this many bits, to 1,024 new probes each.
-ROUND_BITS = 10
+#: A round refines each open splitter by this many bits at most, to 1,024 new probes each, and by fewer where there are
+#: many splitters: the driver gets at most 2 ** PROBE_BITS counts a round.
+ROUND_BITS, PROBE_BITS = 10, 18
 
-#: Each shard is exchanged and sorted in so many ranges, so that no task holds a shard.
-FINE = 16
+#: Each shard is exchanged and sorted in so many ranges at least, and in more where one would hold over RANGE_ROWS rows.
+FINE, RANGE_ROWS = 16, 2_000_000
 
 #: How far a splitter may be off, as a share of a range.
 TOLERANCE = 0.02
 
+#: Texts of one checksum are kept together if they are at most this share of a range.
+WHOLE = 0.5
+
 
 def _add(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -37,12 +41,13 @@ def _digits(level: int, bits: int) -> Column:
     return F.shiftrightunsigned(turned, KEY_BITS - level - bits).bitwiseAND((1 << bits) - 1)
 
 
-def _steps() -> list[tuple[int, int]]:
-    """(level, bits) of the rounds."""
+def _steps(wanted: int) -> list[tuple[int, int]]:
+    """(level, bits) of the rounds for so many ranges."""
+    most = max(1, min(ROUND_BITS, PROBE_BITS - wanted.bit_length()))
     out = []
     for start, end in ((0, 32), (32, KEY_BITS)):
         while start < end:
-            bits = min(ROUND_BITS, end - start)
+            bits = min(most, end - start)
             out.append((start, bits))
             start += bits
     return out
@@ -53,16 +58,17 @@ def splitters(keys: DataFrame, wanted: int) -> list[int]:
 
     Each splitter is known to lie under a prefix of the key. A round counts the exact bytes of each prefix that holds
     an open splitter, one digit deeper, by a grouped sum with partial sums on the tasks; the driver gets at most 1,024
-    rows a splitter. A splitter closes once the probe just above it is within the tolerance.
+    rows a splitter. A splitter closes once a probe beside it is within the tolerance, and at a border of a checksum's
+    texts if these are at most the share WHOLE of a range.
     """
     total = keys.agg(F.sum("size")).first()[0] or 0
     if not total:
         return []
-    slack = TOLERANCE * total / wanted
+    slack, whole = TOLERANCE * total / wanted, WHOLE * total / wanted
     found: dict[int, int] = {}
     # prefix (as a number of `level` bits) -> (bytes below it, splitters under it)
     opened: dict[int, tuple[int, list[int]]] = {0: (0, [*range(1, wanted)])}
-    for level, bits in _steps():
+    for level, bits in _steps(wanted):
         if level:
             # the open prefixes, at most wanted - 1, in two longs
             rows = [(k >> (level - 32) if level > 32 else k, (k & ((1 << (level - 32)) - 1)) if level > 32 else 0, k) for k in opened]
@@ -91,9 +97,10 @@ def splitters(keys: DataFrame, wanted: int) -> list[int]:
                 low, high = (ends[i - 1] if i else below), ends[i]
                 digit, _, n = cells[i]
                 start = ((prefix << bits) | digit) << rest
-                if goal - low <= slack or n == 1 and goal - low <= high - goal:
+                one = n == 1 or level + bits == 32 and high - low <= whole
+                if goal - low <= slack or one and goal - low <= high - goal:
                     found[j] = start
-                elif high - goal <= slack or n == 1:
+                elif high - goal <= slack or one:
                     found[j] = start + (1 << rest)
                 else:
                     after.setdefault((prefix << bits) | digit, (low, []))[1].append(j)
@@ -131,20 +138,22 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
 
     size is the text's UTF-8 length plus 1; null texts count as empty. Splitters are found for `FINE` ranges a shard;
     the rows are then exchanged once, by range, and numbered within their shard from 0 without gaps. A group of equal
-    texts stays together unless it is larger than a range or lies on a boundary. Null ids come first; rows with the same
-    text and id share a range, in any order; an empty table gives an empty result; other columns are ignored.
+    texts stays together unless it is larger than half a range. Null ids come first; every row gives one row, and rows
+    with the same text and id share a range, in any order; texts of any length are taken whole; an empty table gives an
+    empty result; other columns are ignored.
     """
     from pyspark.sql import Window
 
     keys = cut(_add(df, id_col, text_col))
-    cuts = splitters(keys, shards * FINE)
+    fine = max(FINE, math.ceil(keys.count() / shards / RANGE_ROWS))
+    cuts = splitters(keys, shards * fine)
     ranged = _range(keys, cuts)
-    counted = {r["fine"]: r["count"] for r in ranged.groupBy("fine").count().collect()}  # at most shards * FINE rows
+    counted = {r["fine"]: r["count"] for r in ranged.groupBy("fine").count().collect()}  # at most shards * fine rows
     offsets, rows = 0, []
-    for fine in range(shards * FINE):
-        offsets = 0 if fine % FINE == 0 else offsets
-        rows.append((fine, offsets))
-        offsets += counted.get(fine, 0)
+    for i in range(shards * fine):
+        offsets = 0 if i % fine == 0 else offsets
+        rows.append((i, offsets))
+        offsets += counted.get(i, 0)
     starts = df.sparkSession.createDataFrame(rows, "fine int, start long")
     placed = ranged.join(F.broadcast(starts), "fine")
     order = Window.partitionBy("fine").orderBy("text_crc32", "id")
@@ -152,7 +161,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
         F.col("id").alias(id_col),
         "size",
         "text_crc32",
-        F.floor(F.col("fine") / FINE).cast("int").alias("shard"),
+        F.floor(F.col("fine") / fine).cast("int").alias("shard"),
         (F.col("start") + F.row_number().over(order) - 1).alias("slot"),
     )
 

@@ -25,8 +25,8 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     The vocabulary of distinct pre-tokens is a distributed table with the corpus frequency and the token count of
     each. Of it, at most `head` short and frequent pre-tokens are broadcast and counted where the documents are read;
     this takes the hot keys away. The frequencies of all others are joined to the vocabulary and summed per document.
-    Null and empty texts have 0 tokens; rows with the same id are added up separately only if their ids differ, so
-    ids should be unique; an empty table gives an empty result; other columns are ignored.
+    Null and empty texts have 0 tokens. Every row gives one row, whatever its id: null and repeated ids are like
+    others. Texts of any length are counted whole; an empty table gives an empty result; other columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     vocabulary = cut(_vocabulary(docs, path))
@@ -35,34 +35,27 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            rows: tuple[list, list, list, list] = ([], [], [], [])
-            for doc, text in zip(ids, texts):
+            rows: tuple[list, list, list] = ([], [], [])
+            for text in batch.column(1):
                 found = Counter(pretokens.pieces(text := text.as_py(), path))
                 total, rest = 0, []
                 for piece, n in found.items():
                     tokens = table.get(piece)
                     if tokens is None:
-                        rest.append((piece, n))
+                        rest.append({"piece": piece, "n": n})
                     else:
                         total += tokens * n
-                rows[0].append(doc), rows[1].append(len(text.encode()) if text else 0), rows[2].append(total), rows[3].append(rest)
-            yield pa.record_batch(
-                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array([[{"piece": p, "n": n} for p, n in x] for x in rows[3]], pa.list_(pa.struct([("piece", pa.string()), ("n", pa.int64())])))],
-                ["doc_id", "n_bytes", "n_head", "rest"],
-            )
-
-    read = docs.mapInArrow(counts, "doc_id long, n_bytes long, n_head long, rest array<struct<piece: string, n: long>>")
-    parts = read.select("doc_id", "n_bytes", "n_head", F.explode_outer("rest").alias("r")).select(
-        "doc_id",
-        F.col("r.piece").alias("piece"),
-        # the document's own figures ride on a row without a piece
-        F.col("r.n").alias("n"),
-        "n_bytes",
-        "n_head",
-    )
+                rows[0].append(len(text.encode()) if text else 0), rows[1].append(total), rows[2].append(rest)
+            rest = pa.list_(pa.struct([("piece", pa.string()), ("n", pa.int64())]))
+            yield pa.record_batch([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], rest)], ["doc_id", "n_bytes", "n_head", "rest"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    read = docs.mapInArrow(counts, f"doc_id {kind}, n_bytes long, n_head long, rest array<struct<piece: string, n: long>>")
+    # a row is told by its place in the reading; its own figures ride on the rows of its pieces
+    read = read.withColumn("row", F.monotonically_increasing_id())
+    parts = read.select("row", "doc_id", "n_bytes", "n_head", F.explode_outer("rest").alias("r")).select("row", "doc_id", "n_bytes", "n_head", "r.piece", "r.n")
     joined = parts.join(vocabulary.select("piece", "tokens"), "piece", "left")
-    summed = joined.groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"), (F.max("n_head") + F.sum(F.coalesce(F.col("n") * F.col("tokens"), F.lit(0)))).alias("n_tokens"))
+    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), (F.max("n_head") + F.sum(F.coalesce(F.col("n") * F.col("tokens"), F.lit(0)))).alias("n_tokens"))
     return summed.select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens")
 
 

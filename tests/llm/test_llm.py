@@ -177,15 +177,15 @@ def test_mixing(spark, docs, empty, texts):
         taken[name] += rows[3 * i].taken or 0
     assert all(abs(taken[k] - target[k]) <= 3 * 16 for k in names)
     again = mixing.mix(docs.repartition(5), block=16)[2]
-    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, takes.collect()))
+    assert sorted(map(tuple, again.drop("row").collect())) == sorted(map(tuple, takes.drop("row").collect()))
     assert mixing.mix(empty)[2].count() == 0
     assert schedule.groupBy("slot").count().filter("count > 1").count() == 0
 
 
 def test_repeats(spark, docs, empty, texts):
+    plain = docs.select(F.col("doc_id").alias("id"), "text")
     for local in (0, suffix_dedup.LOCAL):
-        own = suffix_dedup.repeated_spans(docs, 50, local=local)
-        assert own.count() > 0
+        assert suffix_dedup.repeated_spans(plain, 50, local=local).count() > 0
     got = by_id(suffix_dedup.remove_repeats(docs, 200))
     raw = [(t or "").encode() for t in texts]
     counts = Counter(b[j : j + 200] for b in raw for j in range(len(b) - 199))
@@ -199,8 +199,18 @@ def test_repeats(spark, docs, empty, texts):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_ranks_are_the_lexicographic_order():
+    random.seed(9)
+    data = np.array([random.choice(b"aab") for _ in range(900)], np.uint8)
+    for length in (5, 8, 16, 21, 200):
+        start = np.arange(0, 900 - length)
+        strings = [data[i : i + length].tobytes() for i in start]
+        order = {x: i for i, x in enumerate(sorted(set(strings)))}
+        assert [*suffix_dedup.suffix_ranks(data, length, start)] == [order[x] for x in strings]
+
+
 def test_wide_keys_take_the_other_way(docs):
-    spans = lambda n: {(r.id, tuple(sorted(y for x in r.starts for y in range(x.low, x.high + 1)))) for r in suffix_dedup.repeated_spans(docs, 200, local=n).collect()}
+    spans = lambda n: {(r.id, tuple(sorted(y for x in r.starts for y in range(x.low, x.high + 1)))) for r in suffix_dedup.repeated_spans(docs.select(F.col("doc_id").alias("id"), "text"), 200, local=n).collect()}
     assert spans(0) == spans(suffix_dedup.LOCAL)
 
 
@@ -333,14 +343,65 @@ def test_names_never_run_out(monkeypatch):
             assert made[0] == made[pii.REDRAWS - 1] and len(set(made)) == 40 // pii.REDRAWS
 
 
-def test_pipeline_stages(spark, tmp_path, docs):
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory, texts):
+    """Texts of the fixture, toxic ones, a null id, a row twice, and an id with two texts."""
+    random.seed(14)
+    plain, rude = ["alpha", "beta", "gamma", "delta", "omega", "kappa"], ["moron", "scum"]
+    rows, labels = [(3 * i, t, None if i % 4 == 0 else f"s{i % 3}") for i, t in enumerate(texts)], []
+    for i in range(1000, 1300):
+        words, toxic = random.choices(plain, k=25), i % 5 == 1
+        if toxic:
+            words[3] = words[9] = words[17] = random.choice(rude)
+        rows.append((i, " ".join(words), f"s{i % 3}"))
+        labels.append((i, int(toxic)))
+    rows += [(None, " ".join(random.choices(plain, k=25)), "s1"), rows[1], (3, "words of a second text of this id that nobody else has", "s0")]
+    top = str(tmp_path_factory.mktemp("corpus"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars")).repartition(3).write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{top}/labels.parquet")
+    return top, rows, labels
+
+
+def test_pipeline(spark, corpus, tmp_path):
     import corpus_pipeline
 
+    top, rows, labels = corpus
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "bpe"]
-    full = docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"))
-    full.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    rows = out.collect()
-    assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in full.collect()}
-    assert hashlib.sha256(str(sorted(map(tuple, ((r.doc_id, r.source, tuple(r.ids)) for r in rows)), key=repr)).encode()).hexdigest()
+    docs, kept = spark.read.parquet(f"{top}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, top).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = [(r.doc_id, r.text) for r in docs.collect()] if name != "bpe" else docs.collect()
+        assert name == "bpe" or docs.columns == columns
+
+    toxic = {i for i, y in labels if y}
+    clean = Counter(kept["toxicity"])
+    assert {i for i, _ in clean} & {i for i, _ in labels} == {i for i, y in labels if not y} and not clean - Counter((i, t) for i, t, _ in rows)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    exact = Counter(norm(t) for _, t in kept["exact_dedup"])
+    assert exact == Counter({norm(t) for _, t in clean})
+    ordered = sorted(kept["exact_dedup"], key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    _, tops = plain_components([t for _, t in ordered])
+    assert Counter(kept["near_dedup"]) == Counter(ordered[i] for i, t in enumerate(tops) if i == t)
+    # of each document, the words that the mix takes, cut into passes
+    described, _, takes = mixing.mix(spark.read.parquet(str(tmp_path / "near_dedup")))
+    words = Counter()
+    for i, t in kept["mixing"]:
+        words[i] += len(WORD.findall(t or ""))
+    assert words == Counter({r.doc_id: r.n for r in takes.groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()})
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    want = Counter()
+    for i, t in kept["mixing"]:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        want[i, tuple(ids), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded_sha256) for r in kept["bpe"]) == want
+
+
+def test_pipeline_of_nothing(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{corpus[0]}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{corpus[0]}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
