@@ -15,43 +15,74 @@ from loreloom.llm.queries import vocabulary_path
 BLOCK = 128
 
 
+def _with(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """The rows of docs that are (left_semi) or aren't (left_anti) in found, told by id and text."""
+    own = found.select(F.col("doc_id").alias("_found_id"), F.col("text_hash").alias("_found_hash"))
+    return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_found_id")) & (F.xxhash64("text") == F.col("_found_hash")), how)
+
+
+def _one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that found marks to stay; of rows with the same id and text one."""
+    marked = found.filter("stays")
+    kept = _with(docs, marked, "left_semi")
+    repeated = marked.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents that the toxicity score predicts as toxic."""
+    """Rejects the rows whose text the toxicity score predicts as toxic.
+
+    Null and empty texts are never toxic; null and repeated ids are rows like others; an empty table stays empty.
+    """
     scored = toxicity.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(scored.filter("predicted = 1").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return _with(docs, scored.filter("predicted = 1"), "left_anti")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row of the smallest doc_id of each group of equal texts."""
-    kept = exact_dedup.exact_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Keeps one row of each group of equal texts, that of the smallest doc_id; null ids come last.
+
+    Null and empty texts are one group; repeated rows are a group; an empty table stays empty.
+    """
+    return _one_each(docs, exact_dedup.exact_duplicates(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each component of near duplicates."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Keeps one row of each component of near duplicates, that of the smallest doc_id; null ids come last.
+
+    Texts without words are linked with nothing and stay; repeated rows are a component; an empty table stays empty.
+    """
+    return _one_each(docs, minhash.near_duplicates(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it goes through them, each pass's words cut to those it takes.
 
     A pass that takes all of a document keeps its text as it is; where the mix begins or ends inside a document, that
-    copy has only the words taken, joined by single spaces. Documents that the mix doesn't take go.
+    copy has only the words taken, joined by single spaces. Documents that the mix doesn't take go, texts without words
+    among them; null ids and the null source are like others; an empty table stays empty. Rows are in the order of the
+    slots in which the mix first takes them.
     """
-    _, _, takes = mixing.mix(docs, block=BLOCK)
+    described, _, takes = mixing.mix(docs, block=BLOCK)
     # blocks of one pass follow each other, so a pass takes one range of words
-    taken = takes.groupBy(F.col("doc_id").alias("taken_id"), F.col("pass")).agg(F.min("first_word").alias("first"), F.max(F.col("first_word") + F.col("n_words")).alias("last"))
+    keys = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source")]
+    taken = takes.groupBy(*keys, "row", "pass").agg(F.min("first_word").alias("_first"), F.max(F.col("first_word") + F.col("n_words")).alias("_last"), F.min("slot").alias("_slot")).drop("row", "pass")
+    # rows of equal id, text and source share what is taken of them
+    repeated = described.groupBy("doc_id", "text_hash", "source").count().filter("count > 1").limit(1).count()
+    own = docs.dropDuplicates(["doc_id", "text", "source"]) if repeated else docs
+    joined = own.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")) & F.col("source").eqNullSafe(F.col("_source")))
     words = F.split(F.trim(exact_dedup.normalised(F.col("text"))), " ")
-    part = F.array_join(F.slice(words, F.col("first").cast("int") + 1, (F.col("last") - F.col("first")).cast("int")), " ")
-    joined = docs.join(taken, F.col("doc_id") == F.col("taken_id"))
-    text = F.when((F.col("first") == 0) & (F.col("last") == mixing.n_words(F.col("text"))), F.col("text")).otherwise(part)
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    part = F.array_join(F.slice(words, F.col("_first").cast("int") + 1, (F.col("_last") - F.col("_first")).cast("int")), " ")
+    text = F.when((F.col("_first") == 0) & (F.col("_last") == mixing.n_words(F.col("text"))), F.col("text")).otherwise(part)
+    return joined.sort("_slot", "doc_id").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids; the texts are not carried on, as the ids decode to them."""
-    return bpe.encode(docs.select("doc_id", "source", "text"), vocabulary_path()).select("doc_id", "source", "ids")
+    """(doc_id, source, ids, decoded_sha256): each row's token ids, and the digest of the text that they decode to.
+
+    Null and empty texts have no ids and decode to the empty text; an empty table gives an empty result.
+    """
+    encoded = bpe.encode(docs.select("doc_id", "source", "text"), vocabulary_path()).drop("text")
+    return bpe.decode(encoded, vocabulary_path()).select("doc_id", "source", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
