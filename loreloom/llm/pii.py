@@ -23,18 +23,39 @@ REDRAWS = 4
 # Titles that show a person's gender, or that one follows.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Dr": "n", "Prof": "n", "г-н": "m", "г-жа": "f"}
 
+# Common given names, by the gender of those who mostly have them.
+GIVEN = dict.fromkeys("""
+    Adam Ahmed Albert Alexander Ali Andreas Andrew Anthony Antonio Arthur Ben Benjamin Carlos Charles Christian Christopher Daniel
+    David Dennis Diego Dmitri Edward Emil Eric Felix Fernando Francisco Frank Gary George Giovanni Hans Harry Henry Hugo Ivan Jack
+    Jacob James Jan Javier Jean Jeffrey John Jonathan Jorge José Joseph Juan Jürgen Karl Kevin Lars Leon Louis Luca Lucas Luis Marco
+    Mark Martin Matthew Max Michael Miguel Mohammed Nicolas Oliver Oscar Pablo Patrick Paul Pedro Peter Philippe Pierre Ralph
+    Richard Robert Ryan Samuel Sergei Stefan Stephen Steven Thomas Timothy Tobias Victor Walter William Wolfgang Иван Михаил
+    """.split(), "m") | dict.fromkeys("""
+    Alice Amanda Amelia Amy Ana Andrea Angela Anna Anne Barbara Betty Carmen Carol Caroline Catherine Charlotte Christine Claire
+    Claudia Deborah Diana Donna Dorothy Elena Elizabeth Ella Emily Emma Eva Fatima Florence Gabriela Hannah Heidi Helen Ingrid
+    Irene Isabel Jane Janet Jennifer Jessica Joan Julia Karen Kate Katharina Laura Linda Lisa Lucy Margaret Maria María Marie Marta
+    Martha Mary Mia Michelle Monica Nancy Natalia Nicole Olga Olivia Pamela Patricia Paula Petra Rachel Rebecca Rosa Ruth Sandra
+    Sara Sarah Sharon Silvia Sofia Sophie Susan Susanne Teresa Ursula Victoria Virginia Yvonne Zoe Анна Елена
+    """.split(), "f")
+
+# Country calling codes of two digits; those of one digit are 1 and 7, all others have three.
+CALLING = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
 _INITIAL = r"[A-ZА-ЯЁ]\."
 _FULL = r"[^\W\d_a-zа-я](?:['’][^\W\d_])?[^\W\d_]+(?:['’-](?!s\b)[^\W\d_]+)*"
 #: A part of a name: an initial, or a word with its hyphens and apostrophes but without a genitive's ending.
 _PART = re.compile(rf"(?<![\w'’-])(?:{_INITIAL}|{_FULL})")
 
+#: A given name, initials and a last name of one or two words; the given name is looked up.
+_NAMED = re.compile(rf"(?<![\w'’-])(?P<given>[^\W\d_a-zа-я][^\W\d_]+)(?: {_INITIAL}){{0,3}} {_FULL}(?: {_FULL})?")
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Each kind's pattern, and a character without which there can be no match.
 PATTERNS = {
     "email": (re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])"), "@"),
     "secret": (re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?(?P<own>[A-Za-z0-9+/_\-]{16,})"""), ""),
     "iban": (re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"), ""),
-    "ip": (re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)"), "."),
+    "ip": (re.compile(rf"(?<![\d.vV]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)"), "."),
     "ssn": (re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "-"),
     "card": (re.compile(r"(?<![\d.])(?:\d[ -]?){12,18}\d(?![\d])"), ""),
     "phone": (re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d-])"), ""),
@@ -49,7 +70,7 @@ _HAS_SECRET = re.compile(r"(?i)token|secret|passw|key")
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, form) of the entities, in order and without overlap; earlier kinds in PATTERNS come first.
 
-    form is what a surrogate must match besides the characters: the gender of a name.
+    Names are found after a title, or by a common given name with a last name. form is what a surrogate must match besides the characters: the gender of a name.
     """
     if not text:
         return []
@@ -61,13 +82,22 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(text):
             group = "own" if "own" in m.groupdict() else 0
             a, b = m.span(group)
-            if kind == "card" and not 13 <= sum(c.isdigit() for c in m[0]) <= 19:
+            if kind == "card" and not _is_card(m[0]):
                 continue
             if all(b <= x or y <= a for x, y, *_ in found):
                 found.append((a, b, kind, TITLES[m["title"]] if kind == "name" else ""))
+    for m in _NAMED.finditer(text):
+        if (gender := GIVEN.get(m["given"])) and not any(x[0].islower() for x in m[0].split(" ")) and all(m.end() <= x or y <= m.start() for x, y, *_ in found):
+            found.append((*m.span(), "name", gender))
     return sorted(found)
 
 
+def _is_card(text: str) -> bool:
+    """Whether a number has the length, the first digit and the check digit of payment cards."""
+    digits = [int(c) for c in text if c.isdigit()]
+    return 13 <= len(digits) <= 19 and 2 <= digits[0] <= 6 and _luhn(digits) == 0
+
+
 class _Person:
     """A person of one text: the fullest form of the name, the gender that a title shows, and the places of mentions."""
 
@@ -105,7 +135,7 @@ def _nearest(people: list[_Person], at: int) -> _Person:
 
 
 def entities(text: str | None) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, form, own) of the entities and, of names found after a title, of all their other mentions.
+    """(start, end, kind, form, own) of the entities and, of persons found by a title or a given name, of all their other mentions.
 
     own is the text that tells an entity: of a name the fullest form in this text. Names of a text are one person if
     they share the last name, or one is a single part of the other, and neither titles' genders nor first names
@@ -205,23 +235,27 @@ class _Draw:
 SCRIPTS = [("a", "z"), ("A", "Z"), ("0", "9"), ("а", "я"), ("А", "Я"), ("α", "ω"), ("Α", "Ω"), ("א", "ת"), ("ぁ", "ん"), ("ァ", "ン"), ("가", "힣"), ("一", "龥")]
 
 
+def _letter(c: str, draw: _Draw) -> str:
+    """Another letter or digit of the same script and case; other characters stay."""
+    for low, high in SCRIPTS:
+        if low <= c <= high:
+            made = chr(ord(low) + draw.below(ord(high) - ord(low) + 1))
+            return made if made.isalnum() else low
+    # other letters of the Latin script with marks become plain ones of the same case
+    return (chr(97 + draw.below(26)) if c.islower() else chr(65 + draw.below(26))) if c.isalpha() else c
+
+
 def _shaped(own: str, draw: _Draw) -> str:
-    out = []
-    hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", own) is not None
-    upper = own.upper() == own
-    for c in own:
-        if hexadecimal:
-            digit = "0123456789abcdef"[draw.below(16)]
-            out.append(digit.upper() if upper else digit)
-            continue
-        for low, high in SCRIPTS:
-            if low <= c <= high:
-                out.append(chr(ord(low) + draw.below(ord(high) - ord(low) + 1)))
-                break
-        else:
-            # other letters of the Latin script with marks become plain ones of the same case
-            out.append((chr(97 + draw.below(26)) if c.islower() else chr(65 + draw.below(26))) if c.isalpha() else c)
-    return "".join(out)
+    return "".join(_letter(c, draw) for c in own)
+
+
+def _secret(own: str, draw: _Draw) -> str:
+    """Hexadecimal digits become others, in the same places letters and digits alike."""
+    if not re.fullmatch(r"(?=.*[a-f])[0-9a-f]+|(?=.*[A-F])[0-9A-F]+", own):
+        return _shaped(own, draw)
+    made = "".join("0123456789abcdef"[draw.below(16)] for _ in own)
+    made = made if re.search("[a-f]", made) else "a" + made[1:]
+    return made.upper() if own.upper() == own else made
 
 
 def _luhn(digits: list[int]) -> int:
@@ -234,53 +268,90 @@ def _fill(form: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in form)
 
 
-def _name(own: str, gender: str, draw: _Draw, syllables: int = 3) -> str:
-    """Invented names from syllables of the name's script; the last letter follows the gender."""
-    cyrillic = any("а" <= c.lower() <= "я" for c in own)
-    onsets, vowels = ("бвгдзклмнпрст", "аеиоу") if cyrillic else ("bdfgklmnprstv", "aeiou")
-    ends = {"f": "а" if cyrillic else "a", "m": "н" if cyrillic else "n"}.get(gender, "л" if cyrillic else "l")
+#: Onsets, vowels and the endings of female, male and other names, for scripts with syllables of this kind.
+SYLLABLES = {
+    "latin": ("bdfgklmnprstv", "aeiou", {"f": "a", "m": "n", "n": "l"}),
+    "cyrillic": ("бвгдзклмнпрст", "аеиоу", {"f": "а", "m": "н", "n": "л"}),
+    "greek": ("βγδζθκλμνπρστφχ", "αεηιου", {"f": "α", "m": "ς", "n": "ν"}),
+}
+
+
+def _script(word: str) -> str | None:
+    """Which syllables a name of this script is made of; none for other scripts than these."""
+    for c in word.lower():
+        if c.isalpha():
+            return "cyrillic" if "а" <= c <= "я" or c == "ё" else "greek" if "ͱ" <= c <= "ώ" else "latin" if c < "\u0250" else None
+    return "latin"
+
+
+def _name(own: str, gender: str, draw: _Draw, longer: int = 0) -> str:
+    """Invented names from syllables of the name's script, the last letter following the gender; in a script without
+    syllables here other letters of that script, with more of them the longer."""
     words = []
     for word in re.split("([ -])", own):
         if word in (" ", "-"):
             words.append(word)
             continue
+        if (script := _script(word)) is None:
+            words.append("".join(_letter(c, draw) for c in word + word[-1] * longer))
+            continue
+        onsets, vowels, ends = SYLLABLES[script]
         if word.endswith("."):
-            words.append((onsets[draw.below(13)] + ".").upper())
+            words.append((onsets[draw.below(len(onsets))] + ".").upper())
             continue
-        made = "".join(onsets[draw.below(13)] + vowels[draw.below(5)] for _ in range(syllables)) + onsets[draw.below(13)] * (gender == "f") + ends
+        made = "".join(onsets[draw.below(len(onsets))] + vowels[draw.below(len(vowels))] for _ in range(3 + longer)) + onsets[draw.below(len(onsets))] * (gender == "f") + ends[gender]
         words.append(made.upper() if word.isupper() and len(word) > 1 else made.capitalize())
     return "".join(words)
 
 
+# Networks that are private or the machine's own, as their first octets.
+_OWN_NETWORKS = [(10,), (127,), (192, 168), (169, 254), *((172, n) for n in range(16, 32))]
+
+
+def _ip(own: str, draw: _Draw) -> str:
+    """Another address of the same private network, or another public one."""
+    octets = tuple(map(int, own.split(".")))
+    for network in _OWN_NETWORKS:
+        if octets[: len(network)] == network:
+            return ".".join(map(str, (*network, *(draw.below(256) for _ in range(4 - len(network))))))
+    while True:
+        made = (1 + draw.below(223), *(draw.below(256) for _ in range(3)))
+        if not any(made[: len(n)] == n for n in _OWN_NETWORKS):
+            return ".".join(map(str, made))
+
+
+def _calling(digits: str) -> int:
+    """Length of the country's calling code at the start of a number with it."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in CALLING else 3
+
+
 def surrogate(key: bytes, kind: str, own: str, form: str, attempt: int = 0) -> str:
-    """A replacement of the same kind: same separators, length and scripts, valid where the original is."""
+    """A replacement of the same kind: same separators, length and scripts, valid where the original is. It is drawn from
+    what mentions of one entity share, and then laid into the form of this mention."""
     draw = _Draw(key, entity_key(kind, own, form), attempt)
     if kind == "name":
-        return _name(own, form, draw, 3 + attempt // REDRAWS)
+        return _name(own, form, draw, attempt // REDRAWS)
     if kind == "ip":
-        return ".".join(str(draw.below(256)) for _ in range(4))
+        return _ip(own, draw)
     if kind == "email":
         local, _, domain = own.partition("@")
         host, _, top = domain.rpartition(".")
         made = f"{_shaped(local.lower(), draw)}@{_shaped(host.lower(), draw)}"
         return (made.upper() if own.isupper() else made) + f".{top}"
+    if kind == "secret":
+        return _secret(own, draw)
     plain = re.sub(r"[^0-9A-Za-z]", "", own)
     if kind == "card":
-        digits = [draw.below(10) for _ in plain]
-        want, have = _luhn([int(c) for c in plain]) == 0, _luhn(digits)
-        if want and have:
-            digits[-1] = (digits[-1] - have) % 10
-        elif not want and not have:
-            digits[-1] = (digits[-1] + 1) % 10
+        digits = [2 + draw.below(5), *(draw.below(10) for _ in plain[1:])]
+        digits[-1] = (digits[-1] - _luhn(digits)) % 10
         return _fill(own, "".join(map(str, digits)))
     if kind == "iban":
         body = _shaped(plain[4:], draw)
         number = int("".join(str(int(c, 36)) for c in body + plain[:2] + "00"))
         return _fill(own, plain[:2] + f"{98 - number % 97:02d}" + body)
     if kind == "phone":
-        lead = re.match(r"\+\d{1,3}", own)
-        keep = lead[0][1:] if lead else ""
-        return _fill(own, keep + _shaped(plain[len(keep) :], draw))
+        kept = _calling(plain) if own.startswith("+") else 0
+        return _fill(own, plain[:kept] + _shaped(plain[kept:], draw))
     return _shaped(own, draw)
 
 
@@ -350,8 +421,9 @@ def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
     The same key gives the same surrogates in every run. All mentions of an entity get one surrogate, in the form of the
     mention; a name is told by its fullest form in the text, and its shorter mentions, with other titles or none, get
     the same parts of its surrogate. Different entities get different ones. spans have the place of each entity in the original, in characters,
-    its kind and its surrogate. Null texts stay null and empty ones empty; ids may repeat or be null as long as no
-    surrogate has to be drawn again beyond the broadcast bound, where ids must be unique; other columns are ignored.
+    its kind and its surrogate. Null texts stay null and empty ones empty. Every row gives one row, whatever its id: null
+    and repeated ids are like others. Texts of any length are taken whole; an empty table gives an empty result; other
+    columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     again = cut(assign(docs, key).filter("attempt > 0").select("entity", "attempt"))
@@ -370,19 +442,21 @@ def pseudonymise(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
 
         return map_texts(docs, near, schema)
 
+    # redrawn entities by text, so that rows of one text share them whatever their ids
     def mentions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at, keys = [], []
         for i, text in enumerate(batch.column(1)):
-            text = text.as_py()
-            own = {entity_key(k, o, f) for _, _, k, f, o in entities(text)}
+            own = {entity_key(k, o, f) for _, _, k, f, o in entities(text.as_py())}
             at += [i] * len(own)
             keys += own
-        yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string())], ["own_id", "entity"])
+        yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string())], ["own_hash", "entity"])
 
-    own = map_texts(docs, mentions, f"own_id {kind}, entity string").join(again, "entity").groupBy("own_id").agg(F.collect_list(F.struct("entity", "attempt")).alias("attempts"))
+    hashed = docs.select("id", "text", F.xxhash64("text").alias("hash"))
+    own = map_texts(hashed.select("hash", "text"), mentions, "own_hash long, entity string").join(again, "entity").distinct()
+    own = own.groupBy("own_hash").agg(F.collect_list(F.struct("entity", "attempt")).alias("attempts"))  # at most the text's entities
 
     def joined(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = batch.column(2)
         yield rows(batch.column(0), batch.column(1), lambda i: {x["entity"]: x["attempt"] for x in own[i].as_py() or ()})
 
-    return map_texts(docs.join(own, F.col("id").eqNullSafe(F.col("own_id")), "left").select("id", "text", "attempts"), joined, schema)
+    return map_texts(hashed.join(own, F.col("hash") == F.col("own_hash"), "left").select("id", "text", "attempts"), joined, schema)

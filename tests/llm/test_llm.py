@@ -333,11 +333,64 @@ def test_mentions_of_a_person_agree():
     _, found = names("Mrs Smith met Mr Smith. Smith left. Mr Paul Reed and Mr Carl Reed")
     assert found[0] != found[1] == found[2] and found[3] != found[4]
     assert names("Smith said so")[1] == []
+    made, found = names("John Smith came. Mrs Reed and Smith left, said John Smith and Mr. Smith.")
+    assert "Smith" not in made and found[0] == found[3] and found[2] == found[4] == found[0].split(" ")[1]
+
+
+FORMS = {
+    "phone": ["+1 (293) 555-9179", "+1 293 555 9179", "+1293-555-9179", "+44 20 7946 0958", "030 123 4567", "(555) 555-0134"],
+    "card": ["4539 1488 0343 6467", "4539148803436467"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
+    "ssn": ["078-05-1120"],
+    "ip": ["10.1.2.3", "192.168.7.9", "127.0.0.1", "8.8.4.4", "172.20.1.1"],
+    "email": ["Ann.B@x.org", "ann-b+c@mail.example.com"],
+    "secret": ["04dbebab91ab85687d33eeaaf9ac699e1188f962", "sk_live_Ab3dEf6hIj9kLmNo", "1234567890123456789012"],
+    "name": ["Mr John Smith", "Frau Παπαδόπουλος", "г-н Иванов", "Maria Lopez Garcia", "Frau 山田花子", "Dr O'Brien"],
+}
+
+
+def test_surrogates_are_found_again_as_the_same_kind_and_form():
+    import unicodedata
+
+    shape = lambda t: re.sub(r"[^\W\d_]", lambda m: unicodedata.name(m[0]).split()[0][0], re.sub(r"\d", "9", t))
+    for kind, forms in FORMS.items():
+        for own in forms:
+            text = f'token = "{own}" ends' if kind == "secret" else f"so, {own} came."
+            made, spans = pii._replaced(text, b"key", {})
+            assert [x["kind"] for x in spans] == [kind] and spans[0]["surrogate"] not in text, (own, made)
+            again = pii.detect(made)
+            if own != "Maria Lopez Garcia":  # an invented given name without a title isn't a known one
+                assert [(made[a:b], k) for a, b, k, _ in again] == [(spans[0]["surrogate"], kind)], (own, made)
+            if kind not in ("name", "ip", "secret"):
+                assert shape(made) == shape(text), (own, made)
+            if kind == "name":
+                script = lambda t: {unicodedata.name(c).split()[0] for c in t if c.isalpha()}
+                assert script(made) == script(text), (own, made)
+    assert pii.detect("in John Smith of")[0][2:] == ("name", "m") and not pii.detect("John said. Smith")
+
+
+def test_a_phone_has_one_surrogate_in_all_formats():
+    made = {re.sub(r"\D", "", pii.surrogate(b"key", "phone", x, "")) for x in FORMS["phone"][:3]}
+    assert len(made) == 1 and made.pop().startswith("1")
+    assert pii.surrogate(b"key", "ip", "192.168.7.9", "").startswith("192.168.") and not pii.surrogate(b"key", "ip", "8.8.4.4", "").startswith("10.")
+
+
+def test_thousands_of_entities_stay_distinct(spark):
+    random.seed(12)
+    names = [f"Mr {''.join(random.choices('abcdefg', k=6)).capitalize()}" for _ in range(3000)]
+    phones = [f"+1 555 {random.randint(200, 999)} {random.randint(1000, 9999)}" for _ in range(3000)]
+    df = spark.createDataFrame([(i, f"{n} has {p}, and {n} calls") for i, (n, p) in enumerate(zip(names, phones))], "doc_id long, text string")
+    got = by_id(pii.pseudonymise(df, b"key"))
+    of = {}
+    for i, (n, p) in enumerate(zip(names, phones)):
+        name, phone, again = (s.surrogate for s in got[i].spans)
+        assert name == again and of.setdefault(n, name) == name and of.setdefault(p, phone) == phone
+    assert len(set(of.values())) == len(of) and not set(of.values()) & {k.removeprefix("Mr ") for k in of}
 
 
 def test_names_never_run_out(monkeypatch):
     monkeypatch.setattr(pii._Draw, "below", lambda self, n: 0)
-    for own in ("Smith", "J. Smith", "Smith-Jones", "Иванов"):
+    for own in ("Smith", "J. Smith", "Smith-Jones", "Иванов", "Παπάς", "山田"):
         for form in "mfn":
             made = [pii.surrogate(b"key", "name", own, form, n) for n in range(40)]
             assert made[0] == made[pii.REDRAWS - 1] and len(set(made)) == 40 // pii.REDRAWS
