@@ -252,17 +252,30 @@ def test_toxicity(spark):
     assert not any(r.predicted for r in none.values())
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """Of the given table's held-out labelled rows; none of them is learned from. The toxic words of three of its four
+    languages are made up and rare, so that about half the toxic rows can be told from 3,200 labelled ones."""
+    from loreloom.llm.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    found = QUERIES["op4_kneser_ney_toxicity"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    n = {(r.toxic, r.predicted): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
+    toxic, right = n.get((1, 1), 0) + n.get((1, 0), 0), n.get((1, 1), 0)
+    assert toxic >= 90 and right >= 0.5 * toxic and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
 def plain_ratio(gram, counts):
     """Log of the toxic over the ordinary chance of the last byte, from Counters of the classes' n-grams."""
     levels = {toxicity.ORDER: counts}
-    for k in range(toxicity.ORDER - 1, 0, -1):
+    for k in range(toxicity.ORDER - 1, 2, -1):
         levels[k] = [Counter(g[1:] for g in level) for level in levels[k + 1]]
-    both = levels[1][0] + levels[1][1]
+    pairs = Counter(g[1:] for g in {*levels[3][0], *levels[3][1]})
+    both = Counter(g[1:] for g in pairs)
 
     def chance(g, c):
         if len(g) == 1:
             return (max(both[g] - 0.75, 0) + 0.75 * len(both) / 256) / sum(both.values())
-        n = {k: v for k, v in levels[len(g)][c].items() if k[:-1] == g[:-1]}
+        n = {k: v for k, v in (levels[len(g)][c] if len(g) > 2 else pairs).items() if k[:-1] == g[:-1]}
         below = chance(g[1:], c)
         return (max(n.get(g, 0) - 0.75, 0) + 0.75 * len(n) * below) / sum(n.values()) if n else below
 
