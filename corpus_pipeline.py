@@ -98,12 +98,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; each stage's rows are written to the shared folder and read again."""
+    """All stages over the documents of sf_dir; each stage's rows are written to the shared folder and read again, and go
+    once the next stage's are written."""
     from loreloom.llm.common import shared_folder
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
