@@ -30,7 +30,7 @@ TRIGGER, PLACES = 16, 128
 LOCAL = 4_000
 
 #: Phrases whose suffixes are put in order at a time, besides those of the last key.
-AT_ONCE = 4_000
+AT_ONCE = 2_000
 
 
 def places(length: int) -> int:
