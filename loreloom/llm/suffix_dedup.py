@@ -233,23 +233,24 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     docs = _identified(df, id_col, text_col)
     found = repeated_spans(docs, length).withColumnRenamed("id", "found_id")
 
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), span, pa.binary())
+
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = text_bytes(batch.column(1))
-        raw = data.tobytes()
-        rows: tuple[list, ...] = ([], [], [], [], [])
-        for i, starts in enumerate(batch.column(2)):
-            own = raw[offsets[i] : offsets[i + 1]]
-            runs = _merged(starts, length)
-            kept, at = [], 0
-            for x, y in runs:
-                kept.append(own[at:x])
-                at = y
-            kept.append(own[at:])
-            for out, value in zip(rows, (len(own), sum(y - x for x, y in runs), len(runs), [{"start": x, "end": y} for x, y in runs], b"".join(kept))):
-                out.append(value)
-        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), span, pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(rows, kinds))], [id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+        for a, b in chunks(offsets):
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for i in range(a, b):
+                own = data[offsets[i] : offsets[i + 1]].tobytes()
+                runs = _merged(batch.column(2)[i], length)
+                kept, at = [], 0
+                for x, y in runs:
+                    kept.append(own[at:x])
+                    at = y
+                kept.append(own[at:])
+                for out, value in zip(rows, (len(own), sum(y - x for x, y in runs), len(runs), [{"start": x, "end": y} for x, y in runs], b"".join(kept))):
+                    out.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(x, t) for x, t in zip(rows, kinds))], [id_col, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     kind = df.schema[id_col].dataType.simpleString()
     joined = docs.join(found, F.col("id").eqNullSafe(F.col("found_id")), "left")
