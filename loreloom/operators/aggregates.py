@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +49,22 @@ def longest_wins(old: DataFrame, batches: DataFrame, *columns: str) -> DataFrame
     return joined.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).select(old.columns)
 
 
+# The counters of a reconciliation, and the actions and steps that each counts.
+COUNTERS = {
+    "exported": ("export",), "unchanged": ("noop",), "adopted": ("adopt_base",), "applied": ("apply",), "conflicts": ("conflict", "freeze", "refresh", "restore", "keep"),
+    "resolved": ("resolve", "unfreeze"), "soft_deleted": ("soft_delete",), "swept": ("sweep",), "invalid": ("invalid",), "failed": ("failed",),
+}
+
+
 def action_report(actions: DataFrame) -> DataFrame:
-    """(action, n) of a reconciliation."""
-    return actions.groupBy("action").agg(F.count("*").alias("n"))
+    """(counter, n) of a reconciliation's actions or steps (action): every counter, zero included; unknown ones count as
+    failed."""
+    own = F.lit("failed")
+    for name, members in COUNTERS.items():
+        own = F.when(F.col("action").isin(*members), name).otherwise(own)
+    names = actions.sparkSession.createDataFrame([(x,) for x in COUNTERS], "counter string")
+    counts = actions.groupBy(own.alias("counter")).agg(F.count("*").alias("n"))
+    return names.join(counts, "counter", "left").select("counter", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def assign_keys(records: DataFrame) -> DataFrame:
@@ -91,17 +107,28 @@ def session_lanes(sessions: DataFrame, events: DataFrame) -> DataFrame:
 def batch_passages(passages: DataFrame, by: str = "collection_id", order: str = "place", text: str = "text", budget: int = BATCH_BYTES, separator: str = "\n\n") -> DataFrame:
     """passages with `batch`: packed in order, a new batch where the next one and its separator would pass the budget.
 
-    Only the lengths are folded, so a scope's texts are not gathered; a passage over the budget has a batch of its own.
+    Which passages begin a batch depends on all before them, so the lengths, not the texts, go through a fold of each
+    scope's rows in order, which holds two numbers. A passage over the budget has a batch of its own.
     """
     gap = len(separator.encode())
-    sized = passages.withColumn("_bytes", F.octet_length(text))
-    folded = sized.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, "_bytes"))).alias("s"))
-    step = f"""
-        aggregate(s, named_struct('b', 0, 'used', cast(0 as long), 'out', cast(array() as array<struct<place: bigint, batch: int>>)),
-            (a, x) -> if(a.used = 0 or a.used + {gap} + x._bytes <= {budget},
-                named_struct('b', a.b, 'used', if(a.used = 0, cast(x._bytes as long), a.used + {gap} + x._bytes), 'out', array_append(a.out, named_struct('place', cast(x.{order} as bigint), 'batch', a.b))),
-                named_struct('b', a.b + 1, 'used', cast(x._bytes as long), 'out', array_append(a.out, named_struct('place', cast(x.{order} as bigint), 'batch', a.b + 1))))).out"""
-    batches = folded.select(by, F.explode(F.expr(step)).alias("p")).select(by, F.col("p.place").cast(passages.schema[order].dataType).alias(order), F.col("p.batch").alias("batch"))
+    sized = passages.select(by, order, F.octet_length(text).cast("long").alias("_bytes")).repartition(by).sortWithinPartitions(by, order)
+    kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scope, batch, used, first = None, 0, 0, True
+        for part in parts:
+            out = []
+            for own, size in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
+                size = size or 0
+                if first or own != scope:
+                    scope, batch, used, first = own, 0, 0, False
+                elif used and used + gap + size > budget:
+                    batch, used = batch + 1, 0
+                used = used + gap + size if used else size
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], [by, order, "batch"])
+
+    batches = sized.mapInArrow(fold, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, batch int").distinct()
     return passages.join(batches, [by, order])
 
 

@@ -71,7 +71,7 @@ def best_match(needles: DataFrame, names: DataFrame, block: list[str], threshold
     Only names are compared, not aliases. Candidates come by falling similarity, then by id.
     """
     keyed = names.select(*block, "id", "name", T.name_key(F.col("name")).alias("key"))
-    asked = needles.select(*block, "needle", T.name_key(F.col("needle")).alias("a"))
+    asked = needles.select(*block, "needle").distinct().withColumn("a", T.name_key(F.col("needle")))
     near = similar_keys(asked.withColumnRenamed("a", "key"), keyed, block, threshold)
     hits = asked.join(near, [*block, "a"]).join(keyed.withColumnRenamed("key", "b"), [*block, "b"])
     order = F.struct((-F.col("similarity")).alias("down"), "id", "name")
@@ -83,13 +83,20 @@ def best_match(needles: DataFrame, names: DataFrame, block: list[str], threshold
 
 
 def duplicate_entities(entities: DataFrame, scope: str = "collection_id", threshold: float = SAME) -> DataFrame:
-    """(scope, kind, a, b, similarity): pairs of live entities of a kind and scope whose names are one, a before b."""
+    """(scope, kind, a, b, similarity): live entities of a kind and scope whose names are one, a before b.
+
+    Entities of one key are a class; each of them is paired with the class's first entity. Classes of similar keys are
+    paired by their first ones. So all that are one are connected, with as many pairs as entities and similar keys, not
+    as the square of a class.
+    """
     block = [scope, "kind"]
     keyed = live(entities).filter(F.col(scope).isNotNull()).select(*block, "id", T.name_key(F.col("name")).alias("key")).filter("key <> ''")
-    near = similar_keys(keyed, keyed, block, threshold)
-    one = keyed.select(*block, F.col("id").alias("x"), F.col("key").alias("a"))
-    two = keyed.select(*block, F.col("id").alias("y"), F.col("key").alias("b"))
-    return near.join(one, [*block, "a"]).join(two, [*block, "b"]).filter("x < y").select(*block, F.col("x").alias("a"), F.col("y").alias("b"), "similarity")
+    first = keyed.groupBy(*block, "key").agg(F.min("id").alias("first"))
+    same = keyed.join(first, [*block, "key"]).filter("id <> first").select(*block, F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    near = similar_keys(first, first, block, threshold).filter("a < b")
+    of = lambda k: first.select(*block, F.col("key").alias(k), F.col("first").alias(f"first_{k}"))
+    across = near.join(of("a"), [*block, "a"]).join(of("b"), [*block, "b"])
+    return same.unionByName(across.select(*block, F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"), "similarity"))
 
 
 def claims(entities: DataFrame) -> DataFrame:
@@ -100,13 +107,13 @@ def claims(entities: DataFrame) -> DataFrame:
 
 
 def alias_collisions(entities: DataFrame, scope: str = "collection_id") -> DataFrame:
-    """(scope, a, b, alias): pairs of live entities of a scope that claim one key; the smallest of their names for it."""
-    own = claims(live(entities).filter(F.col(scope).isNotNull()).select(scope, "id", "name", "aliases")).select(scope, "key", "id", "alias")
-    shared = own.groupBy(scope, "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select(scope, "key")
-    own = own.join(shared, [scope, "key"], "left_semi")
-    side = lambda c, n: own.select(scope, "key", F.col("id").alias(c), F.col("alias").alias(n))
-    pairs = side("a", "x").join(side("b", "y"), [scope, "key"]).filter("a < b")
-    return pairs.groupBy(scope, "a", "b").agg(F.min(F.least("x", "y")).alias("alias"))
+    """(scope, a, b, alias): live entities of a scope that claim one key, each with the key's first claimant; the smallest
+    of their names for it, over all keys that the two share so."""
+    own = claims(live(entities).filter(F.col(scope).isNotNull()).select(scope, "id", "name", "aliases"))
+    own = own.groupBy(scope, "key", "id").agg(F.min("alias").alias("alias"))
+    first = own.groupBy(scope, "key").agg(F.min(F.struct("id", "alias")).alias("first"))
+    pairs = own.join(first, [scope, "key"]).filter("id <> first.id")
+    return pairs.groupBy(scope, F.col("first.id").alias("a"), F.col("id").alias("b")).agg(F.min(F.least("alias", "first.alias")).alias("alias"))
 
 
 def add_aliases(entities: DataFrame, requests: DataFrame, scope: str = "collection_id") -> tuple[DataFrame, DataFrame]:

@@ -138,17 +138,18 @@ def session_events(entities: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def sync_records(entities: DataFrame, sessions: DataFrame, rules: DataFrame, campaigns: DataFrame, collections: DataFrame) -> DataFrame:
-    """(record, type, name, scope_kind, scope_id, scope_name, number, summary, fenced, notes): everything that has a file.
+    """(record, type, name, aliases, scope_kind, scope_id, scope_name, number, summary, fenced, notes): everything that has a
+    file; only entities have aliases.
 
     A campaign comes before a collection; entities without either are left out, as are deleted rows.
     """
     scopes = campaigns.select(F.lit("campaign").alias("scope_kind"), F.col("id").alias("scope_id"), F.col("name").alias("scope_name")).union(collections.select(F.lit("collection"), "id", "name"))
     kind = F.when(F.col("campaign_id").isNotNull(), "campaign").when(F.col("collection_id").isNotNull(), "collection")
-    null = F.lit(None).cast("string")
-    rows = live(entities).select(F.col("id").alias("record"), F.col("kind").alias("type"), "name", kind.alias("scope_kind"), F.coalesce("campaign_id", "collection_id").alias("scope_id"), F.lit(None).cast("long").alias("number"), "summary", F.col("codex_article").alias("fenced"), "notes")
-    rows = rows.unionByName(live(sessions).select(F.col("id").alias("record"), F.lit("session").alias("type"), F.col("title").alias("name"), F.lit("campaign").alias("scope_kind"), F.col("campaign_id").alias("scope_id"), F.col("session_number").cast("long").alias("number"), null.alias("summary"), null.alias("fenced"), "notes"))
-    rows = rows.unionByName(live(rules).select(F.col("id").alias("record"), F.lit("rule_entry").alias("type"), "name", F.lit("collection").alias("scope_kind"), F.col("collection_id").alias("scope_id"), F.lit(None).cast("long").alias("number"), null.alias("summary"), F.col("body").alias("fenced"), "notes"))
-    return rows.join(scopes, ["scope_kind", "scope_id"]).select("record", "type", "name", "scope_kind", "scope_id", "scope_name", "number", "summary", "fenced", "notes")
+    null, none = F.lit(None).cast("string"), F.lit(None).cast("array<string>").alias("aliases")
+    rows = live(entities).select(F.col("id").alias("record"), F.col("kind").alias("type"), "name", "aliases", kind.alias("scope_kind"), F.coalesce("campaign_id", "collection_id").alias("scope_id"), F.lit(None).cast("long").alias("number"), "summary", F.col("codex_article").alias("fenced"), "notes")
+    rows = rows.unionByName(live(sessions).select(F.col("id").alias("record"), F.lit("session").alias("type"), F.col("title").alias("name"), none, F.lit("campaign").alias("scope_kind"), F.col("campaign_id").alias("scope_id"), F.col("session_number").cast("long").alias("number"), null.alias("summary"), null.alias("fenced"), "notes"))
+    rows = rows.unionByName(live(rules).select(F.col("id").alias("record"), F.lit("rule_entry").alias("type"), "name", none, F.lit("collection").alias("scope_kind"), F.col("collection_id").alias("scope_id"), F.lit(None).cast("long").alias("number"), null.alias("summary"), F.col("body").alias("fenced"), "notes"))
+    return rows.join(scopes, ["scope_kind", "scope_id"]).select("record", "type", "name", "aliases", "scope_kind", "scope_id", "scope_name", "number", "summary", "fenced", "notes")
 
 
 def listing(df: DataFrame, *order: str | Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loreloom.functions import text as T
 
-from .aggregates import assign_keys
+from .aggregates import action_report, assign_keys
 from .scopes import KINDS
 
 # The parts of a file's body.
@@ -199,7 +199,7 @@ def list_conflicts(state: DataFrame, records: DataFrame) -> DataFrame:
 def reconcile(records: DataFrame, files: DataFrame, state: DataFrame) -> dict[str, DataFrame]:
     """One full pass over records (record, key, content, name), files (key, record, content) and state.
 
-    writes (key, content), deletes (key), applies (record), soft_deletes (record), state, and report (action, n). The
+    writes (key, content), deletes (key), applies (record), soft_deletes (record), state, and report (counter, n). The
     new state belongs to the files after the writes, so it is to be stored last.
     """
     steps = conflict_actions(sync_decisions(records, files, state), files)
@@ -217,5 +217,5 @@ def reconcile(records: DataFrame, files: DataFrame, state: DataFrame) -> dict[st
         "applies": steps.filter(F.col("step").isin("apply", "resolve")).select("record"),
         "soft_deletes": steps.filter("step = 'soft_delete'").select("record"),
         "state": after,
-        "report": steps.select(F.col("step").alias("action")).union(swept.select(F.lit("swept"))).groupBy("action").agg(F.count("*").alias("n")),
+        "report": action_report(steps.select(F.col("step").alias("action")).union(swept.select(F.lit("sweep")))),
     }

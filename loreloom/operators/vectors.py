@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from loreloom.functions.text import let
 
+from .scopes import live
 
 #: Width of the hashing embedder, and the default number of neighbours.
 WIDTH, TOP = 256, 15
 
-#: A query table of at most so many rows is broadcast; a larger one is joined by its scope keys.
-BROADCAST_ROWS = 20_000
+#: A query table of at most so many numbers in all is broadcast, 64 MB; a larger one is joined by its scope keys.
+BROADCAST_NUMBERS = 8_000_000
 
 #: An embedder makes an array<double> column of a text column.
 Embedder = Callable[[Column], Column]
@@ -26,7 +27,8 @@ def hash_embedder(width: int = WIDTH) -> Embedder:
     def embed(text: Column) -> Column:
         words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{IsAlphabetic}\p{N}]+", " ")), " "), lambda w: w != "")
         at = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % width)
-        counts = lambda at: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
+        # how often a number is in the array: what the array loses without it, in compiled code
+        counts = lambda at: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (F.size(at) - F.size(F.array_remove(at, i.cast("long")))).cast("double"))
         unit = lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), lambda norm: F.transform(v, lambda x: x / norm))
         return let(at, lambda a: F.when(F.size(a) > 0, let(counts(a), unit)))
 
@@ -51,21 +53,36 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1.0 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def knn(queries: DataFrame, index: DataFrame, scopes: DataFrame, k: int = TOP, by: tuple[str, ...] = (), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def knn(queries: DataFrame, index: DataFrame, scopes: DataFrame, k: int = TOP, by: tuple[str, ...] = (), broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """(query_id, [by], item_id, distance, rank): for each query the k nearest rows of the index in its scopes.
 
     queries: query_id, embedding; index: item_id, collection_id, embedding, [by]; scopes: query_id, collection_id. The
     scope is applied first, so a query gets min(k, rows in scope) of them; one without scopes gets none. by gives k rows
     for each value of more columns. Ties go to the smaller id. Each task keeps its own best k before the shuffle.
     """
-    asked = queries.select("query_id", F.col("embedding").alias("q")).filter("q is not null").join(scopes.select("query_id", "collection_id").distinct(), "query_id")
-    if asked.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    doubles = lambda c: F.col(c).cast("array<double>")
+    norm = lambda v: F.sqrt(dot(v, v))
+    asked = queries.select("query_id", doubles("embedding").alias("q")).filter("q is not null").withColumn("q_norm", norm(F.col("q"))).join(scopes.select("query_id", "collection_id").distinct(), "query_id")
+    held = asked.agg(F.sum(F.size("q") + 4)).first()[0] or 0
+    if held <= broadcast_numbers:
         asked = F.broadcast(asked)
-    near = index.filter("embedding is not null").select("item_id", "collection_id", "embedding", *by).join(asked, "collection_id").withColumn("distance", cosine_distance(F.col("q"), F.col("embedding")))
+    # each side's norm is computed once, before the pairs
+    items = index.filter("embedding is not null").select("item_id", "collection_id", doubles("embedding").alias("e"), *by).withColumn("e_norm", norm(F.col("e")))
+    near = items.join(asked, "collection_id").withColumn("distance", 1.0 - dot(F.col("q"), F.col("e")) / (F.col("q_norm") * F.col("e_norm")))
     order = Window.partitionBy("query_id", *by).orderBy("distance", "item_id")
     return near.select("query_id", *by, "item_id", "distance", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
 
 
+def knn_entities(queries: DataFrame, entities: DataFrame, scopes: DataFrame, k: int = TOP) -> DataFrame:
+    """knn of the live entities, k for each kind. entities: item_id, collection_id, kind, embedding, vault_deleted."""
+    return knn(queries, live(entities), scopes, k, ("kind",))
+
+
+def knn_rules(queries: DataFrame, rules: DataFrame, scopes: DataFrame, k: int = TOP) -> DataFrame:
+    """knn of the live rules. rules: item_id, collection_id, embedding, vault_deleted."""
+    return knn(queries, live(rules), scopes, k)
+
+
 def scan_entities(scopes: DataFrame, entities: DataFrame, n: int = 50) -> DataFrame:
     """(query_id, kind, item_id, rank): without vectors, the first n entities of each kind in scope, by id."""
     found = scopes.select("query_id", "collection_id").distinct().join(entities.select(F.col("id").alias("item_id"), "kind", "collection_id"), "collection_id")

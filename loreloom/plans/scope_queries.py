@@ -245,7 +245,7 @@ def v3(kb: Base) -> DataFrame:
 @query("v4_entity_knn", _knn_sql(10, "kind", "v.vault_deleted IS DISTINCT FROM true"))
 def v4(kb: Base) -> DataFrame:
     asked, scopes = _queries(kb)
-    return V.knn(asked, S.live(kb.vector), scopes, 10, ("kind",)).select("query_id", "kind", "item_id", F.col("rank").cast("long").alias("rank"))
+    return V.knn_entities(asked, kb.vector, scopes, 10).select("query_id", "kind", "item_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("v5_scan_entities", f"SELECT query_id, kind, item_id FROM (SELECT s.campaign_id AS query_id, e.kind, e.id AS item_id, row_number() OVER (PARTITION BY s.campaign_id, e.kind ORDER BY e.id) AS n FROM subscription s JOIN entity e ON e.collection_id = s.collection_id WHERE {LIVE}) WHERE n <= 50")
@@ -257,7 +257,7 @@ def v5(kb: Base) -> DataFrame:
 @query("v6_rule_knn", _knn_sql(5, "", "v.kind = 'item' AND v.vault_deleted IS DISTINCT FROM true"))
 def v6(kb: Base) -> DataFrame:
     asked, scopes = _queries(kb)
-    return V.knn(asked, S.live(kb.vector).filter("kind = 'item'"), scopes, 5).select("query_id", "item_id", F.col("rank").cast("long").alias("rank"))
+    return V.knn_rules(asked, kb.vector.filter("kind = 'item'"), scopes, 5).select("query_id", "item_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("v8_embed_text", "SELECT id, name || CASE WHEN trim(coalesce(summary, '')) <> '' THEN ': ' || summary ELSE '' END || CASE WHEN trim(coalesce(notes, '')) <> '' THEN chr(10) || notes ELSE '' END || CASE WHEN trim(coalesce(codex_article, '')) <> '' THEN chr(10) || codex_article ELSE '' END AS t FROM entity")

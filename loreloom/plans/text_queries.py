@@ -14,6 +14,61 @@ from loreloom.operators import vectors as V
 from .registry import LIVE, Base, query, sql_key
 
 
+REPAIRED_SQL = r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(1), ' '), '\n{2,}', chr(1), 'g'), '\n', ' ', 'g'), '\s+', ' ', 'g'), ' *' || chr(1), chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM documents"""
+
+#: Whether the trimmed line l of w words is a heading.
+HEADING_SQL = r"""    WHERE l <> '' AND NOT (regexp_matches(l, '[.!?]$') AND w > 3) AND (
+        regexp_matches(l, '(?i)^(chapter|part|section|appendix)\s+\S+') OR regexp_matches(l, '^\d+(?:\.\d+)*[.)]?\s+\p{Lu}') OR (w <= 15 AND regexp_matches(l, '^[\p{Lu}\s\d''\-.!?/:;]{2,}$'))
+        OR (NOT regexp_matches(l, '[.!?]$') AND w <= 10 AND (w > 1 OR length(l) >= 3)
+            AND list_bool_and(list_transform(string_split(regexp_replace(l, '\s+', ' ', 'g'), ' '), lambda x: lower(x) IN ('a','an','the','and','or','of','in','on','at','to','for','with','by','from','into','onto','as','but','nor','vs') OR regexp_matches(x, '^\p{Lu}')))
+            AND list_bool_or(list_transform(string_split(regexp_replace(l, '\s+', ' ', 'g'), ' '), lambda x: lower(x) NOT IN ('a','an','the','and','or','of','in','on','at','to','for','with','by','from','into','onto','as','but','nor','vs'))))
+    )"""
+
+
+def sentences_sql(docs: str) -> str:
+    """CTEs up to sent (doc_id, ordinal, start, sentence) of a statement for (doc_id, text). Breaks are marked by chr(1);
+    without looking around, a full stop after a single capital is hidden as chr(2), and each pass that uses up the next
+    character runs twice."""
+    x = "text"
+    for pattern in (r"(\n)([^\n])", r"(\n)([^\n])", r"""([!?…]["''”’)\]]*\s+)(\S)""", r"""([!?…]["''”’)\]]*\s+)(\S)""", "hide", "hide", r"""(\.["''”’)\]]*[ \t ]+)([^\s\p{Ll}])""", r"""(\.["''”’)\]]*[ \t ]+)([^\s\p{Ll}])"""):
+        x = rf"regexp_replace({x}, '([.\x02]\p{{Lu}})\.', '\1' || chr(2), 'g')" if pattern == "hide" else rf"regexp_replace({x}, '{pattern}', '\1' || chr(1) || '\2', 'g')"
+    return rf"""docs AS ({docs}), parts AS (SELECT doc_id, string_split(regexp_replace(replace({x}, chr(2), '.'), chr(1) || '+', chr(1), 'g'), chr(1)) AS p FROM docs),
+        pieces AS (SELECT doc_id, unnest(range(len(p))) AS ordinal, unnest(p) AS piece FROM parts),
+        located AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM pieces),
+        sent AS (SELECT doc_id, ordinal, CAST(a + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS BIGINT) AS start, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS sentence FROM located WHERE trim(piece, ' ' || chr(10) || chr(9)) <> '')"""
+
+
+def headings_sql(docs: str) -> str:
+    """(doc_id, start, heading) of a statement for (doc_id, text)."""
+    return rf"""SELECT doc_id, start, l AS heading FROM (SELECT doc_id, start, trim(line) AS l, len(string_split(regexp_replace(trim(line), '\s+', ' ', 'g'), ' ')) AS w FROM (
+        SELECT doc_id, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM ({docs})))) {HEADING_SQL}"""
+
+
+def chunks_sql(docs: str, pages: str) -> str:
+    """A statement for chunks, by a walk from chunk to chunk; pages has (doc_id, page_num, start, stop)."""
+    return rf"""
+        WITH RECURSIVE {sentences_sql(docs)},
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n, coalesce(sum(length(sentence)) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM sent),
+        ends AS (SELECT doc_id, k, n, p, p + k AS v, p + k + length(sentence) AS e FROM numbered),
+        taken AS (SELECT doc_id, k, n, greatest(k + 1, (SELECT count(*) FROM ends f WHERE f.doc_id = ends.doc_id AND f.e <= ends.v + 1000)) AS j FROM ends),
+        steps AS (SELECT t.doc_id, t.k, t.n, t.j, greatest(t.k + 1, coalesce((SELECT max(b.k) FROM ends b WHERE b.doc_id = t.doc_id AND b.p <= (SELECT x.p FROM ends x WHERE x.doc_id = t.doc_id AND x.k = t.j) - 200), 0)) AS next FROM taken t),
+        walk AS (SELECT * FROM steps WHERE k = 0 UNION ALL SELECT s.* FROM walk w JOIN steps s ON s.doc_id = w.doc_id AND s.k = w.next WHERE w.j < w.n),
+        made AS (SELECT w.doc_id, w.k, min(s.start) AS start, string_agg(s.sentence, ' ' ORDER BY s.k) AS text FROM walk w JOIN numbered s ON s.doc_id = w.doc_id AND s.k >= w.k AND s.k < w.j GROUP BY w.doc_id, w.k),
+        chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS ordinal, start, start + length(text) AS stop, text FROM made),
+        heads AS ({headings_sql("SELECT * FROM docs")}), pages AS ({pages}),
+        headed AS (SELECT c.doc_id, c.ordinal, arg_max(h.heading, h.start) AS heading FROM chunks c JOIN heads h ON h.doc_id = c.doc_id AND h.start <= c.start GROUP BY c.doc_id, c.ordinal),
+        paged AS (SELECT c.doc_id, c.ordinal, max(CASE WHEN p.start <= c.start AND c.start < p.stop THEN p.page_num END) AS first, max(CASE WHEN p.start < c.stop AND c.stop <= p.stop THEN p.page_num END) AS inside, max(CASE WHEN c.start < p.start AND c.stop > p.start THEN p.page_num END) AS beyond FROM chunks c JOIN pages p ON p.doc_id = c.doc_id GROUP BY c.doc_id, c.ordinal)
+        SELECT c.doc_id, c.ordinal, c.start, c.stop AS "end", coalesce(h.heading, '') AS section_heading, CAST(coalesce(g.first, 1) AS BIGINT) AS page_start, CAST(greatest(coalesce(g.inside, 1), coalesce(g.beyond, 1)) AS BIGINT) AS page_end, md5(c.text) AS digest
+        FROM chunks c LEFT JOIN headed h ON h.doc_id = c.doc_id AND h.ordinal = c.ordinal LEFT JOIN paged g ON g.doc_id = c.doc_id AND g.ordinal = c.ordinal"""
+
+
+#: Each line of a document as a page, repaired; empty ones are skipped.
+PAGES_SQL = r"""SELECT doc_id, n, line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (
+    SELECT doc_id, n, trim(regexp_replace(l, '\s+', ' ', 'g')) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents)) WHERE line <> ''"""
+ASSEMBLED_SQL = f"SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM ({PAGES_SQL}) GROUP BY doc_id"
+
+
 def _repaired(kb: Base) -> DataFrame:
     return kb.table("documents").select("doc_id", T.normalize_text(F.col("text")).alias("text"))
 
@@ -25,7 +80,7 @@ def p1(kb: Base) -> DataFrame:
     return _repaired(kb).select("doc_id", F.md5("text").alias("digest"))
 
 
-@query("p2_assemble_documents")
+@query("p2_assemble_documents", f"SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY n)) AS digest, count(*) AS n_pages, CAST(max(start + length(line)) AS BIGINT) AS length FROM ({PAGES_SQL}) GROUP BY doc_id")
 def p2(kb: Base) -> DataFrame:
     pages = kb.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_num", "text")).withColumn("page_num", F.col("page_num") + 1)
     return C.assemble_documents(pages).select("doc_id", F.md5("text").alias("digest"), F.size("pages").cast("long").alias("n_pages"), F.element_at("pages", -1)["end"].cast("long").alias("length"))
@@ -44,22 +99,22 @@ def p3(kb: Base) -> DataFrame:
     return lines.filter(T.is_heading(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("p4_heading_positions")
+@query("p4_heading_positions", headings_sql("SELECT doc_id, text FROM documents"))
 def p4(kb: Base) -> DataFrame:
     return C.detect_headings(kb.table("documents").select("doc_id", "text"))
 
 
-@query("p5_sentences")
+@query("p5_sentences", f"WITH {sentences_sql(REPAIRED_SQL)} SELECT doc_id, CAST(ordinal AS INT) AS ordinal, start, md5(sentence) AS digest FROM sent")
 def p5(kb: Base) -> DataFrame:
     return C.split_sentences(_repaired(kb)).select("doc_id", "ordinal", "start", F.md5("sentence").alias("digest"))
 
 
-@query("p6_chunk_documents")
+@query("p6_chunk_documents", chunks_sql(REPAIRED_SQL, "SELECT doc_id, 1 AS page_num, 0 AS start, length(text) AS stop FROM docs"))
 def p6(kb: Base) -> DataFrame:
     return C.chunk_documents(_repaired(kb)).select("doc_id", "ordinal", "start", "end", "section_heading", "page_start", "page_end", F.md5("text").alias("digest"))
 
 
-@query("p8_chunk_pages")
+@query("p8_chunk_pages", "SELECT doc_id, ordinal, page_start, page_end FROM (" + chunks_sql(ASSEMBLED_SQL, f"SELECT doc_id, n AS page_num, start, start + length(line) AS stop FROM ({PAGES_SQL})") + ")")
 def p8(kb: Base) -> DataFrame:
     pages = kb.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page_num", "text")).withColumn("page_num", F.col("page_num") + 1)
     return C.chunk_documents(C.assemble_documents(pages)).select("doc_id", "ordinal", "page_start", "page_end")
@@ -70,7 +125,12 @@ def p9(kb: Base) -> DataFrame:
     return kb.table("documents").select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
 
 
-@query("p10_layout_pages")
+@query("p10_layout_pages", r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+    sized AS (SELECT *, CASE WHEN len(string_split(line, ' ')) = 1 THEN 14.0 ELSE 10.0 END AS size FROM l),
+    body AS (SELECT doc_id, arg_max(size, (glyphs, size)) AS body FROM (SELECT doc_id, size, sum(length(line) + 1) AS glyphs FROM sized GROUP BY doc_id, size) GROUP BY doc_id),
+    pieces AS (SELECT s.doc_id, n, CASE WHEN trim(line) = '' THEN repeat(chr(10), 2) WHEN size > body * 1.15 THEN repeat(chr(10), 2) || trim(line) || repeat(chr(10), 2) ELSE line || chr(10) END AS piece FROM sized s JOIN body b ON b.doc_id = s.doc_id)
+    SELECT doc_id, 1 AS page_num, md5(regexp_replace(regexp_replace(string_agg(piece, '' ORDER BY n), '^\n+', ''), '\n{3,}', repeat(chr(10), 2), 'g')) AS digest FROM pieces GROUP BY doc_id""")
 def p10(kb: Base) -> DataFrame:
     """Glyphs made from the documents' lines: a line's number is its height, and lines of one word are large."""
     lines = kb.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
@@ -84,7 +144,16 @@ def p11(kb: Base) -> DataFrame:
     return kb.table("documents").select("doc_id", F.md5(T.sanitize_scalar(F.col("text"))).alias("digest"))
 
 
-@query("p12_detect_language")
+LANGUAGE_SQL = ", ".join(
+    f"len(list_filter(t, lambda x: x IN ({', '.join(repr(w) for w in words.split('|'))})))" + (f" + least(len(regexp_extract_all(f, '{T.LANGUAGE_LETTERS[name]}')), 2)" if T.LANGUAGE_LETTERS[name] else "") + f" AS {name}" for name, words in T.LANGUAGE_WORDS.items()
+)
+
+
+@query("p12_detect_language", rf"""
+    WITH folded AS (SELECT doc_id, lang, lower(trim(text)) AS f, regexp_extract_all(lower(trim(text)), '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+') AS t FROM documents),
+    scored AS (SELECT doc_id, lang, len(regexp_extract_all(f, '\p{{L}}+')) AS n, {LANGUAGE_SQL} FROM folded),
+    ranked AS (SELECT *, greatest(en, de, fr, es) AS best, list_reverse_sort([en, de, fr, es])[2] AS second FROM scored)
+    SELECT doc_id, lang, CASE WHEN n >= 3 AND best >= 2 AND best > second THEN CASE best WHEN en THEN 'en' WHEN de THEN 'de' WHEN fr THEN 'fr' ELSE 'es' END ELSE 'en' END AS detected FROM ranked""")
 def p12(kb: Base) -> DataFrame:
     return kb.table("documents").select("doc_id", "lang", T.detect_language(F.col("text"), F.lit("en")).alias("detected"))
 
@@ -110,8 +179,11 @@ def v11(kb: Base) -> DataFrame:
     chunks = C.chunk_documents(docs).select(F.concat_ws(":", "doc_id", "ordinal").alias("item_id"), F.lit("all").alias("collection_id"), "text")
     asked = kb.table("benchmark").select(F.col("item_id").alias("query_id"), T.normalize_text(F.col("text")).alias("text"))
     truth = asked.select("query_id", F.left("text", F.lit(60)).alias("marker"))
-    # passages are few by nature: a fixed evaluation set
-    held = F.broadcast(truth).join(docs, F.contains(F.col("text"), F.col("marker"))).select("query_id").distinct()
+    # documents that can have a marker have its longest word: an equi-join, and then the text itself is looked at
+    words = F.slice(F.split("marker", " "), 2, F.greatest(F.size(F.split("marker", " ")) - 2, F.lit(1)))
+    rare = truth.withColumn("word", F.element_at(F.sort_array(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"])
+    having = docs.select("text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    held = having.join(rare, "word").filter(F.contains(F.col("text"), F.col("marker"))).select("query_id").distinct()
     truth = truth.join(held, "query_id", "left_semi")
     near = V.knn(V.embed_queries(asked, embed), V.embed_documents(chunks, embed), asked.select("query_id", F.lit("all").alias("collection_id")), 5)
     return V.recall_at_k(near.join(chunks.select("item_id", "text"), "item_id"), truth, 5)
@@ -125,6 +197,14 @@ SIMILAR = f"""
     sims AS (SELECT collection_id, kind, a, b, CASE WHEN a = b THEN 1.0 WHEN list_has_all(string_split(b, ' '), string_split(a, ' ')) OR list_has_all(string_split(a, ' '), string_split(b, ' ')) THEN greatest(d, 0.75 + 0.25 * d) ELSE d END AS s FROM pairs)"""
 
 
+def near_sql(left: str, right: str) -> str:
+    """CTEs up to near (collection_id, a, b, s): similarities of the keys of two statements for (collection_id, k)."""
+    grams = lambda t: f"SELECT collection_id, k, g, count(*) AS c FROM (SELECT collection_id, k, substr('  ' || k || ' ', CAST(i AS INT), 3) AS g FROM (SELECT collection_id, k, unnest(range(1, length(k) + 2)) AS i FROM {t})) GROUP BY collection_id, k, g"
+    return f"""ls AS (SELECT DISTINCT collection_id, k FROM ({left}) WHERE k <> ''), rs AS (SELECT DISTINCT collection_id, k FROM ({right}) WHERE k <> ''), lg AS ({grams('ls')}), rg AS ({grams('rs')}),
+        common AS (SELECT x.collection_id, x.k AS a, y.k AS b, 2.0 * sum(least(x.c, y.c)) / (length(x.k) + 1 + length(y.k) + 1) AS d FROM lg x JOIN rg y ON x.collection_id = y.collection_id AND x.g = y.g GROUP BY x.collection_id, x.k, y.k),
+        near AS (SELECT collection_id, a, b, CASE WHEN a = b THEN 1.0 WHEN list_has_all(string_split(b, ' '), string_split(a, ' ')) OR list_has_all(string_split(a, ' '), string_split(b, ' ')) THEN greatest(d, 0.75 + 0.25 * d) ELSE d END AS s FROM common)"""
+
+
 @query("n1_name_key", f"SELECT id, {sql_key('name')} AS name_key FROM entity")
 def n1(kb: Base) -> DataFrame:
     return kb.entity.select("id", T.name_key(F.col("name")).alias("name_key"))
@@ -136,7 +216,12 @@ def n2(kb: Base) -> DataFrame:
     return N.similar_keys(keys, keys, ["collection_id", "kind"], N.SUGGEST).select("collection_id", "kind", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("n3_duplicate_entities", SIMILAR + f" SELECT s.collection_id, s.kind, x.id AS a, y.id AS b, round(s.s, 6) AS similarity FROM sims s JOIN {NAMED} x ON x.collection_id = s.collection_id AND x.kind = s.kind AND x.k = s.a JOIN {NAMED} y ON y.collection_id = s.collection_id AND y.kind = s.kind AND y.k = s.b WHERE s.s >= 0.9 - 1e-12 AND x.id < y.id")
+DUPLICATES = SIMILAR + f""", firsts AS (SELECT collection_id, kind, k, min(id) AS f FROM {NAMED} WHERE k <> '' GROUP BY collection_id, kind, k)
+    SELECT n.collection_id, n.kind, f.f AS a, n.id AS b, CAST(1 AS DOUBLE) AS similarity FROM {NAMED} n JOIN firsts f ON f.collection_id = n.collection_id AND f.kind = n.kind AND f.k = n.k WHERE n.id <> f.f
+    UNION ALL SELECT s.collection_id, s.kind, least(x.f, y.f), greatest(x.f, y.f), round(s.s, 6) FROM sims s JOIN firsts x ON x.collection_id = s.collection_id AND x.kind = s.kind AND x.k = s.a JOIN firsts y ON y.collection_id = s.collection_id AND y.kind = s.kind AND y.k = s.b WHERE s.s >= 0.9 - 1e-12 AND s.a < s.b"""
+
+
+@query("n3_duplicate_entities", DUPLICATES)
 def n3(kb: Base) -> DataFrame:
     return N.duplicate_entities(kb.entity).select("collection_id", "kind", "a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -144,7 +229,13 @@ def n3(kb: Base) -> DataFrame:
 CLAIMS = f"(SELECT DISTINCT collection_id, id, alias, {sql_key('alias')} AS k FROM (SELECT collection_id, id, unnest(list_concat([name], aliases)) AS alias FROM entity WHERE {LIVE} AND collection_id IS NOT NULL))"
 
 
-@query("n4_alias_collisions", f"SELECT x.collection_id, x.id AS a, y.id AS b, min(least(x.alias, y.alias)) AS alias FROM {CLAIMS} x JOIN {CLAIMS} y ON x.collection_id = y.collection_id AND x.k = y.k AND x.id < y.id WHERE x.k <> '' GROUP BY x.collection_id, x.id, y.id")
+COLLISIONS = f"""
+    WITH o AS (SELECT collection_id, k, id, min(alias) AS alias FROM {CLAIMS} WHERE k <> '' GROUP BY collection_id, k, id),
+    f AS (SELECT *, first_value(id) OVER (PARTITION BY collection_id, k ORDER BY id) AS a, first_value(alias) OVER (PARTITION BY collection_id, k ORDER BY id) AS x FROM o)
+    SELECT collection_id, a, id AS b, min(least(alias, x)) AS alias FROM f WHERE id <> a GROUP BY collection_id, a, id"""
+
+
+@query("n4_alias_collisions", COLLISIONS)
 def n4(kb: Base) -> DataFrame:
     return N.alias_collisions(kb.entity)
 
@@ -155,12 +246,20 @@ def _requests(kb: Base) -> DataFrame:
     return e.select("id", F.when(F.col("n") % 4 == 0, F.concat(F.lit("Customer#"), F.lpad((F.col("n") + 25).cast("string"), 9, "0"))).otherwise(F.concat(F.lit("Alias "), F.col("n").cast("string"))).alias("alias"))
 
 
-@query("n5_add_aliases")
+ASKED = "(SELECT id, CASE WHEN CAST(split_part(id, ':', 2) AS INT) % 4 = 0 THEN 'Customer#' || lpad(CAST(CAST(split_part(id, ':', 2) AS INT) + 25 AS STRING), 9, '0') ELSE 'Alias ' || split_part(id, ':', 2) END AS alias, name, aliases, collection_id, vault_deleted FROM entity)"
+JUDGED = f"""
+    WITH claimed AS (SELECT collection_id, k, min(id) AS low, max(id) AS high FROM {CLAIMS} WHERE k <> '' GROUP BY collection_id, k),
+    a AS (SELECT *, {sql_key('alias')} AS k FROM {ASKED} WHERE {LIVE} AND collection_id IS NOT NULL),
+    first AS (SELECT collection_id, k, min(id) AS winner FROM a GROUP BY collection_id, k),
+    judged AS (SELECT a.id, a.alias, CASE WHEN c.low IS NOT NULL AND (c.low <> a.id OR c.high <> a.id) THEN 'taken' WHEN f.winner <> a.id THEN 'claimed' END AS reason FROM a JOIN first f ON f.collection_id = a.collection_id AND f.k = a.k LEFT JOIN claimed c ON c.collection_id = a.collection_id AND c.k = a.k)"""
+
+
+@query("n5_add_aliases", JUDGED + " SELECT e.id, array_to_string(list_sort(list_concat(e.aliases, CASE WHEN j.id IS NOT NULL AND j.alias <> e.name AND NOT list_contains(e.aliases, j.alias) THEN [j.alias] ELSE list_filter(e.aliases, lambda x: false) END)), '|') AS aliases FROM entity e LEFT JOIN judged j ON j.id = e.id AND j.reason IS NULL")
 def n5(kb: Base) -> DataFrame:
-    return N.add_aliases(kb.entity, _requests(kb))[0].select("id", F.array_join("aliases", "|").alias("aliases"))
+    return N.add_aliases(kb.entity, _requests(kb))[0].select("id", F.array_join(F.sort_array("aliases"), "|").alias("aliases"))
 
 
-@query("n5_refused_aliases")
+@query("n5_refused_aliases", JUDGED + f" SELECT id, alias, reason FROM judged WHERE reason IS NOT NULL UNION ALL SELECT id, alias, 'not found' FROM {ASKED} WHERE NOT ({LIVE})")
 def n5b(kb: Base) -> DataFrame:
     return N.add_aliases(kb.entity, _requests(kb))[1]
 

@@ -16,7 +16,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _COMMON = """
     CASE WHEN {n} % 5 = 0 THEN array({name} || ' of ' || {place}, 'The ' || {name}) WHEN {n} % 5 = 1 THEN array('Old ' || {name}) ELSE array() END AS aliases,
     CASE WHEN {n} % 4 = 0 THEN NULL ELSE 'About ' || {name} END AS summary,
-    CASE {n} % 6 WHEN 0 THEN 'Seen near [[' || {link} || ']].' WHEN 1 THEN 'Knows [[' || upper({link}) || ']] and [[The ' || {link} || ']].' WHEN 2 THEN 'Met [[' || {link} || 's]] and [[nobody ' || CAST({n} % 50 AS STRING) || ']].' WHEN 3 THEN '' END AS notes,
+    CASE {n} % 6 WHEN 0 THEN 'Seen near [[' || {link} || ']].' WHEN 1 THEN 'Knows [[' || upper({link}) || ']] and [[The ' || {link} || ']].' WHEN 2 THEN 'Met [[' || {link} || 's]] and [[nobody ' || CAST({n} % 50 AS STRING) || ']].' WHEN 3 THEN '' WHEN 4 THEN 'As [[' || {name} || 'x]].' END AS notes,
     CASE WHEN {n} % 3 = 0 THEN NULL ELSE 'Article on ' || {name} || '. It cites [[' || {link} || ']].' END AS codex_article,
     CASE {n} % 4 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS codex_stale,
     CASE {n} % 7 WHEN 0 THEN true WHEN 1 THEN false END AS vault_deleted

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,13 +27,15 @@ def stream_exports(changes: DataFrame, export: Callable[[DataFrame], None], chec
     return _start(changes, lambda batch, _: export(batch.select("record").distinct()), checkpoint, once)
 
 
-def debounce(changes: DataFrame, gap: str = GAP, late: str = LATE) -> DataFrame:
-    """(start, end, events): bursts of changes (ts, kind, key) with no pause of `gap` in them; a burst's distinct events,
-    rescans first, then upserts, then removals, by key. For streams and tables; later rows of a stream are dropped."""
+def debounce(changes: DataFrame, by: str = "vault", gap: str = GAP, late: str = LATE) -> DataFrame:
+    """(by, start, end, events): bursts of a vault's changes (by, ts, kind, key) with no pause of `gap` in them; a burst's
+    distinct events, rescans first, then upserts, then removals, by key. For streams and tables; later rows of a stream
+    are dropped."""
     place = F.when(F.col("kind") == "rescan", 0).when(F.col("kind") == "upsert", 1).otherwise(2)
     marked = changes.withWatermark("ts", late) if changes.isStreaming else changes
     event = F.struct(place.alias("place"), "kind", F.col("key").cast("string").alias("key"))
-    return marked.groupBy(F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_set(event)).alias("events")).select("w.start", "w.end", F.transform("events", lambda e: F.struct(e["kind"].alias("kind"), e["key"].alias("key"))).alias("events"))
+    bursts = marked.groupBy(by, F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_set(event)).alias("events"))
+    return bursts.select(by, "w.start", "w.end", F.transform("events", lambda e: F.struct(e["kind"].alias("kind"), e["key"].alias("key"))).alias("events"))
 
 
 def _unechoed(rows: pd.DataFrame, write: tuple, delete: float | None) -> tuple[list[int], tuple, float | None]:
@@ -64,12 +66,18 @@ def suppress_echo(changes: DataFrame) -> DataFrame:
     """
     own = changes.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "kind", "hash")
     if not own.isStreaming:
-
-        def batch(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["ts", "kind", "hash"], kind="stable").reset_index(drop=True)
-            return rows.iloc[_unechoed(rows, (None, 0.0), None)[0]]
-
-        return own.groupBy("key").applyInPandas(batch, ECHO)
+        # the last own write, and how many removals since the last own delete: the first of them, in time, is its echo
+        along = Window.partitionBy("key").orderBy("ts", "kind", "hash").rowsBetween(Window.unboundedPreceding, -1)
+        seconds = F.unix_micros("ts") / 1e6
+        write = F.last(F.when(F.col("kind") == "own_write", F.struct("hash", seconds.alias("at"))), ignorenulls=True).over(along)
+        deleted = F.last(F.when(F.col("kind") == "own_delete", seconds), ignorenulls=True).over(along)
+        removed = F.count_if(F.col("kind") == "own_delete").over(along)
+        marked = own.withColumns({"w": write, "d": deleted, "n": removed, "at": seconds})
+        fresh = (F.col("kind") == "remove") & (F.col("at") - F.col("d") < DELETE_TTL)
+        used = F.count_if(fresh).over(Window.partitionBy("key", "n").orderBy("ts", "kind", "hash").rowsBetween(Window.unboundedPreceding, -1))
+        echo = (F.col("kind") == "upsert") & (F.col("w.hash") == F.col("hash")) & (F.col("at") - F.col("w.at") < WRITE_TTL)
+        kept = marked.withColumn("echo", F.coalesce(echo, F.lit(False)) | (F.coalesce(fresh, F.lit(False)) & (used == 0)))
+        return kept.filter(~F.col("echo") & ~F.col("kind").isin("own_write", "own_delete")).select("key", "ts", "kind", "hash")
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         digest, at, delete = state.get if state.exists else (None, 0.0, None)

@@ -128,8 +128,8 @@ def test_files_round_trip(spark, tmp_path):
     assert (back["npc:2"].summary, back["npc:2"].fenced, back["npc:2"].notes) == (None, None, None)
     files = spark.createDataFrame([(r.key, r.record, r.content) for r in back.values()], "key string, record string, content string")
     state = files.select("record", "key", T.content_hash(F.col("content")).alias("synced_hash"), F.lit(False).alias("conflict"))
-    report = {r.action: r.n for r in Y.reconcile(made.select("record", "key", "name", "content"), files, state)["report"].collect()}
-    assert report == {"noop": 2}
+    report = {r.counter: r.n for r in Y.reconcile(made.select("record", "key", "name", "content"), files, state)["report"].collect()}
+    assert report == dict.fromkeys(A.COUNTERS, 0) | {"unchanged": 2}
 
 
 def test_citations(spark):
@@ -187,7 +187,7 @@ def test_knn_filters_first(spark):
     asked = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 0.0])], "query_id int, embedding array<double>")
     scopes = spark.createDataFrame([(1, "c")], "query_id int, collection_id string")
     for bound in (0, 100):
-        got = V.knn(asked, index, scopes, 5, broadcast_rows=bound).orderBy("rank").collect()
+        got = V.knn(asked, index, scopes, 5, broadcast_numbers=bound).orderBy("rank").collect()
         assert [(r.query_id, r.item_id) for r in got] == [(1, "a"), (1, "e")]
 
 
