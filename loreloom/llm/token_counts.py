@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from . import pretokens
 from .common import cut
 
-#: Entries that a task collects before it passes them on.
-FLUSH = 300_000
+#: Entries that a task collects before it passes them on, and documents that it counts at a time.
+FLUSH, ROWS = 300_000, 1_000
 
 #: The most pre-tokens that tasks hold in memory, and the most characters in one of these: a bound on the broadcast.
 HEAD = 1 << 17
@@ -35,19 +35,24 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
         for batch in batches:
-            rows: tuple[list, list, list] = ([], [], [])
-            for text in batch.column(1):
-                found = Counter(pretokens.pieces(text := text.as_py(), path))
-                total, rest = 0, []
-                for piece, n in found.items():
-                    tokens = table.get(piece)
-                    if tokens is None:
-                        rest.append({"piece": piece, "n": n})
-                    else:
-                        total += tokens * n
-                rows[0].append(len(text.encode()) if text else 0), rows[1].append(total), rows[2].append(rest)
-            rest = pa.list_(pa.struct([("piece", pa.string()), ("n", pa.int64())]))
-            yield pa.record_batch([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], rest)], ["doc_id", "n_bytes", "n_head", "rest"])
+            for start in range(0, len(batch), ROWS):
+                part = batch.slice(start, ROWS)
+                sizes, totals, ends = [], [], [0]
+                pieces: list[str] = []
+                numbers: list[int] = []
+                for text in part.column(1):
+                    found = Counter(pretokens.pieces(text := text.as_py(), path))
+                    total = 0
+                    for piece, n in found.items():
+                        tokens = table.get(piece)
+                        if tokens is None:
+                            pieces.append(piece)
+                            numbers.append(n)
+                        else:
+                            total += tokens * n
+                    sizes.append(len(text.encode()) if text else 0), totals.append(total), ends.append(len(pieces))
+                rest = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(numbers, pa.int64())], ["piece", "n"])
+                yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)], ["doc_id", "n_bytes", "n_head", "rest"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.mapInArrow(counts, f"doc_id {kind}, n_bytes long, n_head long, rest array<struct<piece: string, n: long>>")
