@@ -6,11 +6,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import cut
+from .common import stored
 
 #: Entries that a task collects before it passes them on, and documents that it counts at a time.
 FLUSH, ROWS = 300_000, 1_000
@@ -29,38 +30,46 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     others. Texts of any length are counted whole; an empty table gives an empty result; other columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    vocabulary = cut(_vocabulary(docs, path))
+    vocabulary = stored(_vocabulary(docs, path))
     known = docs.sparkSession.sparkContext.broadcast(_head(vocabulary, head))
 
+    kind = docs.schema["doc_id"].dataType
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
+        """For each document a row of its own figures and a row for each piece that isn't known here."""
+        table, row = known.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             for start in range(0, len(batch), ROWS):
                 part = batch.slice(start, ROWS)
-                sizes, totals, ends = [], [], [0]
+                rows: list[int] = []
                 pieces: list[str] = []
-                numbers: list[int] = []
-                for text in part.column(1):
+                amounts: list[int] = []
+                own: list[int | None] = []
+                sizes: list[int | None] = []
+                for i, text in enumerate(part.column(1)):
                     found = Counter(pretokens.pieces(text := text.as_py(), path))
-                    total = 0
+                    total, row, first = 0, row + 1, len(pieces)
+                    pieces.append(f"\0{row}")  # spreads these rows in the join; what it finds there doesn't count
+                    amounts.append(0)
                     for piece, n in found.items():
                         tokens = table.get(piece)
                         if tokens is None:
                             pieces.append(piece)
-                            numbers.append(n)
+                            amounts.append(n)
                         else:
                             total += tokens * n
-                    sizes.append(len(text.encode()) if text else 0), totals.append(total), ends.append(len(pieces))
-                rest = pa.StructArray.from_arrays([pa.array(pieces, pa.string()), pa.array(numbers, pa.int64())], ["piece", "n"])
-                yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)], ["doc_id", "n_bytes", "n_head", "rest"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    read = docs.mapInArrow(counts, f"doc_id {kind}, n_bytes long, n_head long, rest array<struct<piece: string, n: long>>")
-    # a row is told by its place in the reading; its own figures ride on the rows of its pieces
-    read = read.withColumn("row", F.monotonically_increasing_id())
-    parts = read.select("row", "doc_id", "n_bytes", "n_head", F.explode_outer("rest").alias("r")).select("row", "doc_id", "n_bytes", "n_head", "r.piece", "r.n")
-    joined = parts.join(vocabulary.select("piece", "tokens"), "piece", "left")
-    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), (F.max("n_head") + F.sum(F.coalesce(F.col("n") * F.col("tokens"), F.lit(0)))).alias("n_tokens"))
+                    amounts[first] = total
+                    more = len(pieces) - first
+                    rows += [row] * more
+                    own += [i] + [None] * (more - 1)
+                    sizes += [len(text.encode()) if text else 0] + [None] * (more - 1)
+                ids = part.column(0).take(pa.array(own, pa.int64()))
+                yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(pieces, pa.string()), pa.array(amounts, pa.int64()), ids, pa.array(sizes, pa.int64())], ["row", "piece", "amount", "doc_id", "n_bytes"])
+
+    read = docs.mapInArrow(counts, f"row long, piece string, amount long, doc_id {kind.simpleString()}, n_bytes long")
+    joined = read.join(vocabulary.select("piece", "tokens"), "piece", "left")
+    tokens = F.when(F.col("n_bytes").isNotNull(), F.col("amount")).otherwise(F.col("amount") * F.col("tokens"))
+    summed = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(tokens).alias("n_tokens"))
     return summed.select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens")
 
 
