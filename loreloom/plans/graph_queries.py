@@ -383,11 +383,6 @@ def x6(kb: Base) -> DataFrame:
     return R.compile_targets(kb.entity)[0].select("collection_id", "id")
 
 
-@query("x9_rule_requests")
-def x9(kb: Base) -> DataFrame:
-    return R.rule_requests(S.rule_chunks(kb.chunk, kb.source))[0].select("collection_id", "batch", F.md5("prompt").alias("digest"))
-
-
 @query("x10_upsert_rules", "SELECT collection_id, count(DISTINCT split_part(name, ' ', 1)) AS created, CAST(0 AS BIGINT) AS updated FROM rule GROUP BY collection_id")
 def x10(kb: Base) -> DataFrame:
     rules = kb.rules
@@ -569,7 +564,10 @@ def c4(kb: Base) -> DataFrame:
     return C.apply_subscriptions(kb.subscription, kb.subscription, gone)
 
 
-@query("c5_create_entities")
+@query("c5_create_entities", f"""
+    WITH l AS (SELECT id || '-new' AS from_id, collection_id, trim(unnest(regexp_extract_all(notes, '\\[\\[([^\\[\\]]+)\\]\\]', 1))) AS link FROM entity WHERE kind = 'faction' AND collection_id IS NOT NULL),
+    r AS (SELECT q.collection_id, q.link, arg_min(f.id, (f.tier, f.id)) AS to_id FROM (SELECT DISTINCT collection_id, link FROM l) q JOIN {FORMS} f ON f.collection_id = q.collection_id AND f.form <> '' AND ((f.tier < 3 AND f.form = lower(q.link)) OR (f.tier = 3 AND f.form = {sql_key('q.link')})) GROUP BY q.collection_id, q.link)
+    SELECT from_id, rel_type, count(*) AS n FROM (SELECT from_id, rel_type FROM edge UNION ALL SELECT from_id, 'mentioned' FROM (SELECT DISTINCT l.from_id, r.to_id FROM l JOIN r ON r.collection_id = l.collection_id AND r.link = l.link)) GROUP BY from_id, rel_type""")
 def c5(kb: Base) -> DataFrame:
     rows = kb.entity.filter("kind = 'faction'").select(F.concat("id", F.lit("-new")).alias("id"), "kind", F.concat(F.lit("New "), "name").alias("name"), "notes", "collection_id")
     return C.create_entities(kb.entity, kb.edge, rows)[1].groupBy("from_id", "rel_type").agg(F.count("*").alias("n"))

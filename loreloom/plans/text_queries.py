@@ -270,11 +270,14 @@ def n6(kb: Base) -> DataFrame:
     return N.remove_aliases(kb.entity, gone).select("id", F.array_join("aliases", "|").alias("aliases"))
 
 
-@query("n8_alias_decisions")
+@query("n8_alias_decisions", f"""
+    WITH d AS (SELECT parties[1] AS id, 'Also ' || detail AS alias, length(id) % 2 = 0 AS accept FROM finding WHERE kind = 'alias_collision'),
+    g AS (SELECT id, list(DISTINCT alias) FILTER (accept) AS added, list(DISTINCT lower(alias)) FILTER (NOT accept) AS gone FROM d GROUP BY id)
+    SELECT e.id, array_to_string(list_sort(list_filter(list_distinct(CASE WHEN {LIVE} AND e.collection_id IS NOT NULL THEN list_concat(e.aliases, coalesce(g.added, [])) ELSE e.aliases END), lambda a: NOT list_contains(coalesce(g.gone, []), lower(a)))), '|') AS aliases FROM entity e LEFT JOIN g ON g.id = e.id""")
 def n8(kb: Base) -> DataFrame:
     found = kb.finding
     decisions = found.filter("kind = 'alias_collision'").select(F.col("id").alias("finding_id"), (F.length("id") % 2 == 0).alias("accept"), F.element_at("parties", 1).alias("id"), F.concat(F.lit("Also "), "detail").alias("alias"))
-    return N.apply_alias_decisions(kb.entity, found, decisions)[0].select("id", F.array_join("aliases", "|").alias("aliases"))
+    return N.apply_alias_decisions(kb.entity, found, decisions)[0].select("id", F.array_join(F.sort_array("aliases"), "|").alias("aliases"))
 
 
 @query("w2_best_match", SIMILAR.replace("WITH keys AS", f"WITH asked AS (SELECT DISTINCT collection_id, kind, id, regexp_extract(notes, '\\[\\[([^\\[\\]]+)\\]\\]', 1) AS needle FROM entity WHERE {LIVE} AND collection_id IS NOT NULL AND notes LIKE '%[[%'), keys AS").split("SELECT DISTINCT collection_id, kind, k FROM")[0] + f"""
