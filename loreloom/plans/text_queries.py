@@ -168,7 +168,22 @@ def y2(kb: Base) -> DataFrame:
     return kb.table("documents").select("doc_id", T.content_hash(F.col("text")).alias("h"))
 
 
-@query("v11_recall")
+def embedded_sql(rows: str, width: int) -> str:
+    """(id, k, v): the places and values of the hashing embedder's vectors of a statement for (id, text)."""
+    words = r"string_split(lower(regexp_replace(text, '[^\p{L}\p{M}\p{Nl}\p{Nd}\p{No}]+', ' ', 'g')), ' ')"
+    return f"SELECT id, k, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS v FROM (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {width} AS k, count(*) AS c FROM (SELECT id, unnest({words}) AS w FROM ({rows})) WHERE w <> '' GROUP BY 1, 2)"
+
+
+_CHUNK_TEXTS = chunks_sql(REPAIRED_SQL, "SELECT doc_id, 1 AS page_num, 0 AS start, length(text) AS stop FROM docs").replace("md5(c.text) AS digest", "c.text AS text")
+
+
+@query("v11_recall", f"""
+    WITH asked AS (SELECT item_id AS query_id, {REPAIRED_SQL.split('SELECT doc_id, ')[1].rsplit(' AS text', 1)[0]} AS text FROM benchmark), truth AS (SELECT query_id, left(text, 60) AS marker FROM asked),
+    held AS (SELECT * FROM truth t WHERE EXISTS (SELECT 1 FROM ({REPAIRED_SQL}) d WHERE contains(d.text, t.marker))),
+    pieces AS (SELECT doc_id || ':' || ordinal AS id, text FROM ({_CHUNK_TEXTS})),
+    qv AS ({embedded_sql("SELECT query_id AS id, text FROM asked", 256)}), cv AS ({embedded_sql("SELECT id, text FROM pieces", 256)}),
+    near AS (SELECT q.id AS query_id, c.id, row_number() OVER (PARTITION BY q.id ORDER BY round(1 - sum(q.v * c.v), 9), c.id) AS rank FROM qv q JOIN cv c ON c.k = q.k GROUP BY q.id, c.id QUALIFY rank <= 5)
+    SELECT h.query_id, coalesce(bool_or(contains(lower(p.text), lower(h.marker))), false) AS hit FROM held h LEFT JOIN near n ON n.query_id = h.query_id LEFT JOIN pieces p ON p.id = n.id GROUP BY h.query_id""")
 def v11(kb: Base) -> DataFrame:
     """Recall of the benchmark's passages among the chunks of all documents, by the hashing embedder, five a passage.
 
