@@ -81,4 +81,17 @@ SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY x) AS kept, sha256(x) AS text_sha256
         FROM t""",
+    # words of a line are folded and its digits alike; equal documents count once for a line
+    "op7_line_frequency_quality": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT r, source, line, array_to_string(w, ' ') AS content, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT r, source, w, unnest(string_split(text, chr(10))) AS line FROM d)),
+        k AS (SELECT r, source, line, content, len(lw) AS n, regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS folded FROM l WHERE len(lw) > 0),
+        shared AS (SELECT source, folded FROM k GROUP BY source, folded HAVING count(DISTINCT content) > 20),
+        lines AS (SELECT k.r, count(*) - count(DISTINCT k.line) AS dup, coalesce(sum(CASE WHEN s.folded IS NOT NULL THEN k.n END), 0) AS lost FROM k LEFT JOIN shared s ON s.folded = k.folded AND s.source IS NOT DISTINCT FROM k.source GROUP BY k.r),
+        g AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+        c AS (SELECT r, count(DISTINCT i + j) AS n FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS times FROM g), unnest(range(5)) AS o(j) WHERE times > 1 GROUP BY r),
+        f AS (SELECT d.doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(lines.dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, CAST(len(w) - coalesce(lines.lost, 0) AS BIGINT) AS n_kept_words
+            FROM d LEFT JOIN lines ON lines.r = d.r LEFT JOIN c ON c.r = d.r),
+        b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+        SELECT *, NOT base_failed AND n_kept_words >= 10 AND n_kept_words >= 0.5 * n_words AS kept FROM b""",
 }
