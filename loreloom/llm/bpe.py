@@ -198,15 +198,17 @@ class _Memory:
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """df with the array column `ids_col`: the ids of the text by the byte-level BPE file at `path`, no specials added.
 
+    With `decoded_col` also the text that the ids decode to, as decode() makes it, in the same task.
+
     A special token's string inside a text becomes that token, as the tokenizers library has it by default. Null and
     empty texts get an empty array; a column of the name `ids_col` is replaced; all others stay as they are.
     """
-    kept = [c for c in df.columns if c != ids_col]
+    kept = [c for c in df.columns if c not in (ids_col, decoded_col)]
     source = df.select(*kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + f", `{ids_col}` array<int>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + f", `{ids_col}` array<int>" + (f", `{decoded_col}` string" if decoded_col else "")
     place = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +229,22 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         ids = memory.ids[ranges(memory.starts[of], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)]
         made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-        return pa.RecordBatch.from_arrays([*rows.columns, made], [*kept, ids_col])
+        if not decoded_col:
+            return pa.RecordBatch.from_arrays([*rows.columns, made], [*kept, ids_col])
+        return pa.RecordBatch.from_arrays([*rows.columns, made, _texts(ids, ends, path)], [*kept, ids_col, decoded_col])
 
     return source.mapInArrow(run, schema)
 
 
+def _texts(ids: np.ndarray, ends: np.ndarray, path: str) -> pa.Array:
+    """The texts of lists of ids, end to end; a list ends where the next begins."""
+    table, begins, lengths = token_bytes(path)
+    ids = ids.astype(np.int64)
+    data = table[ranges(begins[ids], lengths[ids])].tobytes()
+    at = np.concatenate([[0], np.cumsum(lengths[ids])])[ends].tolist()
+    return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])], pa.string())
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df with the string column `text_col`: the text of the ids, special tokens written out.
 
@@ -243,16 +256,13 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
     place = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, begins, lengths = token_bytes(path)
         for batch in batches:
             for start in range(0, max(1, len(batch)), ROWS):
                 part = batch.slice(start, ROWS)
                 lists = part.column(place)
                 counts = np.array([0 if n is None else n for n in pa.compute.list_value_length(lists).to_pylist()], np.int64)
                 ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                data = table[ranges(begins[ids], lengths[ids])].tobytes()
-                ends = np.concatenate([[0], np.cumsum(lengths[ids])])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-                texts = pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
+                texts = _texts(ids, np.concatenate([[0], np.cumsum(counts)]), path)
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*kept, text_col])
 
     return source.mapInArrow(run, schema)
