@@ -81,8 +81,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids and decode to the empty text; an empty table gives an empty result.
     """
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), vocabulary_path()).drop("text")
-    return bpe.decode(encoded, vocabulary_path()).select("doc_id", "source", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs.select("doc_id", "source", "text"), vocabulary_path(), decoded_col="decoded")
+    return encoded.select("doc_id", "source", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
