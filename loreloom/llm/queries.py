@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, mixing, pii, quality, sharding, suffix_dedup, token_counts, toxicity
+from . import bpe, exact_dedup, filter_audit, minhash, mixing, pii, quality, sharding, suffix_dedup, token_counts, toxicity, vector_codes
 from .common import documents
 
 #: Key of the surrogates of the registered query; who runs the operator gives their own.
@@ -73,7 +73,16 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii_surrogates, op3_hyperminhash_near_dedup, op4_kneser_ney_toxicity, op5_bpe, op6_progressive_exact_dedup, op7_line_frequency_quality, op8_low_discrepancy_mix, op9_prefix_free_dedup, op10_histogram_sort)}
+def op12_member_resident_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii_surrogates, op3_hyperminhash_near_dedup, op4_kneser_ney_toxicity, op5_bpe, op6_progressive_exact_dedup, op7_line_frequency_quality, op8_low_discrepancy_mix, op9_prefix_free_dedup, op10_histogram_sort, op12_member_resident_codes, op13_filter_audit)}
 
 SQL: dict[str, str] = {
     "op6_progressive_exact_dedup": """
@@ -94,4 +103,39 @@ SQL: dict[str, str] = {
             FROM d LEFT JOIN lines ON lines.r = d.r LEFT JOIN c ON c.r = d.r),
         b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
         SELECT *, NOT base_failed AND n_kept_words >= 10 AND n_kept_words >= 0.5 * n_words AS kept FROM b""",
+    # one round is a pair of statements: `a` has each part's nearest entry, `b` the codebooks that follow
+    "op12_member_resident_codes": """
+        WITH v AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q, len(embedding) // 16 AS w
+            FROM embeddings WHERE len(embedding) > 0 AND len(embedding) = len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)])),
+        p AS MATERIALIZED (SELECT r, (i - 1) // w AS pos, (i - 1) % w AS j, q[i] AS x FROM v, unnest(range(1, len(q) + 1)) AS u(i)),
+        b0 AS MATERIALIZED (SELECT pos, r - 1 AS e, j, x AS c FROM p WHERE r <= 64)"""
+    + "".join(
+        f""",
+        d{k} AS (SELECT r, p.pos, e, sum((x - c) * (x - c)) AS d FROM p JOIN b{k} b ON b.pos = p.pos AND b.j = p.j GROUP BY r, p.pos, e),
+        a{k} AS MATERIALIZED (SELECT r, pos, e, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY r, pos ORDER BY d, e) = 1),
+        b{k + 1} AS MATERIALIZED (SELECT b.pos, b.e, b.j, coalesce(CAST(floor(n.s / n.m) AS BIGINT), b.c) AS c
+            FROM b{k} b LEFT JOIN (SELECT a.pos, a.e, p.j, sum(p.x) AS s, count(*) AS m FROM a{k} a JOIN p ON p.r = a.r AND p.pos = a.pos GROUP BY a.pos, a.e, p.j) n ON n.pos = b.pos AND n.e = b.e AND n.j = b.j)"""
+        for k in range(3)
+    )
+    + """,
+        f AS (SELECT r, string_agg(printf('%02x', CAST(e AS INT)), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r)
+        SELECT v.vec_id, f.code, f.error, CAST(sum(f.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error,
+               (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY pos, e, j)) FROM b2) AS codebooks_sha256
+        FROM v JOIN f ON f.r = v.r""",
+    "op13_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        f AS (SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+                + 4 * CAST(100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x) AS INT) + 8 * CAST(regexp_matches(x, '[#$%&*|]') AS INT)
+                + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY x), min(doc_id) OVER (PARTITION BY x) IS NOT NULL) AS INT) AS mask FROM t),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+        m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM f LEFT JOIN l ON l.doc_id = f.doc_id GROUP BY part, mask),
+        k(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM k a, k b, k c, k d, k e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+        s AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS gone FROM o, unnest(range(1, 6)) AS u(step)),
+        r AS (SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (mask & (gone | bit) = 0), 0) AS BIGINT) AS kept,
+                CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & gone = 0), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & gone > 0), 0) AS BIGINT) AS redundant,
+                CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (mask & bit > 0 AND mask & gone = 0), 0) AS BIGINT) AS good_lost,
+                CAST(coalesce(sum(bad) FILTER (mask & bit > 0 AND mask & gone = 0), 0) AS BIGINT) AS toxic_lost FROM m, s GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r""",
 }
