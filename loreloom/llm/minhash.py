@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 import math
 
 import numpy as np
@@ -57,18 +57,18 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def document_shingles(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For chunks of texts: first row, number of words of each text, and rows and hashes of the distinct shingles, sorted."""
+def document_shingles(column: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For chunks of texts: first row, number of words of each text, and rows and hashes of the distinct shingles of k words, sorted."""
     data, offsets = text_bytes(column)
     for a, b in chunks(offsets):
         own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, rows = words(own, at)
         hashes = RollingHash(own, codes(fold=True)).ranges(starts, ends)
         counts = np.bincount(rows, minlength=b - a)
-        found, first = shingles(hashes, rows)
+        found, first = shingles(hashes, rows, k)
         parts, owners = [found], [rows[first]]
         begins = np.cumsum(counts) - counts
-        for n in range(1, 5):  # fewer than five words: all of them are one shingle
+        for n in range(1, k):  # fewer words: all of them are one shingle
             short = np.flatnonzero(counts == n)
             if len(short):
                 parts.append(combine([hashes[begins[short] + i] for i in range(n)]))
@@ -92,7 +92,7 @@ def sketches(df: DataFrame) -> DataFrame:
             keys, sketch = [], []
             for start, size in zip(begins.tolist(), sizes.tolist()):
                 own = found[start : start + size]
-                keys.append(_digest(own) if size else None)
+                keys.append(digest(own) if size else None)
                 sketch.append(registers(own).tobytes() if size else None)
             part = batch.slice(a, len(counts))
             columns = [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())]
@@ -102,7 +102,7 @@ def sketches(df: DataFrame) -> DataFrame:
     return map_texts(df.select("doc_id", "text_hash", "text"), run, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, sketch binary")
 
 
-def _digest(found: np.ndarray) -> bytes:
+def digest(found: np.ndarray) -> bytes:
     """16 bytes for a set of hashes."""
     with np.errstate(over="ignore"):
         other = mix(found ^ np.uint64(0x6A09E667F3BCC909))
@@ -186,11 +186,14 @@ def _sizes(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+#: Links (a, b) between the classes of two blocks of (class_id, c, ...), or of one if they are the same, by their sets.
+Links = Callable[[pa.StructArray, pa.StructArray, bool, int], list[tuple[int, int]]]
+
+
 class _Block:
     """The classes of one block, in arrays."""
 
-    def __init__(self, members: pa.Scalar):
-        rows = members.values
+    def __init__(self, rows: pa.StructArray):
         self.ids, self.labels, self.sizes = (rows.field(k).to_numpy() for k in ("class_id", "c", "n_shingles"))
         self.registers = _matrix(rows.field("sketch"))
         self.grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.field("grams")]
@@ -219,8 +222,9 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(x: _Block, y: _Block, same: bool, percent: int) -> list[tuple[int, int]]:
+def _links(left: pa.StructArray, right: pa.StructArray, same: bool, percent: int) -> list[tuple[int, int]]:
     """Links between classes of two blocks (or of one, if they are the same), one for each two components joined."""
+    x, y = _Block(left), _Block(right)
     equal = np.zeros((len(x.ids), len(y.ids)), np.int32)
     for r in range(REGISTERS):
         equal += x.registers[:, r, None] == y.registers[None, :, r]
@@ -235,9 +239,13 @@ def _links(x: _Block, y: _Block, same: bool, percent: int) -> list[tuple[int, in
     n, m = x.sizes[left, None], y.sizes[None, right]
     linked = likely[np.ix_(left, right)] & (100 * common >= percent * (n + m - common))
     i, j = np.nonzero(linked)
-    i, j = left[i], right[j]
-    labels, place = np.unique(np.concatenate([x.labels[i], y.labels[j]]), return_inverse=True)
-    _, first = np.unique(place[: len(i)] * len(labels) + place[len(i) :], return_index=True)
+    return joining(x.ids[left[i]], y.ids[right[j]], x.labels[left[i]], y.labels[right[j]])
+
+
+def joining(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (a, b) between classes of labels c and d, one for each two components of labels joined."""
+    labels, place = np.unique(np.concatenate([c, d]), return_inverse=True)
+    _, first = np.unique(place[: len(c)] * len(labels) + place[len(c) :], return_index=True)
     parent, out = [*range(len(labels))], []
 
     def top(k: int) -> int:
@@ -247,14 +255,14 @@ def _links(x: _Block, y: _Block, same: bool, percent: int) -> list[tuple[int, in
         return k
 
     for k in first:
-        a, b = top(int(place[k])), top(int(place[len(i) + k]))
-        if a != b:
-            parent[b] = a
-            out.append((int(x.ids[i[k]]), int(y.ids[j[k]])))
+        one, other = top(int(place[k])), top(int(place[len(c) + k]))
+        if one != other:
+            parent[other] = one
+            out.append((int(a[k]), int(b[k])))
     return out
 
 
-def _within_groups(groups: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+def _within_groups(groups: DataFrame, pool: DataFrame, percent: int, links: Links) -> DataFrame:
     """Links (a, b) between classes of one group that have different labels, of groups (class_id, grp, c).
 
     A group's classes are dealt into blocks of about BLOCK classes of like set size, those of its commonest label apart.
@@ -268,7 +276,7 @@ def _within_groups(groups: DataFrame, pool: DataFrame, percent: int) -> DataFram
     keys = ["grp", "level", "main"]
     counted = placed.groupBy(*keys).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
     dealt = placed.join(counted, keys).withColumn("part", F.pmod(F.xxhash64("class_id"), "parts")).drop("parts", "n_shingles")
-    member = F.struct("class_id", "c", "n_shingles", "sketch", "grams")
+    member = F.struct("class_id", "c", *(x for x in pool.columns if x != "class_id"))
     blocks = dealt.join(pool, "class_id").groupBy(*keys, "part").agg(F.collect_list(member).alias("members"))  # bounded by parts
     blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()))
     x = blocks.select("grp", F.col("main").alias("main_x"), F.col("block").alias("x"), "level", F.explode(F.array("level", F.col("level") + 1)).alias("level_y"))
@@ -280,51 +288,22 @@ def _within_groups(groups: DataFrame, pool: DataFrame, percent: int) -> DataFram
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(len(batch)):
             same = batch.column(0)[i] == batch.column(1)[i]
-            found = _links(_Block(batch.column(2)[i]), _Block(batch.column(3)[i]), same, percent)
+            found = links(batch.column(2)[i].values, batch.column(3)[i].values, same, percent)
             yield pa.record_batch([pa.array([k[n] for k in found], pa.int64()) for n in (0, 1)], ["a", "b"])
 
     return map_texts(loaded.select("x", "y", "left", "right"), run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(id, n_shingles, component_id, kept, text_hash, stays) of every row: components of rows whose 5-word shingle sets agree.
+def link_classes(buckets: DataFrame, scores: DataFrame, pool: DataFrame, percent: int, verified: Callable[[DataFrame, DataFrame, int], DataFrame] = _verified, within: Links = _links) -> DataFrame:
+    """(class_id, component) of the classes that links join, of buckets (band, class_id, n) of n classes.
 
-    Two sets are linked where 100 * intersection >= percent * union. Rows with equal sets fall into one class. Banded
-    sketches bring classes into buckets. First each class meets the most central one that it shares a bucket with, the
-    centre of a bucket being its class that shares the largest buckets; a group of thousands of copies of one text
-    costs about one link a member. Then all classes that this left in different components and that share a bucket are
-    compared: in buckets of up to SMALL classes pair by pair; larger buckets whose centres are linked form a group, compared
-    in blocks without a row for each pair. So no link between components is lost.
-
-    component_id is the smallest id of the component, kept says that the row's id is that; text_hash is xxhash64 of the
-    text, which tells rows of one id apart, and stays marks one such row of each component (several only if they have
-    the same id and text). Texts without words have an empty set, are linked with nothing and kept.
-    Every row gives one row: repeated rows are in one component, null ids take part, and where a component has only null
-    ids its component_id is null and all its rows are kept. Texts of any length are taken whole. An empty table gives an
-    empty result; other columns are ignored.
+    scores: (class_id, score), how central a class is. pool: (class_id, n_shingles, ..., grams) of all classes in
+    buckets. verified gives those pairs (a, b) whose sets agree, within the links between two blocks of classes.
     """
-    docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    rows = cut(sketches(docs))
-    filled = rows.filter("n_shingles > 0")
-    by_set = filled.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = cut(by_set.withColumn("class_id", F.monotonically_increasing_id()))
-
-    banded = bands(classes)
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = cut(banded.join(shared, "band"))
-    scores = buckets.groupBy("class_id").agg(F.sum("n").alias("score"))
-
-    # one text of each class in a bucket
-    wanted = classes.join(scores.select("class_id"), "class_id").select("class_id", "n_shingles", "sketch", F.col("one.doc_id").alias("own_id"), F.col("one.text_hash").alias("own_hash"))
-    pool = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
-    if rows.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
-        pool = pool.dropDuplicates(["class_id"])
-    pool = cut(class_sets(pool))
-
     scored = buckets.join(scores, "class_id")
     centres = scored.groupBy("band").agg(F.max_by("class_id", F.struct("score", -F.col("class_id"))).alias("a"), F.max("score").alias("s"))
     spokes = buckets.join(centres, "band").filter("class_id <> a").groupBy(F.col("class_id").alias("b")).agg(F.max_by("a", F.struct("s", -F.col("a"))).alias("a"))
-    links = cut(_verified(spokes.select("a", "b"), pool, percent))
+    links = cut(verified(spokes.select("a", "b"), pool, percent))
 
     # a link leads from each class to a more central one: two jumps give labels that joined classes share, mostly all
     up = lambda x: links.select(F.col("b").alias(x), F.col("a").alias(f"{x}_up"))
@@ -337,13 +316,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = cut(named.join(mixed, "band"))
 
     groups = cut(named.filter(F.col("n") > SMALL).select("class_id", "grp", "c").distinct())
-    in_groups = _within_groups(groups, pool, percent)
+    in_groups = _within_groups(groups, pool, percent, within)
 
     own = groups.groupBy("class_id").agg(F.min("grp").alias("grp"))
     few = named.filter(F.col("n") <= SMALL).select("band", "class_id", "c").join(own, "class_id", "left")
     x, y = few.select("band", F.col("class_id").alias("a"), "c", "grp"), few.select("band", F.col("class_id").alias("b"), F.col("c").alias("d"), F.col("grp").alias("other"))
     apart = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & F.coalesce(F.col("grp") != F.col("other"), F.lit(True))
-    in_pairs = _verified(x.join(y, "band").filter(apart).select("a", "b").distinct(), pool, percent)
+    in_pairs = verified(x.join(y, "band").filter(apart).select("a", "b").distinct(), pool, percent)
 
     # the components of the labels are those of the classes
     of = lambda x: label.select(F.col("class_id").alias(x), F.col("label").alias(f"c_{x}"))
@@ -351,8 +330,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).filter("a <> b")
     component = components(joined)
     label = label.join(component.withColumnRenamed("id", "label"), "label", "left").select("class_id", F.coalesce("component", "label").alias("component"))
-    label = label.union(component.join(label.select(F.col("class_id").alias("id")), "id", "left_anti").select("id", "component"))
+    return label.union(component.join(label.select(F.col("class_id").alias("id")), "id", "left_anti").select("id", "component"))
+
 
+def by_component(rows: DataFrame, classes: DataFrame, label: DataFrame, id_col: str) -> DataFrame:
+    """(id, n_shingles, component_id, kept, text_hash, stays) of rows, by the components of their classes."""
     named = classes.select("class_id", "set_key", "one").join(label, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     placed = named.join(named.groupBy("component").agg(F.min("one").alias("first")), "component").select("set_key", "first.doc_id", "first.text_hash")
     placed = placed.select("set_key", F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
@@ -360,3 +342,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("first_id"))).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
     stays = F.col("kept") & F.coalesce(F.col("first_hash") == F.col("text_hash"), F.lit(True))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "kept", "text_hash", stays.alias("stays"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """(id, n_shingles, component_id, kept, text_hash, stays) of every row: components of rows whose 5-word shingle sets agree.
+
+    Two sets are linked where 100 * intersection >= percent * union. Rows with equal sets fall into one class. Banded
+    sketches bring classes into buckets. First each class meets the most central one that it shares a bucket with, the
+    centre of a bucket being its class that shares the largest buckets; a group of thousands of copies of one text
+    costs about one link a member. Then all classes that this left in different components and that share a bucket are
+    compared: in buckets of up to SMALL classes pair by pair; larger buckets whose centres are linked form a group, compared
+    in blocks without a row for each pair. So no link between components is lost.
+
+    component_id is the smallest id of the component, kept says that the row's id is that; text_hash is xxhash64 of the
+    text, which tells rows of one id apart, and stays marks one such row of each component (several only if they have
+    the same id and text). Texts without words have an empty set, are linked with nothing and kept.
+    Every row gives one row: repeated rows are in one component, null ids take part, and where a component has only null
+    ids its component_id is null and all its rows are kept. Texts of any length are taken whole. An empty table gives an
+    empty result; other columns are ignored.
+    """
+    docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = cut(sketches(docs))
+    filled = rows.filter("n_shingles > 0")
+    by_set = filled.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = cut(by_set.withColumn("class_id", F.monotonically_increasing_id()))
+
+    banded = bands(classes)
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = cut(banded.join(shared, "band"))
+    scores = buckets.groupBy("class_id").agg(F.sum("n").alias("score"))
+
+    # one text of each class in a bucket
+    wanted = classes.join(scores.select("class_id"), "class_id").select("class_id", "n_shingles", "sketch", F.col("one.doc_id").alias("own_id"), F.col("one.text_hash").alias("own_hash"))
+    pool = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    if rows.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
+        pool = pool.dropDuplicates(["class_id"])
+    pool = cut(class_sets(pool))
+
+    label = link_classes(buckets, scores, pool, percent)
+    return by_component(rows, classes, label, id_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, filter_audit, minhash, mixing, pii, quality, sharding, suffix_dedup, token_counts, toxicity, vector_codes
+from . import bpe, exact_dedup, filter_audit, minhash, mixing, ngram_join, pii, quality, sharding, suffix_dedup, token_counts, toxicity, vector_codes
 from .common import documents
 
 #: Key of the surrogates of the registered query; who runs the operator gives their own.
@@ -73,6 +73,10 @@ def op10_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op12_member_resident_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -82,7 +86,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii_surrogates, op3_hyperminhash_near_dedup, op4_kneser_ney_toxicity, op5_bpe, op6_progressive_exact_dedup, op7_line_frequency_quality, op8_low_discrepancy_mix, op9_prefix_free_dedup, op10_histogram_sort, op12_member_resident_codes, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii_surrogates, op3_hyperminhash_near_dedup, op4_kneser_ney_toxicity, op5_bpe, op6_progressive_exact_dedup, op7_line_frequency_quality, op8_low_discrepancy_mix, op9_prefix_free_dedup, op10_histogram_sort, op11_ngram_jaccard_join, op12_member_resident_codes, op13_filter_audit)}
 
 SQL: dict[str, str] = {
     "op6_progressive_exact_dedup": """
