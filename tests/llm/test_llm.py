@@ -4,6 +4,7 @@ from collections import Counter
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -253,50 +254,45 @@ def test_toxicity(spark):
 
 
 def test_toxicity_of_held_out_rows(spark):
-    """Of the given table's held-out labelled rows; none of them is learned from. The toxic words of three of its four
-    languages are made up and rare, so that about half the toxic rows can be told from 3,200 labelled ones."""
+    """Of the given table's held-out labelled rows; none of them is learned from."""
     from loreloom.llm.queries import QUERIES
 
     sf = "/root/testdata/sf0.1"
-    found = QUERIES["op4_kneser_ney_toxicity"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    n = {(r.toxic, r.predicted): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
-    toxic, right = n.get((1, 1), 0) + n.get((1, 0), 0), n.get((1, 1), 0)
-    assert toxic >= 90 and right >= 0.5 * toxic and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+    found = QUERIES["op4_kneser_ney_toxicity"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    toxic, right = (found.toxic == 1).sum(), ((found.toxic == 1) & (found.predicted == 1)).sum()
+    assert toxic >= 90 and right >= 0.8 * toxic and ((found.toxic == 0) & (found.predicted == 1)).sum() <= 8
+    ranks = found.score.rank()
+    assert (ranks[found.toxic == 1].sum() - toxic * (toxic + 1) / 2) / (toxic * (len(found) - toxic)) >= 0.9
 
 
-def plain_ratio(gram, counts):
-    """Log of the toxic over the ordinary chance of the last byte, from Counters of the classes' n-grams."""
-    levels = {toxicity.ORDER: counts}
-    for k in range(toxicity.ORDER - 1, 2, -1):
-        levels[k] = [Counter(g[1:] for g in level) for level in levels[k + 1]]
-    pairs = Counter(g[1:] for g in {*levels[3][0], *levels[3][1]})
-    both = Counter(g[1:] for g in pairs)
+def plain_words(text):
+    found = ("".join(c.lower() if c in string.ascii_uppercase else c for c in w).strip(string.punctuation) for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    return {w for w in found if w}
 
-    def chance(g, c):
-        if len(g) == 1:
-            return (max(both[g] - 0.75, 0) + 0.75 * len(both) / 256) / sum(both.values())
-        n = {k: v for k, v in (levels[len(g)][c] if len(g) > 2 else pairs).items() if k[:-1] == g[:-1]}
-        below = chance(g[1:], c)
-        return (max(n.get(g, 0) - 0.75, 0) + 0.75 * len(n) * below) / sum(n.values()) if n else below
 
-    return float(np.log(chance(gram, 1)) - np.log(chance(gram, 0)))
+def plain_ratio(text, known):
+    """Mean over the two words that speak most for the toxic model, a missing one as 0, of (text, class) rows' models."""
+    counts = [Counter(w for t, c in known if c == want for w in plain_words(t)) for want in range(2)]
+    both = counts[0] + counts[1]
 
+    def chance(w, c):
+        shared = (max(both[w] - 0.75, 0) + 0.75 * len(both) / (len(both) + 1)) / sum(both.values())
+        return (max(counts[c][w] - 0.75, 0) + 0.75 * len(counts[c]) * shared) / sum(counts[c].values())
 
-def test_toxicity_keeps_each_ngram(spark):
+    return sum(sorted((float(np.log(chance(w, 1) / chance(w, 0))) for w in plain_words(text)), reverse=True)[:2]) / 2
+
+
+def test_toxicity_of_whole_texts(spark):
     random.seed(8)
-    grams = lambda t: [(b"    " + t.encode().lower())[i : i + 5] for i in range(len(t.encode()))]
-    known = [("".join(random.choices("abcdé漢字", k=60)), i % 2) for i in range(8)]
-    texts = [("".join(random.choices("abcdexyzé漢", k=n))) for n in (1, 7, 40)] + ["", None]
-    counts = [Counter(g for t, c in known if c == want for g in grams(t)) for want in range(2)]
-    frame = spark.createDataFrame(known, "text string, toxic int")
+    some = ["Moron", "moron!!", "scum###", "(alpha)", "beta,", "gamma", "don't", "###", "x-y", "漢字", "été...", "ALPHA"]
+    known = [(" ".join(random.choices(some[: 9 if i % 2 else 12], k=12)), i % 2) for i in range(12)]
+    texts = [" ".join(random.choices([*some, "unseen", "new", "zzz"], k=n)) for n in (1, 2, 7, 40, 40)] + ["zzz", "?!", " ", "", None, "é" * 500 + "!" * 3000]
     docs = spark.createDataFrame([(None if i else 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    counted = toxicity.ngram_counts(docs.select("text", F.lit(0).alias("toxic"))).select("gram", F.col("ordinary").alias("n"))
-    found = toxicity.chances(counted.select("gram"), toxicity._levels(toxicity.ngram_counts(frame)))
-    ratios = counted.join(found, "gram").withColumn("ratio", F.log("toxic") - F.log("ordinary"))
-    assert all(0 < r[c] <= 1 for r in found.collect() for c in ("toxic", "ordinary"))
-    want = sorted(sum(plain_ratio(g, counts) for g in grams(t)) / len(grams(t)) if t else 0.0 for t in texts)
-    for head in (0, 10, toxicity.HEAD):
-        got = sorted(r.ratio for r in toxicity.log_ratios(docs, ratios, head).collect())
+    counts = toxicity.word_counts(spark.createDataFrame(known, "text string, toxic int"))
+    assert counts.count() == len({w for t, _ in known for w in plain_words(t)})
+    want = sorted(plain_ratio(t, known) for t in texts)
+    for head in (0, 3, toxicity.HEAD):
+        got = sorted(r.ratio for r in toxicity.log_ratios(docs, counts, head).collect())
         assert np.allclose(got, want, atol=1e-8)
 
 
