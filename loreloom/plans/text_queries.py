@@ -25,15 +25,29 @@ HEADING_SQL = r"""    WHERE l <> '' AND NOT (regexp_matches(l, '[.!?]$') AND w >
     )"""
 
 
+#: The sentence-break class of a character x, of those that the rules name.
+CLASS_SQL = r"""CASE WHEN x = chr(13) THEN 'C' WHEN x = chr(10) THEN 'L' WHEN unicode(x) IN (133, 8232, 8233) THEN 'P' WHEN regexp_matches(x, '^[\p{M}\x{200D}]$') THEN 'E' WHEN regexp_matches(x, '^\p{Cf}$') THEN 'F'
+    WHEN unicode(x) IN (9, 11, 12) OR regexp_matches(x, '^\p{Zs}$') THEN 'S' WHEN regexp_matches(x, '^[\p{Ll}ªº]$') THEN 'l' WHEN regexp_matches(x, '^[\p{Lu}\p{Lt}]$') THEN 'U' WHEN regexp_matches(x, '^[\p{L}\p{Nl}]$') THEN 'O' WHEN regexp_matches(x, '^\p{Nd}$') THEN 'N'
+    WHEN regexp_matches(x, '^[.․﹒．]$') THEN 'A' WHEN regexp_matches(x, '^[!?։؟۔।॥‼‽⁇⁈⁉。！？｡]$') THEN 'T' WHEN regexp_matches(x, '^[,:;՝،–—、，：；､-]$') THEN 'c' WHEN regexp_matches(x, '^[\p{Ps}\p{Pe}\p{Pi}\p{Pf}"\x27]$') THEN 'X' ELSE 'o' END"""
+
+
 def sentences_sql(docs: str) -> str:
-    """CTEs up to sent (doc_id, ordinal, start, sentence) of a statement for (doc_id, text). Breaks are marked by chr(1);
-    without looking around, a full stop after a single capital is hidden as chr(2), and each pass that uses up the next
-    character runs twice."""
-    x = "text"
-    for pattern in (r"(\n)([^\n])", r"(\n)([^\n])", r"""([!?…]["''”’)\]]*\s+)(\S)""", r"""([!?…]["''”’)\]]*\s+)(\S)""", "hide", "hide", r"""(\.["''”’)\]]*[ \t ]+)([^\s\p{Ll}])""", r"""(\.["''”’)\]]*[ \t ]+)([^\s\p{Ll}])"""):
-        x = rf"regexp_replace({x}, '([.\x02]\p{{Lu}})\.', '\1' || chr(2), 'g')" if pattern == "hide" else rf"regexp_replace({x}, '{pattern}', '\1' || chr(1) || '\2', 'g')"
-    return rf"""docs AS ({docs}), parts AS (SELECT doc_id, string_split(regexp_replace(replace({x}, chr(2), '.'), chr(1) || '+', chr(1), 'g'), chr(1)) AS p FROM docs),
-        pieces AS (SELECT doc_id, unnest(range(len(p))) AS ordinal, unnest(p) AS piece FROM parts),
+    """CTEs up to sent (doc_id, ordinal, start, sentence) of a statement for (doc_id, text): each character's class, then for
+    each place between characters the terminator before it, if only closing marks and spaces are in between, and the next
+    letter after it. Extenders go with the character before them."""
+    return rf"""docs AS ({docs}), letters AS (SELECT doc_id, unnest(range(1, length(text) + 1)) AS i, unnest(regexp_extract_all(text, '(?s).')) AS x FROM docs),
+        classes AS (SELECT x, {CLASS_SQL} AS c FROM (SELECT DISTINCT x FROM letters)),
+        kept AS (SELECT doc_id, i, c, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM letters l JOIN classes USING (x) WHERE c NOT IN ('E', 'F')),
+        seen AS (SELECT *, lead(i) OVER w AS pos, lead(c) OVER w AS next, lag(c) OVER w AS before, max(CASE WHEN c <> 'S' THEN k END) OVER w AS word, max(CASE WHEN c <> 'X' THEN k END) OVER w AS solid,
+            first_value(CASE WHEN c IN ('O', 'U', 'l', 'P', 'C', 'L', 'A', 'T') THEN c END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS letter
+            FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+        ended AS (SELECT a.doc_id, a.pos, a.k, a.c, a.next, a.letter, a.word, r.k AS stop, r.c AS how, r.before
+            FROM seen a JOIN seen q ON q.doc_id = a.doc_id AND q.k = a.word JOIN seen r ON r.doc_id = a.doc_id AND r.k = q.solid WHERE a.pos IS NOT NULL AND a.c IN ('S', 'X', 'A', 'T')),
+        bounds AS (SELECT doc_id, 1 AS pos FROM docs WHERE text <> '' UNION ALL SELECT doc_id, pos FROM seen WHERE pos IS NOT NULL AND c IN ('P', 'C', 'L') AND NOT (c = 'C' AND next = 'L')
+            UNION ALL SELECT doc_id, pos FROM ended WHERE how IN ('A', 'T') AND next NOT IN ('c', 'A', 'T', 'P', 'C', 'L', 'S') AND NOT (next = 'X' AND word = k)
+                AND NOT (how = 'A' AND (letter IS NOT DISTINCT FROM 'l' OR stop = k AND next = 'N' OR stop = k AND next = 'U' AND before IN ('U', 'l')))),
+        cuts AS (SELECT b.doc_id, pos, lead(pos) OVER (PARTITION BY b.doc_id ORDER BY pos) AS stop, row_number() OVER (PARTITION BY b.doc_id ORDER BY pos) - 1 AS ordinal FROM bounds b),
+        pieces AS (SELECT d.doc_id, ordinal, substring(text, CAST(pos AS BIGINT), CAST(coalesce(stop, length(text) + 1) - pos AS BIGINT)) AS piece FROM cuts c JOIN docs d ON d.doc_id = c.doc_id),
         located AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM pieces),
         sent AS (SELECT doc_id, ordinal, CAST(a + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS BIGINT) AS start, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS sentence FROM located WHERE trim(piece, ' ' || chr(10) || chr(9)) <> '')"""
 
