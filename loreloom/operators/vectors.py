@@ -2,39 +2,133 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+import hashlib
+import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from loreloom.functions.text import let
+from pyspark.sql.types import ArrayType, DoubleType
+import regex
 
 from .scopes import live
 
 #: Width of the hashing embedder, and the default number of neighbours.
 WIDTH, TOP = 256, 15
 
+#: Texts that a model gets at a time.
+MODEL_BATCH = 32
+
+#: Document frequencies are counted for so many classes of words, so their table is bounded.
+WORD_CLASSES = 1 << 18
+
 #: A query table of at most so many numbers in all is broadcast, 64 MB; a larger one is joined by its scope keys.
 BROADCAST_NUMBERS = 8_000_000
 
+#: Queries of a scope that are compared at a time, and vectors of the index.
+QUERY_BLOCK, ITEM_BLOCK = 256, 4096
+
+#: Distances by a block product are off by less than this from sums in order, which decide.
+SLACK = 1e-9
+
 #: An embedder makes an array<double> column of a text column.
 Embedder = Callable[[Column], Column]
 
+_WORD = regex.compile(r"[\p{Alphabetic}\p{N}]+")
+_REMEMBERED = 500_000
+
+
+def batch_embedder(encode: Callable[[list[str]], np.ndarray], batch: int = MODEL_BATCH) -> Embedder:
+    """An embedder by a model: encode gets lists of texts and gives a row of numbers for each. Blank texts have no vector.
+
+    Runs on Arrow batches in Python workers; encode is sent to them, so it should load its model when first called.
+    """
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def embed(texts: pa.Array) -> pa.Array:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        asked = [(i, t) for i, t in enumerate(texts.to_pylist()) if t and t.strip()]
+        for a in range(0, len(asked), batch):
+            part = asked[a : a + batch]
+            for (i, _), row in zip(part, encode([t for _, t in part])):
+                out[i] = np.asarray(row, np.float64)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return embed
+
+
+class _Words:
+    """What the hashing embedder needs of each word: its place, its sign and its class, from the digits of its MD5."""
+
+    def __init__(self, width: int):
+        self.width, self.known = width, {}
 
-def hash_embedder(width: int = WIDTH) -> Embedder:
-    """An embedder without a model: counts of the words' hashes, scaled to length 1; blank texts have no vector."""
+    def of(self, word: str) -> tuple[int, int, int]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= _REMEMBERED:
+                self.known.clear()
+            digest = hashlib.md5(word.encode()).hexdigest()
+            found = self.known[word] = int(digest[:8], 16) % self.width, 1 if digest[8] < "8" else -1, int(digest[9:17], 16) % WORD_CLASSES
+        return found
 
-    def embed(text: Column) -> Column:
-        words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{IsAlphabetic}\p{N}]+", " ")), " "), lambda w: w != "")
-        at = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % width)
-        # how often a number is in the array: what the array loses without it, in compiled code
-        counts = lambda at: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: (F.size(at) - F.size(F.array_remove(at, i.cast("long")))).cast("double"))
-        unit = lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), lambda norm: F.transform(v, lambda x: x / norm))
-        return let(at, lambda a: F.when(F.size(a) > 0, let(counts(a), unit)))
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def hash_embedder(width: int = WIDTH, weights: np.ndarray | None = None) -> Embedder:
+    """An embedder without a model: counts of the words' hashes, scaled to length 1; blank texts have no vector.
+
+    With weights, one for each class of words (word_weights), a word adds or takes away, by its own sign, its count
+    times its weight, so that words that share a place cancel out instead of looking alike.
+    """
+    words = _Words(width)
+
+    def encode(texts: list[str]) -> list[np.ndarray | None]:
+        out: list[np.ndarray | None] = []
+        for text in texts:
+            found = [words.of(w) for w in words_of(text)]
+            if not found:
+                out.append(None)
+                continue
+            place, sign, kind = np.array(found).T
+            value = None if weights is None else sign * weights[kind]
+            vector = np.bincount(place, value, width).astype(np.float64)
+            norm = math.sqrt(float((vector * vector).sum()))
+            out.append(vector / norm if norm else vector)
+        return out
+
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def embed(texts: pa.Array) -> pa.Array:
+        return pa.array(encode([t or "" for t in texts.to_pylist()]), pa.list_(pa.float64()))
 
     return embed
 
 
+def word_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The inverse document frequency of each class of words, from a pass over all texts: log((1 + n) / (1 + n of the
+    class)) + 1 of n texts. A task passes on one count for each class that it has seen."""
+    words = _Words(1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(WORD_CLASSES, np.int64), 0
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                n += 1
+                seen[np.unique([words.of(w)[2] for w in set(words_of(value or ""))]).astype(np.int64)] += 1
+        own = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(np.append(own, -1)), pa.array(np.append(seen[own], n))], ["kind", "n"])
+
+    counted = docs.select(text).mapInArrow(count, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).toArrow()
+    kind, n = (counted[c].to_numpy() for c in ("kind", "n"))  # at most WORD_CLASSES rows and the number of texts
+    total, of = int(n[kind < 0].sum()), np.zeros(WORD_CLASSES)
+    of[kind[kind >= 0]] = n[kind >= 0]
+    return np.log((1 + total) / (1 + of)) + 1
+
+
 def embed_documents(df: DataFrame, embedder: Embedder, text: str = "text", prefix: str = "search_document: ", model: str = "hash") -> DataFrame:
     """df with `embedding` and `embed_model`; the prefix tells a model that this is a document."""
     return df.withColumns({"embedding": embedder(F.concat(F.lit(prefix), text) if model != "hash" else F.col(text)), "embed_model": F.lit(model)})
@@ -44,31 +138,84 @@ def embed_queries(df: DataFrame, embedder: Embedder, text: str = "text", prefix:
     return embed_documents(df, embedder, text, prefix, model)
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Sum in order of the places, in doubles."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _packed(df: DataFrame, id_col: str, vector: str, keys: list[str], block: int) -> DataFrame:
+    """(keys, width, ids, vectors): blocks of vectors of the same keys and width, packed where they are."""
+    types = {c: df.schema[c].dataType.simpleString() for c in (id_col, *keys)}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "width int", f"ids array<{types[id_col]}>", "vectors binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            of: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(2 + j).to_pylist() for j in range(len(keys))), np.diff(ends).tolist())):
+                of.setdefault(key, []).append(i)
+            for key, rows in of.items():
+                for a in range(0, len(rows), block):
+                    own = np.array(rows[a : a + block])
+                    vectors = flat[ends[own][:, None] + np.arange(key[-1])]
+                    ids = batch.column(0).take(pa.array(own))
+                    heads = [pa.array([k], batch.schema.field(2 + j).type) for j, k in enumerate(key[:-1])]
+                    yield pa.record_batch([*heads, pa.array([key[-1]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([vectors.tobytes()])], [*keys, "width", "ids", "vectors"])
+
+    return df.select(id_col, F.col(vector).cast("array<double>").alias(vector), *keys).filter(F.size(vector) > 0).mapInArrow(run, schema)
+
 
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of products in the order of the places, in doubles."""
+    return np.cumsum(x * y, axis=-1)[..., -1]
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    return 1.0 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+def nearest(queries: np.ndarray, items: np.ndarray, ids: list, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
+    """For each query its k nearest items as (distance, place), by cosine distance and then by id.
+
+    A product of the two blocks finds those that can be among them; their distances are then summed in order, so that
+    they don't depend on the blocks. What has no distance, for want of a length, comes last.
+    """
+    lengths = np.sqrt(_in_order(items, items))
+    own = np.sqrt(_in_order(queries, queries))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rough = 1 - (items @ queries.T) / np.outer(lengths, own)
+        rough[np.isnan(rough)] = np.inf
+        limit = np.partition(rough, k - 1, axis=0)[k - 1] if len(items) > k else np.full(len(queries), np.inf)
+        for q, most in enumerate(limit):
+            near = np.flatnonzero(rough[:, q] <= most + SLACK)
+            exact = 1 - _in_order(queries[q], items[near]) / (own[q] * lengths[near])
+            exact[np.isnan(exact)] = np.inf
+            yield q, sorted(zip(exact.tolist(), near.tolist()), key=lambda x: (x[0], ids[x[1]]))[:k]
 
 
 def knn(queries: DataFrame, index: DataFrame, scopes: DataFrame, k: int = TOP, by: tuple[str, ...] = (), broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """(query_id, [by], item_id, distance, rank): for each query the k nearest rows of the index in its scopes.
 
     queries: query_id, embedding; index: item_id, collection_id, embedding, [by]; scopes: query_id, collection_id. The
-    scope is applied first, so a query gets min(k, rows in scope) of them; one without scopes gets none. by gives k rows
-    for each value of more columns. Ties go to the smaller id. Each task keeps its own best k before the shuffle.
+    scope is applied first, so a query gets min(k, rows in scope) of them; one without scopes gets none, and vectors of
+    other widths than the query's are not in scope. by gives k rows for each value of more columns. Ties go to the
+    smaller id. The index is packed into blocks where it is, without a shuffle; blocks meet the blocks of queries of the
+    same scope, which are broadcast up to a checked size, and each pair passes on its own best k.
     """
-    doubles = lambda c: F.col(c).cast("array<double>")
-    norm = lambda v: F.sqrt(dot(v, v))
-    asked = queries.select("query_id", doubles("embedding").alias("q")).filter("q is not null").withColumn("q_norm", norm(F.col("q"))).join(scopes.select("query_id", "collection_id").distinct(), "query_id")
-    held = asked.agg(F.sum(F.size("q") + 4)).first()[0] or 0
-    if held <= broadcast_numbers:
-        asked = F.broadcast(asked)
-    # each side's norm is computed once, before the pairs
-    items = index.filter("embedding is not null").select("item_id", "collection_id", doubles("embedding").alias("e"), *by).withColumn("e_norm", norm(F.col("e")))
-    near = items.join(asked, "collection_id").withColumn("distance", 1.0 - dot(F.col("q"), F.col("e")) / (F.col("q_norm") * F.col("e_norm")))
+    asked = queries.select("query_id", "embedding").filter("embedding is not null").join(scopes.select("query_id", "collection_id").distinct(), "query_id")
+    held = asked.agg(F.sum(F.size("embedding") + 4)).first()[0] or 0
+    blocks = _packed(asked, "query_id", "embedding", ["collection_id"], QUERY_BLOCK).select("collection_id", "width", F.col("ids").alias("asked"), F.col("vectors").alias("asked_vectors"))
+    items = _packed(index.filter("embedding is not null"), "item_id", "embedding", ["collection_id", *by], ITEM_BLOCK)
+    met = items.join(F.broadcast(blocks) if held <= broadcast_numbers else blocks, ["collection_id", "width"]).select("width", "ids", "vectors", "asked", "asked_vectors", *by)
+    types = {"query_id": queries.schema["query_id"].dataType.simpleString(), "item_id": index.schema["item_id"].dataType.simpleString(), **{c: index.schema[c].dataType.simpleString() for c in by}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                width, ids, asked_ids = batch.column(0)[i].as_py(), batch.column(1)[i].values, batch.column(3)[i].values
+                vectors, questions = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, width) for c in (2, 4))
+                query, item, distance = [], [], []
+                for q, found in nearest(questions, vectors, ids.to_pylist(), k):
+                    query += [q] * len(found)
+                    distance += [d for d, _ in found]
+                    item += [at for _, at in found]
+                own = [pa.array([batch.column(5 + j)[i].as_py()] * len(query), batch.schema.field(5 + j).type) for j in range(len(by))]
+                yield pa.record_batch([asked_ids.take(pa.array(query, pa.int64())), *own, ids.take(pa.array(item, pa.int64())), pa.array(distance, pa.float64())], ["query_id", *by, "item_id", "distance"])
+
+    near = met.mapInArrow(run, ", ".join([f"query_id {types['query_id']}", *(f"`{c}` {types[c]}" for c in by), f"item_id {types['item_id']}", "distance double"]))
     order = Window.partitionBy("query_id", *by).orderBy("distance", "item_id")
     return near.select("query_id", *by, "item_id", "distance", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= k)
 

@@ -187,29 +187,48 @@ def y2(kb: Base) -> DataFrame:
     return kb.table("documents").select("doc_id", T.content_hash(F.col("text")).alias("h"))
 
 
-def embedded_sql(rows: str, width: int) -> str:
-    """(id, k, v): the places and values of the hashing embedder's vectors of a statement for (id, text)."""
-    words = r"string_split(lower(regexp_replace(text, '[^\p{L}\p{M}\p{Nl}\p{Nd}\p{No}]+', ' ', 'g')), ' ')"
-    return f"SELECT id, k, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS v FROM (SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {width} AS k, count(*) AS c FROM (SELECT id, unnest({words}) AS w FROM ({rows})) WHERE w <> '' GROUP BY 1, 2)"
+_WORDS_SQL = r"string_split(lower(regexp_replace(text, '[^\p{L}\p{M}\p{Nl}\p{Nd}\p{No}]+', ' ', 'g')), ' ')"
+
+
+def embedded_sql(rows: str, width: int, weighted: bool = False) -> str:
+    """(id, k, v): the places and values of the hashing embedder's vectors of a statement for (id, text); weighted: with the
+    signs of words and the weights of weights_sql."""
+    words = f"SELECT id, w, md5(w) AS h FROM (SELECT id, unnest({_WORDS_SQL}) AS w FROM ({rows})) WHERE w <> ''"
+    place = f"CAST('0x' || substr(h, 1, 8) AS BIGINT) % {width}"
+    if not weighted:
+        return f"SELECT id, k, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS v FROM (SELECT id, {place} AS k, count(*) AS c FROM ({words}) GROUP BY 1, 2)"
+    return f"SELECT id, k, c / nullif(sqrt(sum(c * c) OVER (PARTITION BY id)), 0) AS v FROM (SELECT id, {place} AS k, sum(CASE WHEN substr(h, 9, 1) < '8' THEN g ELSE -g END) AS c FROM ({words}) JOIN weights ON kind = CAST('0x' || substr(h, 10, 8) AS BIGINT) % {V.WORD_CLASSES} GROUP BY 1, 2)"
+
+
+def weights_sql(rows: str, others: str) -> str:
+    """weights (kind, g): the weight of each class of words by a statement for (doc_id, text), of its words and those of others."""
+    kinds = lambda own: f"SELECT doc_id, CAST('0x' || substr(md5(w), 10, 8) AS BIGINT) % {V.WORD_CLASSES} AS kind FROM (SELECT doc_id, unnest({_WORDS_SQL}) AS w FROM ({own})) WHERE w <> ''"
+    return f"""seen AS ({kinds(rows)}), frequent AS (SELECT kind, count(DISTINCT doc_id) AS n FROM seen GROUP BY kind),
+        weights AS MATERIALIZED (SELECT k.kind, ln((1 + (SELECT count(*) FROM ({rows}))) / (1.0 + coalesce(n, 0))) + 1 AS g FROM (SELECT kind FROM frequent UNION SELECT kind FROM ({kinds(others)})) k LEFT JOIN frequent f ON f.kind = k.kind)"""
 
 
 _CHUNK_TEXTS = chunks_sql(REPAIRED_SQL, "SELECT doc_id, 1 AS page_num, 0 AS start, length(text) AS stop FROM docs").replace("md5(c.text) AS digest", "c.text AS text")
 
 
+#: Width of the vectors whose recall is measured.
+RECALL_WIDTH = 512
+
+
 @query("v11_recall", f"""
     WITH asked AS (SELECT item_id AS query_id, {REPAIRED_SQL.split('SELECT doc_id, ')[1].rsplit(' AS text', 1)[0]} AS text FROM benchmark), truth AS (SELECT query_id, left(text, 60) AS marker FROM asked),
     held AS (SELECT * FROM truth t WHERE EXISTS (SELECT 1 FROM ({REPAIRED_SQL}) d WHERE contains(d.text, t.marker))),
-    pieces AS (SELECT doc_id || ':' || ordinal AS id, text FROM ({_CHUNK_TEXTS})),
-    qv AS ({embedded_sql("SELECT query_id AS id, text FROM asked", 256)}), cv AS ({embedded_sql("SELECT id, text FROM pieces", 256)}),
+    pieces AS (SELECT doc_id || ':' || ordinal AS id, text FROM ({_CHUNK_TEXTS})), {weights_sql(REPAIRED_SQL, "SELECT query_id AS doc_id, text FROM asked")},
+    qv AS ({embedded_sql("SELECT query_id AS id, text FROM asked", RECALL_WIDTH, True)}), cv AS ({embedded_sql("SELECT id, text FROM pieces", RECALL_WIDTH, True)}),
     near AS (SELECT q.id AS query_id, c.id, row_number() OVER (PARTITION BY q.id ORDER BY round(1 - sum(q.v * c.v), 9), c.id) AS rank FROM qv q JOIN cv c ON c.k = q.k GROUP BY q.id, c.id QUALIFY rank <= 5)
     SELECT h.query_id, coalesce(bool_or(contains(lower(p.text), lower(h.marker))), false) AS hit FROM held h LEFT JOIN near n ON n.query_id = h.query_id LEFT JOIN pieces p ON p.id = n.id GROUP BY h.query_id""")
 def v11(kb: Base) -> DataFrame:
-    """Recall of the benchmark's passages among the chunks of all documents, by the hashing embedder, five a passage.
+    """Recall of the benchmark's passages among the chunks of all documents, by the hashing embedder with the documents'
+    word weights, five a passage.
 
     The marker is the passage's first 60 characters; only passages that some document has count.
     """
-    embed = V.hash_embedder()
     docs = _dealt(kb)
+    embed = V.hash_embedder(RECALL_WIDTH, V.word_weights(docs))
     chunks = C.chunk_documents(docs).select(F.concat_ws(":", "doc_id", "ordinal").alias("item_id"), F.lit("all").alias("collection_id"), "text")
     asked = kb.table("benchmark").select(F.col("item_id").alias("query_id"), T.normalize_text(F.col("text")).alias("text"))
     truth = asked.select("query_id", F.left("text", F.lit(60)).alias("marker"))
