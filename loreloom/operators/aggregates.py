@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .packing import batch_passages  # noqa: F401
 from .scopes import KINDS, is_stale, live
 
-#: Bytes of a batch of passages.
-BATCH_BYTES = 16_000
-
-
 def count_by_campaign(campaigns: DataFrame, visible: DataFrame, entities: DataFrame) -> DataFrame:
     """(campaign_id, kind, n) for every campaign and kind, zero included."""
     kinds = F.explode(F.array(*map(F.lit, KINDS))).alias("kind")
@@ -104,34 +98,6 @@ def session_lanes(sessions: DataFrame, events: DataFrame) -> DataFrame:
     return lanes.select("campaign_id", "session_id", F.row_number().over(order).alias("lane"), F.coalesce("n_events", F.lit(0)).alias("n_events"))
 
 
-def batch_passages(passages: DataFrame, by: str = "collection_id", order: str = "place", text: str = "text", budget: int = BATCH_BYTES, separator: str = "\n\n") -> DataFrame:
-    """passages with `batch`: packed in order, a new batch where the next one and its separator would pass the budget.
-
-    Which passages begin a batch depends on all before them, so the lengths, not the texts, go through a fold of each
-    scope's rows in order, which holds two numbers. A passage over the budget has a batch of its own.
-    """
-    gap = len(separator.encode())
-    sized = passages.select(by, order, F.octet_length(text).cast("long").alias("_bytes")).repartition(by).sortWithinPartitions(by, order)
-    kinds = {f.name: f.dataType.simpleString() for f in sized.schema}
-
-    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scope, batch, used, first = None, 0, 0, True
-        for part in parts:
-            out = []
-            for own, size in zip(part.column(0).to_pylist(), part.column(2).to_pylist()):
-                size = size or 0
-                if first or own != scope:
-                    scope, batch, used, first = own, 0, 0, False
-                elif used and used + gap + size > budget:
-                    batch, used = batch + 1, 0
-                used = used + gap + size if used else size
-                out.append(batch)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.int32())], [by, order, "batch"])
-
-    batches = sized.mapInArrow(fold, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, batch int").distinct()
-    return passages.join(batches, [by, order])
-
-
 def cap_per_scope(df: DataFrame, by: str, order: list[Column], n: int) -> tuple[DataFrame, DataFrame]:
     """(rows, remainder): the first n rows of each scope, and how many of each were left out."""
     ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from loreloom.functions import text as T
 
-from .aggregates import BATCH_BYTES, batch_passages, cap_per_scope
+from .aggregates import cap_per_scope
 from .context import page_refs
 from .graph import canonical_relations, entity_relations, relate_collapsing
+from .packing import BATCH_BYTES, batch_passages
 from .scopes import KINDS, check_scope, is_live, is_stale, live
 
 #: Most rows of one run.
