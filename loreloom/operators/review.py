@@ -11,6 +11,7 @@ from .aggregates import cap_per_scope
 from .context import page_refs
 from .graph import canonical_relations, entity_relations, relate_collapsing
 from .packing import BATCH_BYTES, batch_passages
+from .postings import containing
 from .scopes import KINDS, check_scope, is_live, is_stale, live
 
 #: Most rows of one run.
@@ -180,7 +181,8 @@ def redo_requests(rules: DataFrame, objections: DataFrame, chunks: DataFrame, in
     """(id, prompt): rules to be written anew, with all objections so far and the new one (id, objection), and the rule
     chunks of their collection that have the name."""
     asked = rules.join(objections, "id").withColumn("all", F.array_append(F.coalesce("objections", F.array().cast("array<string>")), F.col("objection")))
-    texts = chunks.withColumn("l", labelled(chunks)).select("collection_id", "place", "l", F.col("text").alias("_t")).join(asked.select("id", "collection_id", "name"), "collection_id").filter(F.contains(F.lower("_t"), F.lower("name")))
+    told = chunks.withColumn("l", labelled(chunks))
+    texts = containing(asked.select(F.col("id").alias("query_id"), "collection_id", F.col("name").alias("needle")), told).withColumnRenamed("query_id", "id").join(told.select("chunk_id", "place", "l"), "chunk_id")
     joined = texts.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "l"))), lambda x: x["l"]), "\n\n").alias("texts"))
     wide = asked.join(joined, "id", "left")
     return wide.select("id", F.concat(F.lit(instruction), "name", F.lit("\n"), "body", F.lit("\nObjections:\n"), F.array_join(F.transform("all", lambda o: F.concat(F.lit("- "), o)), "\n"), F.lit("\n\n"), F.coalesce("texts", F.lit(""))).alias("prompt"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 import regex
 
+from .postings import containing
 from .scopes import live
 
 #: Width of the hashing embedder, and the default number of neighbours.
@@ -244,7 +245,7 @@ def hybrid_passages(needles: DataFrame, semantic: DataFrame, chunks: DataFrame)
     needles: query_id, collection_id, needle; semantic: query_id, item_id, rank.
     """
     meant = semantic.select("query_id", F.col("item_id").alias("chunk_id"), F.lit(0).alias("way"), "rank")
-    said = needles.join(chunks.select("collection_id", "chunk_id", "text"), "collection_id").filter(F.contains(F.lower("text"), F.lower("needle"))).select("query_id", "chunk_id", F.lit(1).alias("way"), F.lit(0).alias("rank"))
+    said = containing(needles, chunks).select("query_id", "chunk_id", F.lit(1).alias("way"), F.lit(0).alias("rank"))
     first = meant.union(said).groupBy("query_id", "chunk_id").agg(F.min(F.struct("way", "rank")).alias("o"))
     return first.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "chunk_id")).alias("place"))
 
