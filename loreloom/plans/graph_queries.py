@@ -454,6 +454,26 @@ KEYED_SQL = f"""
     keyed AS (SELECT record, name, path || CASE WHEN count(*) OVER (PARTITION BY path) > 1 THEN '-' || split_part(record, ':', 2) ELSE '' END || '.md' AS key, CAST('0x' || substr(md5(record), 1, 4) AS BIGINT) AS h FROM paths)"""
 
 
+def _quoted(x: str) -> str:
+    return rf"""'"' || replace(replace(trim(regexp_replace({x}, '\s+', ' ', 'g')), '\', '\\'), '"', '\"') || '"'"""
+
+
+#: CTEs up to rendered (record, key, content): the whole text of each record's file.
+RENDERED_SQL = f"""{KEYED_SQL},
+    bodies AS (SELECT id AS record, aliases, summary, codex_article AS fenced, notes FROM entity UNION ALL SELECT id, NULL, NULL, NULL, notes FROM session UNION ALL SELECT id, NULL, NULL, body, notes FROM rule),
+    told AS (SELECT s.*, k.key, list_concat([s.name], coalesce(b.aliases, list_filter([''], lambda a: false))) AS every, b.summary, b.fenced, b.notes FROM scoped s JOIN keyed k ON k.record = s.record JOIN bodies b ON b.record = s.record),
+    fronts AS (SELECT *, array_to_string(list_transform(list_filter(every, lambda a, i: list_position(list_transform(every, lambda b: lower(b)), lower(a)) = i), lambda a: {_quoted('a')}), ', ') AS names FROM told),
+    rendered AS (SELECT record, key, '---' || chr(10) || array_to_string(['id: ' || {_quoted('record')}, CASE WHEN type <> 'session' THEN 'name: ' || {_quoted('name')} END, 'title: ' || {_quoted('name')}, 'aliases: [' || names || ']',
+        CASE WHEN type NOT IN ('session', 'rule_entry') THEN 'type: ' || {_quoted('type')} END, scope_kind || ': ' || {_quoted('scope_name')}, CASE WHEN type = 'session' THEN 'session_number: ' || number END, CASE WHEN type = 'session' THEN 'date_played: ""' END, 'created_at: ""', 'updated_at: ""'], chr(10))
+        || chr(10) || '---' || chr(10) || CASE WHEN summary IS NULL AND fenced IS NULL AND notes IS NULL THEN '' ELSE chr(10) || array_to_string(['## Summary' || repeat(chr(10), 2) || summary, '<!-- codex:begin -->' || chr(10) || fenced || chr(10) || '<!-- codex:end -->', '## Notes' || repeat(chr(10), 2) || notes], repeat(chr(10), 2)) || chr(10) END AS content FROM fronts)"""
+
+
+@query("y4_render_records", f"WITH {RENDERED_SQL} SELECT record, key, md5(content) AS digest FROM rendered")
+def y4(kb: Base) -> DataFrame:
+    made = Y.render_records(Y.file_keys(S.sync_records(kb.entity, kb.session, kb.rule, kb.campaign, kb.collection)))
+    return made.select("record", "key", F.md5("content").alias("digest"))
+
+
 @query("y1_sync_decisions", f"""
     WITH e AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 3 END AS b, user_id % 3 AS t, CASE WHEN user_id % 7 = 0 THEN NULL ELSE (event_id + user_id) % 3 END AS f FROM events)
     SELECT event_id, CASE WHEN f IS NULL THEN CASE WHEN b IS NULL THEN 'export' ELSE 'soft_delete' END WHEN t = f THEN CASE WHEN b = t THEN 'noop' ELSE 'adopt_base' END WHEN b IS NULL THEN 'conflict' WHEN f = b THEN 'export' WHEN t = b THEN 'apply' ELSE 'conflict' END AS action FROM e""")
