@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,9 +21,47 @@ def upsert_chunks(index: DataFrame, new: DataFrame) -> DataFrame:
     return delete_by_source(index, new).unionByName(new.select(index.columns))
 
 
+#: Parts of a collection in the stored index; a source's chunks are all in one.
+BUCKETS = 16
+
+
+def _place(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("source_id"), F.lit(BUCKETS)).cast("int"))
+
+
 def write_index(index: DataFrame, path: str) -> None:
-    """One folder a collection, so that a scope reads its own files only; collections in index replace theirs."""
-    index.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection_id").parquet(path)
+    """A new stored index: a folder for each collection and bucket of sources, so that a scope reads its own files only."""
+    _place(index).write.mode("overwrite").partitionBy("collection_id", "bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def replace_in_index(new: DataFrame, sources: DataFrame, path: str) -> None:
+    """Puts the chunks in new (collection_id, source_id, ...) in place of all chunks of sources (collection_id, source_id)
+    in the index at path; sources without new chunks lose theirs.
+
+    Only the folders of the sources' buckets are read and written again, and each changes when the job commits. Doing it
+    again changes nothing, so a batch of a stream may come twice. One writer at a time.
+    """
+    spark = new.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = _place(sources.select("collection_id", "source_id").distinct())
+    touched = gone.select("collection_id", "bucket").distinct()
+    merged = _place(new)
+    if store.exists(folder):
+        old = spark.read.parquet(path)
+        kept = old.join(touched, ["collection_id", "bucket"], "left_semi").join(gone.select("collection_id", "source_id"), ["collection_id", "source_id"], "left_anti")
+        merged = kept.select(old.columns).unionByName(merged.select(old.columns))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection_id", "bucket").parquet(path)
+    # a folder that lost all its chunks isn't written, so what it had is still there
+    left = spark.read.schema(merged.schema).parquet(path).join(touched, ["collection_id", "bucket"], "left_semi")
+    stale = left.join(gone.select("collection_id", "source_id"), ["collection_id", "source_id"], "left_semi").join(new.select("collection_id", "source_id").distinct(), ["collection_id", "source_id"], "left_anti")
+    for row in stale.select("collection_id", "bucket").distinct().toLocalIterator():
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(row["collection_id"]))
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/collection_id={name}/bucket={row['bucket']}"), True)
 
 
 def apply_ingest_status(sources: DataFrame, index: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame]:

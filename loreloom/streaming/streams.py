@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import StringType, StructField, StructType
+
+from loreloom.functions import text as T
+from loreloom.operators import chunking as C
+from loreloom.operators import tables
+from loreloom.operators import vectors as V
+from loreloom.operators.vectors import Embedder
 
 #: Quiet time that ends a burst, and how long an own write and an own delete are remembered.
 GAP, WRITE_TTL, DELETE_TTL = "2 seconds", 30.0, 3.0
@@ -114,48 +122,128 @@ def diff_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select(F.when(F.col("mtime").isNull() & F.col("size").isNull(), "remove").otherwise("upsert").alias("kind"), "key")
 
 
-TOKENS = "conv_id long, content string"
+#: After so long without a token, an answer is abandoned.
+ABANDONED_MS = 600_000
 
 
-def assemble_tokens(tokens: DataFrame, abandoned: str = LATE) -> DataFrame:
+def assemble_tokens(tokens: DataFrame) -> DataFrame:
     """(conv_id, content): the joined tokens (conv_id, seq, token, done, failed) of each answer whose end has come.
 
     Answers that fail or never end are dropped. For tables by grouping, and for streams by keyed state, where an answer
-    without tokens for ten minutes of processing time is forgotten.
+    without tokens for ten minutes of processing time is forgotten (stream_answers runs it).
     """
     own = tokens.select("conv_id", F.col("seq").cast("long").alias("seq"), "token", "done", "failed")
     if not own.isStreaming:
         ended = own.groupBy("conv_id").agg(F.max("done").alias("done"), F.max("failed").alias("failed"), F.sort_array(F.collect_list(F.struct("seq", "token"))).alias("t"))
         return ended.filter("done and not failed").select("conv_id", F.array_join(F.transform("t", lambda x: x["token"]), "").alias("content"))
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seqs, texts, done, failed = state.get if state.exists else ([], [], False, False)
-        rows = pd.concat([*parts])
-        seqs, texts = [*seqs, *map(int, rows["seq"])], [*texts, *rows["token"].fillna("")]
-        done, failed = done or bool(rows["done"].any()), failed or bool(rows["failed"].any())
-        if done or failed:
-            if state.exists:
-                state.remove()
-            if not failed:
-                yield pd.DataFrame({"conv_id": [key[0]], "content": ["".join(t for _, t in sorted(zip(seqs, texts)))]})
-            return
-        state.update((seqs, texts, done, failed))
-        state.setTimeoutDuration(600_000)
+    kind = own.schema["conv_id"].dataType
+    return own.groupBy("conv_id").transformWithStateInPandas(Answers(ABANDONED_MS), StructType([StructField("conv_id", kind), StructField("content", StringType())]), "append", "processingTime")
 
-    return own.groupBy("conv_id").applyInPandasWithState(update, TOKENS, "seqs array<long>, texts array<string>, done boolean, failed boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
+class Answers(StatefulProcessor):
+    """Keeps each open answer's tokens as a list that only grows, so that a token costs the same however many came before.
 
-def stream_ingest(documents: DataFrame, prepare: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Prepares and stores the chunks of documents as they arrive; a document that comes again replaces itself, so a batch
-    that is run twice changes nothing."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        store(prepare(batch))
+    A timer that every batch of tokens moves ends answers that nobody goes on with.
+    """
 
-    return _start(documents, each, checkpoint, once)
+    def __init__(self, abandoned_ms: int):
+        self.abandoned_ms = abandoned_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tokens = handle.getListState("tokens", "seq long, token string")
+        self.failed = handle.getValueState("failed", "failed boolean")
+        self.due = handle.getValueState("due", "at long")
+
+    def _forget(self) -> None:
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        for state in (self.tokens, self.failed, self.due):
+            state.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        done = failed = False
+        for part in rows:
+            self.tokens.appendList([(int(s), t or "") for s, t in zip(part["seq"], part["token"])])
+            done, failed = done or bool(part["done"].any()), failed or bool(part["failed"].any())
+        failed = failed or self.failed.exists()
+        if done:
+            content = "".join(t for _, t in sorted(self.tokens.get()))
+            self._forget()
+            if not failed:
+                yield pd.DataFrame({"conv_id": [key[0]], "content": [content]})
+            return
+        if failed:
+            self.tokens.clear()
+            self.failed.update((True,))
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+        due = timerValues.getCurrentProcessingTimeInMs() + self.abandoned_ms
+        self.handle.registerTimer(due)
+        self.due.update((due,))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.due.clear()  # its timer has gone off
+        self._forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+#: State of lists and timers needs this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+#: Timers would start one batch after another, so that a query over what there is would never end.
+NO_DATA = ("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
+def stream_answers(tokens: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Appends the finished answers of a stream of tokens to the Parquet files at path, each once."""
+    conf, wanted = tokens.sparkSession.conf, dict([STATE_STORE, NO_DATA] if once else [STATE_STORE])
+    before = {key: conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():  # the query takes them along when it starts
+            conf.set(key, value)
+        writer = assemble_tokens(tokens).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+
+
+def ingest(documents: DataFrame, index: str, embedder: Embedder, model: str = "hash", report: Callable[[str, int], None] | None = None) -> DataFrame:
+    """Reads documents (doc_id, text, collection_id, source_type) into the index at the given path and returns the changed
+    (collection_id, source_type): repaired, chunked, stamped, embedded, and put in place of the documents' older chunks.
+
+    A document is a source of its own, `source:` and its id; of equal ids the largest text counts. Null and blank texts
+    have no chunks. report gets each stage and how many documents or chunks it has done.
+    """
+    seen, made = Observation(), Observation()
+    own = documents.groupBy("doc_id").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "collection_id", "source_type")).alias("d")).select("doc_id", "d.*")
+    own = own.observe(seen, F.count("*").alias("n")).withColumns({"text": T.normalize_text(F.col("text")), "source_id": F.concat(F.lit("source:"), F.col("doc_id").cast("string"))})
+    own = own.persist()
+    try:
+        chunks = C.chunk_documents(own.filter("text <> ''").select("doc_id", "text")).join(own.select("doc_id", "source_id", "collection_id"), "doc_id")
+        made_chunks = V.embed_documents(tables.stamp_chunks(chunks, model), embedder, model=model).observe(made, F.count("*").alias("n"))
+        made_chunks = made_chunks.persist()
+        made_chunks.count()
+        tables.replace_in_index(made_chunks, own.select("collection_id", "source_id"), index)
+        changed = own.select("collection_id", "source_type").distinct().collect()  # one row a collection and kind of source
+        made_chunks.unpersist()
+    finally:
+        own.unpersist()
+    if report:
+        report("extract", seen.get["n"])
+        report("embed", made.get["n"])
+    return documents.sparkSession.createDataFrame(changed, documents.select("collection_id", "source_type").schema)
+
+
+def stream_index(documents: DataFrame, index: str, embedder: Embedder, stale: Callable[[DataFrame], None], checkpoint: str, model: str = "hash", report: Callable[[str, int], None] | None = None, once: bool = False) -> StreamingQuery:
+    """ingest() for each micro-batch of documents, and then stale with the changed (collection_id, source_type). Both may
+    see a batch again after a failure, which changes nothing."""
+    return _start(documents, lambda batch, _: stale(ingest(batch, index, embedder, model, report)), checkpoint, once)
 
 
 # The share of the whole at which a stage begins and ends.
