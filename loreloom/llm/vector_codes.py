@@ -69,13 +69,13 @@ def _blocks(kept: DataFrame) -> DataFrame:
     return stored(kept.select("id", "label", "vector").mapInArrow(run, f"block long, ids array<{types['id']}>, labels array<{types['label']}>, parts binary"))
 
 
-def _members(pos: int, entry: np.ndarray, salt: int, block: int, rows: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
-    """A row of members for each entry that some parts have."""
-    order = np.argsort(entry, kind="stable")
-    entry, rows, x = entry[order], rows[order], x[order]
-    edges = np.flatnonzero(np.diff(entry.astype(np.int64), prepend=-1, append=-1))
+def _members(pos: int, entry: np.ndarray, salt: np.ndarray, block: np.ndarray, rows: np.ndarray, x: np.ndarray) -> Iterator[tuple]:
+    """A row of members for each block and entry, of parts of one position."""
+    order = np.lexsort((entry, block))
+    entry, salt, block, rows, x = entry[order], salt[order], block[order], rows[order].astype(np.uint32), x[order].astype(np.int32)
+    edges = np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (entry[1:] != entry[:-1])) + 1, [len(block)]]).tolist()
     for a, b in zip(edges[:-1], edges[1:]):
-        yield pos, int(entry[a]), salt, block, rows[a:b].astype(np.uint32).tobytes(), x[a:b].astype(np.int32).tobytes()
+        yield pos, int(entry[a]), int(salt[a]), int(block[a]), rows[a:b].tobytes(), x[a:b].tobytes()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -96,25 +96,29 @@ def _first(blocks: DataFrame, book: np.ndarray, salts: int) -> DataFrame:
         for batch in batches:
             for block, parts in zip(batch.column(0).to_pylist(), batch.column(1)):
                 x = np.frombuffer(parts.as_buffer(), np.int32).reshape(-1, PARTS, width).astype(np.int64)
-                salt = (block * 0x9E3779B1 >> 7) % salts
+                of = np.full(len(x), block)
+                salt = np.full(len(x), (block * 0x9E3779B1 >> 7) % salts)
                 for pos in range(PARTS):
                     own = np.ascontiguousarray(x[:, pos])
-                    yield _batch([*_members(pos, nearest(own, book[pos])[0], salt, block, np.arange(len(x)), own)])
+                    yield _batch([*_members(pos, nearest(own, book[pos])[0], salt, of, np.arange(len(x)), own)])
 
     return _owned(blocks.select("block", "parts").mapInArrow(run, MEMBERS))
 
 
-def _residents(batches: Iterator[pa.RecordBatch], books: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
-    """(pos, entry, salt, block, rows, parts) of the members that keep their entry under each of the books."""
+def _residents(batches: Iterator[pa.RecordBatch], books: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(pos, entries, salts, blocks, rows, parts) of the members that keep their entry under each of the books: those of
+    one position in a batch together."""
     for batch in batches:
-        columns = [batch.column(i) for i in range(6)]
-        for i in range(len(batch)):
-            pos, entry, salt, block = (c[i].as_py() for c in columns[:4])
-            rows = np.frombuffer(columns[4][i].as_buffer(), np.uint32)
-            x = np.frombuffer(columns[5][i].as_buffer(), np.int32).reshape(len(rows), -1).astype(np.int64)
+        at = batch.column(0).to_numpy()
+        for pos in np.unique(at).tolist():
+            own = batch.take(pa.array(np.flatnonzero(at == pos)))
+            rows = np.frombuffer(b"".join(own.column(4).to_pylist()), np.uint32)
+            x = np.frombuffer(b"".join(own.column(5).to_pylist()), np.int32).reshape(len(rows), -1).astype(np.int64)
+            n = [len(r.as_buffer()) // 4 for r in own.column(4)]
+            entry, salt, block = (np.repeat(own.column(i).to_numpy(), n) for i in (1, 2, 3))
             for book in books:
                 stays = nearest(x, book[pos])[0] == entry
-                rows, x = rows[stays], x[stays]
+                entry, salt, block, rows, x = entry[stays], salt[stays], block[stays], rows[stays], x[stays]
             if len(rows):
                 yield pos, entry, salt, block, rows, x
 
@@ -124,9 +128,10 @@ def _sums(members: DataFrame, books: list[np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
-        for pos, entry, _, _, rows, x in _residents(batches, books):
-            n, total = found.get((pos, entry), (0, 0))
-            found[pos, entry] = (n + len(rows), total + x.sum(0))
+        for pos, entry, _, _, _, x in _residents(batches, books):
+            for k in np.unique(entry).tolist():
+                n, total = found.get((pos, k), (0, 0))
+                found[pos, k] = (n + int((entry == k).sum()), total + x[entry == k].sum(0))
         flat = [(pos, entry, at, n, int(v)) for (pos, entry), (n, total) in found.items() for at, v in enumerate(total)]
         if flat:
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
@@ -143,7 +148,7 @@ def _migrants(members: DataFrame, books: list[np.ndarray], book: np.ndarray) ->
             near = nearest(x, book[pos])[0]
             moves = near != entry
             if moves.any():
-                yield _batch([*_members(pos, near[moves], salt, block, rows[moves], x[moves])])
+                yield _batch([*_members(pos, near[moves], salt[moves], block[moves], rows[moves], x[moves])])
 
     return members.mapInArrow(run, MEMBERS)
 
@@ -184,7 +189,10 @@ def _coded(blocks: DataFrame, layers: list[DataFrame], books: list[np.ndarray])
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for pos, _, _, block, rows, x in _residents(batches, seen):
                 near, error = nearest(x, book[pos])
-                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([pos], pa.int32()), *(pa.array([v.tobytes()]) for v in (rows, near, error))], ["block", "pos", "rows", "entries", "errors"])
+                order = np.argsort(block, kind="stable")
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(block[order])) + 1, [len(block)]]).tolist()
+                cut = [[v[order[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:])] for v in (rows, near, error)]
+                yield pa.record_batch([pa.array(block[order[edges[:-1]]]), pa.array([pos] * len(cut[0]), pa.int32()), *map(pa.array, cut)], ["block", "pos", "rows", "entries", "errors"])
 
         return run
 
