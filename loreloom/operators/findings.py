@@ -9,7 +9,7 @@ from loreloom.functions import text as T
 
 from .graph import extract_links, resolve_links
 from .names import SUGGEST, alias_collisions, best_match, duplicate_entities
-from .scopes import check_scope, is_stale, live
+from .scopes import check_scope, is_stale, live, visible_entities
 
 #: What every finding has: its kind and scope, what tells it from others of its kind, and whom it names.
 COLUMNS = ["kind", "scope_id", "dedup_key", "parties", "detail", "similarity"]
@@ -48,17 +48,17 @@ def scope_violations(edges: DataFrame, entities: DataFrame, collections: DataFra
     return bad.join(entities.select(F.col("id").alias("from_id"), "collection_id"), "from_id").select("collection_id", "edge_id", "from_id", "to_id")
 
 
-def lint(entities: DataFrame, edges: DataFrame, collections: DataFrame, subs: DataFrame) -> DataFrame:
-    """All findings of all collections, in one table of COLUMNS."""
-    broken = broken_wikilinks(entities)
-    dup, alias = duplicate_entities(entities), alias_collisions(entities)
-    stale, out = stale_articles(entities).filter("collection_id is not null"), scope_violations(edges, entities, collections, subs).filter("collection_id is not null")
+def _lint(entities: DataFrame, violations: DataFrame, scope: str) -> DataFrame:
+    """All findings of live entities within each scope; violations: (scope, edge_id, from_id, to_id)."""
+    broken = broken_wikilinks(entities, scope)
+    dup, alias = duplicate_entities(entities, scope), alias_collisions(entities, scope)
+    stale = live(entities).filter(is_stale() & F.col(scope).isNotNull())
     parts = [
-        _finding(broken, "broken_wikilink", "collection_id", F.concat_ws("|", "entity_id", F.lower("link")), F.array("entity_id"), F.col("link")),
-        _finding(dup, "duplicate_entity", "collection_id", F.concat_ws("|", "a", "b"), F.array("a", "b"), None, F.col("similarity")),
-        _finding(alias, "alias_collision", "collection_id", F.concat_ws("|", "a", "b"), F.array("a", "b"), F.col("alias")),
-        _finding(stale, "stale_article", "collection_id", F.col("id"), F.array("id")),
-        _finding(out, "scope_violation", "collection_id", F.col("edge_id").cast("string"), F.array("from_id", "to_id")),
+        _finding(broken, "broken_wikilink", scope, F.concat_ws("|", "entity_id", F.lower("link")), F.array("entity_id"), F.col("link")),
+        _finding(dup, "duplicate_entity", scope, F.concat_ws("|", "a", "b"), F.array("a", "b"), None, F.col("similarity")),
+        _finding(alias, "alias_collision", scope, F.concat_ws("|", "a", "b"), F.array("a", "b"), F.col("alias")),
+        _finding(stale, "stale_article", scope, F.col("id"), F.array("id")),
+        _finding(violations.filter(F.col(scope).isNotNull()), "scope_violation", scope, F.col("edge_id").cast("string"), F.array("from_id", "to_id")),
     ]
     found = parts[0]
     for part in parts[1:]:
@@ -66,6 +66,21 @@ def lint(entities: DataFrame, edges: DataFrame, collections: DataFrame, subs: Da
     return found
 
 
+def lint(entities: DataFrame, edges: DataFrame, collections: DataFrame, subs: DataFrame) -> DataFrame:
+    """All findings of all collections, in one table of COLUMNS."""
+    return _lint(entities, scope_violations(edges, entities, collections, subs), "collection_id")
+
+
+def lint_campaigns(entities: DataFrame, edges: DataFrame, collections: DataFrame, subs: DataFrame) -> DataFrame:
+    """All findings of all campaigns, each over its own entities and those of the collections that it subscribes to, so
+    that duplicates and links between collections are seen. A finding comes once for each campaign that sees it;
+    record_findings keeps one of them."""
+    seen = visible_entities(entities, subs).select(F.col("entity_id").alias("id"), F.col("campaign_id").alias("scope"))
+    bad = check_scope(edges, entities, collections, subs).filter("not allowed")
+    violations = bad.join(seen.withColumnRenamed("id", "from_id"), "from_id").select("scope", "edge_id", "from_id", "to_id")
+    return _lint(entities.join(seen, "id"), violations, "scope")
+
+
 def record_findings(existing: DataFrame, new: DataFrame) -> DataFrame:
     """existing (id, COLUMNS, resolved) with the new findings that no open one of the same kind and key stands for."""
     open_ = existing.filter("not resolved").select("kind", "dedup_key")

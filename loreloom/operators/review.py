@@ -12,11 +12,15 @@ from .context import page_refs
 from .graph import canonical_relations, entity_relations, relate_collapsing
 from .packing import BATCH_BYTES, batch_passages
 from .postings import containing
-from .scopes import KINDS, check_scope, is_live, is_stale, live
+from .scopes import KINDS, check_scope, is_live, is_stale, live, provenance_scope
+from .vectors import Embedder, embed_queries, knn
 
 #: Most rows of one run.
 COMPILE_CAP, RULE_BATCH_CAP, ENRICH_CAP, PROPOSAL_CAP, NEIGHBOUR_CAP = 50, 40, 20, 8, 12
 
+#: Passages that an article is written from.
+ARTICLE_PASSAGES = 8
+
 # A rule's categories, and a proposal's kinds.
 CATEGORIES = ("entry", "condition", "action", "spell", "feat", "item", "procedure")
 PROPOSAL_KINDS = ("entity_note", "entity_summary", "new_entity", "rule_note", "new_rule")
@@ -125,6 +129,16 @@ def labelled(passages: DataFrame) -> Column:
     return F.concat(F.lit('[Source: "'), "source_name", F.lit('", p.'), pages, F.lit("]\n"), "text")
 
 
+def article_passages(targets: DataFrame, chunks: DataFrame, collections: DataFrame, subs: DataFrame, embedder: Embedder, k: int = ARTICLE_PASSAGES) -> DataFrame:
+    """(id, rank, chunk_id, source_name, page_start, page_end, text): for each target the k chunks nearest to its name,
+    summary and notes, among the collections that its own one draws on. chunks carry chunk_id and embedding."""
+    asked = targets.select(F.col("id").alias("query_id"), "collection_id", T.embed_text("entity", F.col("name"), F.col("summary"), F.col("notes")).alias("text"))
+    scopes = asked.join(provenance_scope(collections, subs), "collection_id").select("query_id", F.col("scope_id").alias("collection_id"))
+    near = knn(embed_queries(asked, embedder), chunks.select(F.col("chunk_id").alias("item_id"), "collection_id", "embedding"), scopes, k)
+    told = chunks.select(F.col("chunk_id").alias("item_id"), "source_name", "page_start", "page_end", "text")
+    return near.join(told, "item_id").select(F.col("query_id").alias("id"), "rank", F.col("item_id").alias("chunk_id"), "source_name", "page_start", "page_end", "text")
+
+
 def article_requests(targets: DataFrame, passages: DataFrame, edges: DataFrame, entities: DataFrame, instruction: str = "") -> DataFrame:
     """(id, prompt): for each target its passages (id, rank, source_name, page_start, page_end, text) and up to 12
     neighbours; targets without passages are left out."""

@@ -34,6 +34,9 @@ QUERY_BLOCK, ITEM_BLOCK = 256, 4096
 #: Distances by a block product are off by less than this from sums in order, which decide.
 SLACK = 1e-9
 
+#: Distances that agree so far are equal, so that the order of a vector's sums doesn't decide between ids.
+DIGITS = 12
+
 #: An embedder makes an array<double> column of a text column.
 Embedder = Callable[[Column], Column]
 
@@ -183,6 +186,7 @@ def nearest(queries: np.ndarray, items: np.ndarray, ids: list, k: int) -> Iterat
         for q, most in enumerate(limit):
             near = np.flatnonzero(rough[:, q] <= most + SLACK)
             exact = 1 - _in_order(queries[q], items[near]) / (own[q] * lengths[near])
+            exact = np.round(exact, DIGITS)
             exact[np.isnan(exact)] = np.inf
             yield q, sorted(zip(exact.tolist(), near.tolist()), key=lambda x: (x[0], ids[x[1]]))[:k]
 

@@ -194,6 +194,16 @@ def l6(kb: Base) -> DataFrame:
     return _lint(kb).groupBy("kind", "scope_id").agg(F.count("*").alias("n"))
 
 
+#: Each entity once for every campaign that sees it, with that campaign in place of its collection.
+_SEEN = f"seen_entity AS (SELECT e.id, e.kind, e.name, e.aliases, e.notes, e.codex_article, e.codex_stale, e.vault_deleted, s.campaign_id AS collection_id FROM entity e JOIN subscription s ON s.collection_id = e.collection_id WHERE e.{LIVE} UNION SELECT id, kind, name, aliases, notes, codex_article, codex_stale, vault_deleted, campaign_id FROM entity WHERE campaign_id IS NOT NULL AND {LIVE})"
+
+
+@query("l6_lint_campaigns", f"WITH {_SEEN} " + _lint_sql().replace(f"({SCOPED})", "(@)").replace("FROM entity", "FROM seen_entity").replace("JOIN entity", "JOIN seen_entity").replace("(@)", f"({SCOPED})"))
+def l6c(kb: Base) -> DataFrame:
+    found = L.lint_campaigns(kb.entity, kb.edge, kb.collection, kb.subscription)
+    return found.groupBy("kind", "scope_id").agg(F.count("*").alias("n"))
+
+
 @query("l5_record_findings", "SELECT id, kind, dedup_key, resolved FROM finding")
 def l5(kb: Base) -> DataFrame:
     """Findings that are open already are not recorded again."""
@@ -378,17 +388,63 @@ def x4(kb: Base) -> DataFrame:
     return R.persist_extraction(R.parse_extraction(_responses(kb)), kb.entity, kb.edge, kb.collection, kb.subscription)["created"].select("kind", "collection_id", F.lower("name").alias("folded"))
 
 
+#: Names that the responses tell of, by collection, kind and folded name, and the ids that they have or get.
+TOLD_SQL = f"""
+    r AS (SELECT 'collection:' || CAST(p_partkey % 25 AS STRING) AS c, CASE WHEN p_size % 5 = 0 THEN 'misc' ELSE 'item' END AS kind, lower(p_name) AS f, 'maker ' || CAST(p_size AS STRING) AS maker FROM part WHERE p_partkey % 7 <> 1),
+    have AS (SELECT collection_id, kind, lower(name) AS f, min(id) AS id FROM entity WHERE {LIVE} GROUP BY 1, 2, 3),
+    ids AS (SELECT n.c, n.kind, n.f, h.id AS old, coalesce(h.id, n.kind || ':' || md5(n.c || '|' || n.kind || '|' || n.f)) AS id FROM (SELECT c, kind, f FROM r UNION SELECT c, 'faction', maker FROM r) n LEFT JOIN have h ON h.collection_id = n.c AND h.kind = n.kind AND h.f = n.f)"""
+
+
+def _persisted(kb: Base) -> dict[str, DataFrame]:
+    return R.persist_extraction(R.parse_extraction(_responses(kb)), kb.entity, kb.edge, kb.collection, kb.subscription)
+
+
+@query("x4_touched", f"WITH {TOLD_SQL} SELECT DISTINCT old AS id FROM ids WHERE old IS NOT NULL")
+def x4t(kb: Base) -> DataFrame:
+    return _persisted(kb)["touched"]
+
+
+@query("x4_edges", f"WITH {TOLD_SQL} SELECT DISTINCT m.id AS from_id, i.id AS to_id, 'owns' AS rel_type, 'by hand' AS notes FROM r JOIN ids m ON m.c = r.c AND m.kind = 'faction' AND m.f = r.maker JOIN ids i ON i.c = r.c AND i.kind = r.kind AND i.f = r.f")
+def x4e(kb: Base) -> DataFrame:
+    """The edges that the responses add: all that have their note."""
+    return _persisted(kb)["edges"].filter("notes = 'by hand'").select("from_id", "to_id", "rel_type", "notes")
+
+
 @query("x6_compile_targets", f"SELECT collection_id, id FROM (SELECT collection_id, id, row_number() OVER (PARTITION BY collection_id ORDER BY kind, name, id) AS n FROM entity WHERE {LIVE} AND {STALE} AND collection_id IS NOT NULL) WHERE n <= 50")
 def x6(kb: Base) -> DataFrame:
     return R.compile_targets(kb.entity)[0].select("collection_id", "id")
 
 
-@query("x10_upsert_rules", "SELECT collection_id, count(DISTINCT split_part(name, ' ', 1)) AS created, CAST(0 AS BIGINT) AS updated FROM rule GROUP BY collection_id")
+@query("x10_upsert_rules", "SELECT collection_id, count(DISTINCT CASE WHEN CAST(split_part(id, ':', 2) AS INT) % 5 <> 0 THEN split_part(name, ' ', 1) END) AS created, count(*) FILTER (CAST(split_part(id, ':', 2) AS INT) % 5 = 0) AS updated FROM rule GROUP BY collection_id")
 def x10(kb: Base) -> DataFrame:
+    return _ruled(kb)[1]
+
+
+def _ruled(kb: Base) -> tuple[DataFrame, DataFrame]:
+    """An entry a rule, under the first word of its name, so that many tell of one new rule; every fifth is of itself."""
     rules = kb.rules
-    entry = F.struct(F.element_at(F.split("name", " "), 1).alias("name"), "category", F.upper("body").alias("body"), "page_refs")
-    told = rules.select("collection_id", (F.crc32("id") % 1_000_000).cast("int").alias("batch"), F.to_json(F.struct(F.array(entry).alias("entries"))).alias("response"))
-    return R.upsert_rules(rules, R.parse_rules(told))[1]
+    number = F.element_at(F.split("id", ":"), 2).cast("int")
+    name = F.when(number % 5 == 0, F.col("name")).otherwise(F.element_at(F.split("name", " "), 1))
+    entry = F.struct(name.alias("name"), "category", F.upper("body").alias("body"), "page_refs")
+    told = rules.select("collection_id", number.alias("batch"), F.to_json(F.struct(F.array(entry).alias("entries"))).alias("response"))
+    return R.upsert_rules(rules, R.parse_rules(told))
+
+
+@query("x10_rule_rows", """
+    WITH told AS (SELECT *, CAST(split_part(id, ':', 2) AS INT) AS n, CASE WHEN CAST(split_part(id, ':', 2) AS INT) % 5 = 0 THEN name ELSE split_part(name, ' ', 1) END AS told, 'Book ' || split_part(collection_id, ':', 2) || '|' || page_start || '|' || page_end AS ref FROM rule),
+    last AS (SELECT collection_id, told, arg_max(category, n) AS category, arg_max(upper(body), n) AS body FROM told GROUP BY collection_id, told),
+    refs AS (SELECT collection_id, told, string_agg(ref, ',' ORDER BY page_start, page_end) AS refs FROM (SELECT DISTINCT collection_id, told, ref, page_start, page_end FROM told) GROUP BY collection_id, told)
+    SELECT 'rule:' || md5(l.collection_id || '|' || l.told) AS id, l.told AS name, l.category, md5(l.body) AS digest, r.refs, CAST(NULL AS STRING) AS notes, false AS stale FROM last l JOIN refs r ON r.collection_id = l.collection_id AND r.told = l.told WHERE NOT EXISTS (SELECT 1 FROM rule o WHERE o.collection_id = l.collection_id AND o.name = l.told)
+    UNION ALL SELECT id, name, category, md5(CASE WHEN n % 5 = 0 THEN upper(body) ELSE body END), ref, notes, CASE WHEN n % 5 = 0 THEN false ELSE stale END FROM told""")
+def x10r(kb: Base) -> DataFrame:
+    """All rules with their bodies, references and kept notes."""
+    refs = F.array_join(F.transform("page_refs", lambda p: F.concat_ws("|", p["source_name"], p["page_start"].cast("string"), p["page_end"].cast("string"))), ",")
+    return _ruled(kb)[0].select("id", "name", "category", F.md5("body").alias("digest"), refs.alias("refs"), "notes", "stale")
+
+
+@query("x12_stale_rules", "SELECT id, CASE WHEN collection_id IN (SELECT collection_id FROM source WHERE index_status = 'done' AND source_type IN ('rules', 'supplement')) THEN true ELSE stale END AS stale FROM rule")
+def x12r(kb: Base) -> DataFrame:
+    return R.propagate_staleness(kb.entity, kb.rule, kb.source.filter("index_status = 'done'"))[1].select("id", "stale")
 
 
 @query("x12_staleness", "SELECT id, CASE WHEN collection_id IN (SELECT collection_id FROM source WHERE index_status = 'done') THEN true ELSE codex_stale END AS codex_stale FROM entity")
@@ -584,13 +640,31 @@ def c4(kb: Base) -> DataFrame:
     return C.apply_subscriptions(kb.subscription, kb.subscription, gone)
 
 
+def _created(kb: Base) -> tuple[DataFrame, DataFrame]:
+    """A new faction for each, with its notes."""
+    rows = kb.entity.filter("kind = 'faction'").select(F.concat("id", F.lit("-new")).alias("id"), "kind", F.concat(F.lit("New "), "name").alias("name"), "notes", "collection_id")
+    return C.create_entities(kb.entity, kb.edge, rows)
+
+
 @query("c5_create_entities", f"""
     WITH l AS (SELECT id || '-new' AS from_id, collection_id, trim(unnest(regexp_extract_all(notes, '\\[\\[([^\\[\\]]+)\\]\\]', 1))) AS link FROM entity WHERE kind = 'faction' AND collection_id IS NOT NULL),
     r AS (SELECT q.collection_id, q.link, arg_min(f.id, (f.tier, f.id)) AS to_id FROM (SELECT DISTINCT collection_id, link FROM l) q JOIN {FORMS} f ON f.collection_id = q.collection_id AND f.form <> '' AND ((f.tier < 3 AND f.form = lower(q.link)) OR (f.tier = 3 AND f.form = {sql_key('q.link')})) GROUP BY q.collection_id, q.link)
     SELECT from_id, rel_type, count(*) AS n FROM (SELECT from_id, rel_type FROM edge UNION ALL SELECT from_id, 'mentioned' FROM (SELECT DISTINCT l.from_id, r.to_id FROM l JOIN r ON r.collection_id = l.collection_id AND r.link = l.link)) GROUP BY from_id, rel_type""")
 def c5(kb: Base) -> DataFrame:
-    rows = kb.entity.filter("kind = 'faction'").select(F.concat("id", F.lit("-new")).alias("id"), "kind", F.concat(F.lit("New "), "name").alias("name"), "notes", "collection_id")
-    return C.create_entities(kb.entity, kb.edge, rows)[1].groupBy("from_id", "rel_type").agg(F.count("*").alias("n"))
+    return _created(kb)[1].groupBy("from_id", "rel_type").agg(F.count("*").alias("n"))
+
+
+@query("c5_created_rows", "SELECT id || '-new' AS id, kind, 'New ' || name AS name, notes, collection_id, CAST(NULL AS BOOLEAN) AS vault_deleted FROM entity WHERE kind = 'faction'")
+def c5c(kb: Base) -> DataFrame:
+    return _created(kb)[0].filter("id like '%-new'").select("id", "kind", "name", "notes", "collection_id", "vault_deleted")
+
+
+@query("c5_mentions", f"""
+    WITH l AS (SELECT id || '-new' AS from_id, collection_id, trim(unnest(regexp_extract_all(notes, '\\[\\[([^\\[\\]]+)\\]\\]', 1))) AS link FROM entity WHERE kind = 'faction' AND collection_id IS NOT NULL),
+    r AS (SELECT q.collection_id, q.link, arg_min(f.id, (f.tier, f.id)) AS to_id FROM (SELECT DISTINCT collection_id, link FROM l) q JOIN {FORMS} f ON f.collection_id = q.collection_id AND f.form <> '' AND ((f.tier < 3 AND f.form = lower(q.link)) OR (f.tier = 3 AND f.form = {sql_key('q.link')})) GROUP BY q.collection_id, q.link)
+    SELECT DISTINCT l.from_id, r.to_id, 'mentioned' AS rel_type FROM l JOIN r ON r.collection_id = l.collection_id AND r.link = l.link""")
+def c5m(kb: Base) -> DataFrame:
+    return _created(kb)[1].filter("from_id like '%-new' or to_id like '%-new'").select("from_id", "to_id", "rel_type")
 
 
 @query("c6_update_entities", "SELECT id, name || ' II' AS name, array_to_string(aliases, '|') AS aliases, CAST(NULL AS STRING) AS summary, true AS codex_stale FROM entity")

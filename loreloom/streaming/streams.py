@@ -213,6 +213,16 @@ def stream_answers(tokens: DataFrame, path: str, checkpoint: str, once: bool = F
             conf.unset(key) if value is None else conf.set(key, value)
 
 
+def stream_ingest(documents: DataFrame, prepare: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None], checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Prepares and stores the chunks of documents as they arrive. A batch may come again after a failure, so store should
+    replace what it had of the same documents; stream_index has such a store."""
+
+    def each(batch: DataFrame, _: int) -> None:
+        store(prepare(batch))
+
+    return _start(documents, each, checkpoint, once)
+
+
 def ingest(documents: DataFrame, index: str, embedder: Embedder, model: str = "hash", report: Callable[[str, int], None] | None = None) -> DataFrame:
     """Reads documents (doc_id, text, collection_id, source_type) into the index at the given path and returns the changed
     (collection_id, source_type): repaired, chunked, stamped, embedded, and put in place of the documents' older chunks.

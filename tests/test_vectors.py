@@ -19,7 +19,7 @@ def plain_knn(queries, index, scopes, k):
                 for a, b in zip(x, y):
                     sums = [sums[0] + a * b, sums[1] + a * a, sums[2] + b * b]
                 length = math.sqrt(sums[1]) * math.sqrt(sums[2])
-                found.append((kind, 1 - sums[0] / length if length else math.inf, item))
+                found.append((kind, float(np.round(1 - sums[0] / length, V.DIGITS)) if length else math.inf, item))
         for kind in {f[0] for f in found}:
             out[q, kind] = [(item, d) for _, d, item in sorted(f for f in found if f[0] == kind)[:k]]
     return out
