@@ -6,6 +6,7 @@ from bisect import bisect, insort
 from collections.abc import Iterator
 import hashlib
 import hmac
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -38,6 +39,16 @@ GIVEN = dict.fromkeys("""
     Sara Sarah Sharon Silvia Sofia Sophie Susan Susanne Teresa Ursula Victoria Virginia Yvonne Zoe Анна Елена
     """.split(), "f")
 
+# Words that make the name of a place or an institution of a person's name.
+PLACES = frozenset("""
+    Airport Allee Avenue Bahnhof Bay Beach Boulevard Bridge Castle Cathedral Church City College County Falls Gasse Hall Harbour
+    Hill Hospital Hotel House Institute Island Lake Lane Library Mountain Museum Palace Park Platz Plaza Point Prize River Road
+    School Square Stadium Station Straße Street Theatre Tower Town University Valley Village
+    """.split())
+
+# Domains that no mail reaches.
+RESERVED = re.compile(r"(?i)(?:^|\.)(?:example\.(?:com|net|org)|example|test|invalid|localhost)$")
+
 # Country calling codes of two digits; those of one digit are 1 and 7, all others have three.
 CALLING = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
@@ -53,7 +64,11 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Each kind's pattern, and a character without which there can be no match.
 PATTERNS = {
     "email": (re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])"), "@"),
-    "secret": (re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?(?P<own>[A-Za-z0-9+/_\-]{16,})"""), ""),
+    "access_key": (re.compile(r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)"), "IA"),
+    "web_token": (re.compile(r"(?<![\w.-])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}"), "eyJ"),
+    "key_block": (re.compile(r"-----BEGIN (?P<of>[A-Z ]{0,20}PRIVATE KEY)-----(?P<own>[A-Za-z0-9+/=\s]+)-----END (?P=of)-----"), "PRIVATE KEY-----"),
+    "secret": (re.compile(r"""(?i)(?:(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?|\bbearer\s+)(?P<own>[A-Za-z0-9+/_\-]{16,})"""), ""),
+    "ipv6": (re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:.])"), ":"),
     "iban": (re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"), ""),
     "ip": (re.compile(rf"(?<![\d.vV]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)"), "."),
     "ssn": (re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "-"),
@@ -64,13 +79,13 @@ PATTERNS = {
 
 _HAS_DIGITS = re.compile(r"\d[\d .()-]{5}")
 _HAS_TITLE = re.compile("|".join(sorted(TITLES, key=len, reverse=True)))
-_HAS_SECRET = re.compile(r"(?i)token|secret|passw|key")
+_HAS_SECRET = re.compile(r"(?i)token|secret|passw|key|bearer")
 
 
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, form) of the entities, in order and without overlap; earlier kinds in PATTERNS come first.
 
-    Names are found after a title, or by a common given name with a last name. form is what a surrogate must match besides the characters: the gender of a name.
+    Names are found after a title, or by a common given name with a last name, unless they name a place. form is what a surrogate must match besides the characters: the gender of a name.
     """
     if not text:
         return []
@@ -82,16 +97,32 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(text):
             group = "own" if "own" in m.groupdict() else 0
             a, b = m.span(group)
-            if kind == "card" and not _is_card(m[0]):
+            if kind == "card" and not _is_card(m[0]) or kind == "ipv6" and not _is_ipv6(m[0]):
                 continue
             if all(b <= x or y <= a for x, y, *_ in found):
-                found.append((a, b, kind, TITLES[m["title"]] if kind == "name" else ""))
+                found.append((a, b, kind, _gender(m["title"], m["own"]) if kind == "name" else ""))
     for m in _NAMED.finditer(text):
-        if (gender := GIVEN.get(m["given"])) and not any(x[0].islower() for x in m[0].split(" ")) and all(m.end() <= x or y <= m.start() for x, y, *_ in found):
+        words = m[0].split(" ")
+        if (gender := GIVEN.get(m["given"])) and not any(x[0].islower() or x in PLACES for x in words) and not PLACES.intersection(text[m.end() : m.end() + 20].split()[:1]) and all(m.end() <= x or y <= m.start() for x, y, *_ in found):
             found.append((*m.span(), "name", gender))
     return sorted(found)
 
 
+def _gender(title: str, name: str) -> str:
+    """The gender that a title shows, else the one of those who mostly have the given name."""
+    shown, first = TITLES[title], name.split(" ")[0]
+    return GIVEN.get(first, shown) if shown == "n" and " " in name else shown
+
+
+def _is_ipv6(text: str) -> bool:
+    if sum(map(bool, text.split(":"))) < 3:
+        return False  # as of names in a program
+    try:
+        return ipaddress.ip_address(text).version == 6
+    except ValueError:
+        return False
+
+
 def _is_card(text: str) -> bool:
     """Whether a number has the length, the first digit and the check digit of payment cards."""
     digits = [int(c) for c in text if c.isdigit()]
@@ -208,11 +239,15 @@ def _mention(made: str, own: str, text: str) -> str:
     return " ".join(out)
 
 
+#: Kinds in which letter case counts.
+SECRETS = ("secret", "access_key", "web_token", "key_block")
+
+
 def entity_key(kind: str, raw: str, form: str) -> str:
     """What two mentions of one entity share: separators and, but for secrets, letter case don't tell entities apart."""
     if kind in ("card", "iban", "phone", "ssn"):
         raw = re.sub(r"[^0-9A-Za-z+]", "", raw)
-    return f"{kind}|{form}|{raw if kind == 'secret' else raw.lower()}"
+    return f"{kind}|{form}|{raw if kind in SECRETS else raw.lower()}"
 
 
 class _Draw:
@@ -311,6 +346,8 @@ _OWN_NETWORKS = [(10,), (127,), (192, 168), (169, 254), *((172, n) for n in rang
 def _ip(own: str, draw: _Draw) -> str:
     """Another address of the same private network, or another public one."""
     octets = tuple(map(int, own.split(".")))
+    if octets[0] in (0, *range(224, 256)):  # of a group of receivers, or reserved
+        return ".".join(map(str, (octets[0], *(draw.below(256) for _ in range(3)))))
     for network in _OWN_NETWORKS:
         if octets[: len(network)] == network:
             return ".".join(map(str, (*network, *(draw.below(256) for _ in range(4 - len(network))))))
@@ -320,6 +357,13 @@ def _ip(own: str, draw: _Draw) -> str:
             return ".".join(map(str, made))
 
 
+def _ipv6(own: str, draw: _Draw) -> str:
+    """Other hexadecimal digits in the same places; the first group, which tells the kind of network, stays."""
+    first, _, rest = own.partition(":")
+    hexes = "0123456789ABCDEF" if own.upper() == own else "0123456789abcdef"
+    return first + ":" + "".join(hexes[draw.below(16)] if c.isalnum() else c for c in rest)
+
+
 def _calling(digits: str) -> int:
     """Length of the country's calling code at the start of a number with it."""
     return 1 if digits[0] in "17" else 2 if digits[:2] in CALLING else 3
@@ -335,14 +379,24 @@ def surrogate(key: bytes, kind: str, own: str, form: str, attempt: int = 0) -> s
         return _ip(own, draw)
     if kind == "email":
         local, _, domain = own.partition("@")
+        if RESERVED.search(domain):
+            made = _shaped(local.lower(), draw)
+            return f"{made.upper() if own.isupper() else made}@{domain}"
         host, _, top = domain.rpartition(".")
         made = f"{_shaped(local.lower(), draw)}@{_shaped(host.lower(), draw)}"
         return (made.upper() if own.isupper() else made) + f".{top}"
-    if kind == "secret":
+    if kind in ("secret", "key_block"):
         return _secret(own, draw)
+    if kind == "access_key":
+        return own[:4] + _shaped(own[4:], draw)
+    if kind == "web_token":
+        return ".".join(("eyJ" if part.startswith("eyJ") else "") + _shaped(part.removeprefix("eyJ"), draw) for part in own.split("."))
+    if kind == "ipv6":
+        return _ipv6(own, draw)
     plain = re.sub(r"[^0-9A-Za-z]", "", own)
     if kind == "card":
-        digits = [2 + draw.below(5), *(draw.below(10) for _ in plain[1:])]
+        kept = 1 if plain[0] == "4" else 2 if plain[0] in "35" else 4  # what tells the network
+        digits = [*map(int, plain[:kept]), *(draw.below(10) for _ in plain[kept:])]
         digits[-1] = (digits[-1] - _luhn(digits)) % 10
         return _fill(own, "".join(map(str, digits)))
     if kind == "iban":
@@ -351,7 +405,15 @@ def surrogate(key: bytes, kind: str, own: str, form: str, attempt: int = 0) -> s
         return _fill(own, plain[:2] + f"{98 - number % 97:02d}" + body)
     if kind == "phone":
         kept = _calling(plain) if own.startswith("+") else 0
-        return _fill(own, plain[:kept] + _shaped(plain[kept:], draw))
+        made = [plain[:kept], *_shaped(plain[kept:], draw)]
+        # an area begins as areas do, and in the North American plan the exchange after it too
+        for i in (1, *((4,) if len(plain) - kept == 10 and plain[:kept] in ("", "1") else ())):
+            digit = plain[kept + i - 1]
+            made[i] = digit if digit in "01" else str(2 + draw.below(8))
+        return _fill(own, "".join(made))
+    if kind == "ssn" and plain[:3] not in ("000", "666") and plain[0] != "9" and plain[3:5] != "00" and plain[5:] != "0000":
+        area = 1 + draw.below(898)
+        return f"{area + (area >= 666):03d}-{1 + draw.below(99):02d}-{1 + draw.below(9999):04d}"
     return _shaped(own, draw)
 
 
