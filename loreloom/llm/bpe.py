@@ -204,7 +204,9 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     With `decoded_col` also the text that the ids decode to, as decode() makes it, in the same task.
 
     A special token's string inside a text becomes that token, as the tokenizers library has it by default. Null and
-    empty texts get an empty array; a column of the name `ids_col` is replaced; all others stay as they are.
+    empty texts get an empty array; texts of any length are taken whole. Every row gives one row, repeated ones too, and
+    ids play no part; an empty table gives an empty result. A column of the name `ids_col` is replaced; all others stay
+    as they are.
     """
     kept = [c for c in df.columns if c not in (ids_col, decoded_col)]
     source = df.select(*kept)
@@ -248,7 +250,9 @@ def _texts(ids: np.ndarray, ends: np.ndarray, path: str) -> pa.Array:
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df with the string column `text_col`: the text of the ids, special tokens written out.
 
-    Bytes that are not UTF-8 become U+FFFD, null ids the empty text; ids beyond the vocabulary are an error.
+    Bytes that are not UTF-8 become U+FFFD, null ids and empty lists the empty text; lists of any length are taken whole;
+    ids beyond the vocabulary are an error. Every row gives one row, repeated ones too; an empty table gives an empty
+    result; a column of the name `text_col` is replaced, all others stay as they are.
     """
     kept = [c for c in df.columns if c != text_col]
     source = df.select(*kept)
