@@ -21,8 +21,18 @@ WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix has, and how often at most a source goes through it.
 SHARE, REPEATS = 1.5, 2
 
-#: The golden ratio's fraction: slot i has the point frac(i * GOLDEN).
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: The golden ratio's fraction, as a number of 128 bits: slot i has the point frac(i * GOLDEN / 2 ** 128).
+GOLDEN = (math.isqrt(5 << 256) - (1 << 128)) >> 1
+
+
+def point(slot: Column) -> Column:
+    """The golden-ratio point of a slot below 2 ** 63, off by at most 2 ** -34: i * GOLDEN in doubles would have 16 bits
+    of its fraction left at 10 ** 11 slots, so each 16 bits of the slot are multiplied by a fraction of their own."""
+    out = F.lit(0.0)
+    for k in range(0, 64, 16):
+        fraction = ((GOLDEN << k) % (1 << 128)) / (1 << 128)
+        out = out + F.shiftrightunsigned(slot, k).bitwiseAND(0xFFFF) * F.lit(fraction) % 1.0
+    return out % 1.0
 
 
 def n_words(text: Column) -> Column:
@@ -123,7 +133,7 @@ def _schedule(docs: DataFrame, arcs: DataFrame, slots: int) -> DataFrame:
     n = max(1, arcs.count())
     cells = 8 * n
     points = spark.range(slots).withColumnRenamed("id", "slot")
-    points = points.withColumn("point", F.col("slot") * F.lit(GOLDEN) % 1.0).withColumn("cell", F.least(F.floor(F.col("point") * cells), F.lit(cells - 1)))
+    points = points.withColumn("point", point(F.col("slot"))).withColumn("cell", F.least(F.floor(F.col("point") * cells), F.lit(cells - 1)))
     entered = arcs.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lower") * cells), F.least(F.floor(F.col("upper") * cells), F.lit(cells - 1)))))
     highest = arcs.agg(F.max("upper")).first()[0]
     inside = (F.col("point") >= F.col("lower")) & ((F.col("point") < F.col("upper")) | (F.col("upper") == F.lit(highest or 1.0)))

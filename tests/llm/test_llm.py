@@ -501,3 +501,12 @@ def test_kinds_and_forms(text, kinds):
             assert new.split(".")[0] == own.split(".")[0]
         elif x["kind"] == "email":
             assert ("example.com" in own) == new.endswith("@example.com")
+
+
+def test_points_of_the_mix_keep_their_fraction_in_late_slots(spark):
+    slots = [0, 1, 2, 65_535, 65_536, 10**6 + 7, 10**11 + 3, 10**13 + 12_345, 2**47 - 1]
+    rows = spark.createDataFrame([(s,) for s in slots], "slot long").select("slot", mixing.point(F.col("slot")).alias("point")).collect()
+    for r in rows:
+        exact = r["slot"] * mixing.GOLDEN % (1 << 128) / (1 << 128)
+        off = abs(r["point"] - exact)
+        assert min(off, 1 - off) < 2.0**-34
