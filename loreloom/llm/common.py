@@ -31,9 +31,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, so that lost executors do not undo finished work."""
-    shared_folder(df.sparkSession)
+#: Rows of a few numbers that one partition may hold.
+NARROW_ROWS = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Checkpoint to the shared folder, so that lost executors do not undo finished work.
+
+    rows: how many rows df has at most, all of a few numbers; its partitions are then no more than they or the cluster's
+    cores need, so that steps over few rows don't write files for every partition of the text that they came from.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // NARROW_ROWS)))
     return df.checkpoint()
 
 
@@ -167,19 +178,20 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + shift
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(id, component): the smallest id that the undirected edges (a, b) reach from each id.
 
     Each round takes the smallest label among a node and its neighbours and then that label's own label, until no
-    label changes. Edges and labels stay distributed; only the number of changes comes to the driver.
+    label changes. Edges and labels stay distributed; only the number of changes comes to the driver. rows: about how
+    many edges there are, if that is known.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component")))
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), rows and 2 * rows)
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component")), rows and 2 * rows)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         lower = labels.join(near, "id").select("id", "component", F.least("component", "near").alias("next"))
         jump = labels.select(F.col("id").alias("next"), F.col("component").alias("jumped"))
-        after = cut(lower.join(jump, "next").select("id", F.col("component").alias("before"), F.least("next", "jumped").alias("component")))
+        after = cut(lower.join(jump, "next").select("id", F.col("component").alias("before"), F.least("next", "jumped").alias("component")), rows and 2 * rows)
         labels = after.select("id", "component")
         if not after.filter("before <> component").limit(1).count():
             return labels

@@ -262,17 +262,18 @@ def joining(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> list[
     return out
 
 
-def _within_groups(groups: DataFrame, pool: DataFrame, percent: int, links: Links) -> DataFrame:
+def _within_groups(groups: DataFrame, pool: DataFrame, percent: int, links: Links, rows: int) -> DataFrame:
     """Links (a, b) between classes of one group that have different labels, of groups (class_id, grp, c).
 
     A group's classes are dealt into blocks of about BLOCK classes of like set size, those of its commonest label apart.
     Blocks meet blocks whose sizes allow a link, unless both hold the commonest label; a task compares all classes of
-    two blocks in matrices and returns links that join labels, fewer than the classes it has.
+    two blocks in matrices and returns links that join labels, fewer than the classes it has. rows: how many groups has
+    at most.
     """
     most = groups.groupBy("grp", "c").count().groupBy("grp").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
     level = F.floor(F.log("n_shingles") / math.log(100 / min(percent, 99))).cast("int")
     placed = groups.join(most, "grp").select("class_id", "grp", "c", (F.col("c") == F.col("main")).alias("main"))
-    placed = cut(placed.join(pool.select("class_id", "n_shingles"), "class_id").withColumn("level", level))
+    placed = cut(placed.join(pool.select("class_id", "n_shingles"), "class_id").withColumn("level", level), rows)
     keys = ["grp", "level", "main"]
     counted = placed.groupBy(*keys).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("parts"))
     dealt = placed.join(counted, keys).withColumn("part", F.pmod(F.xxhash64("class_id"), "parts")).drop("parts", "n_shingles")
@@ -298,8 +299,10 @@ def link_classes(buckets: DataFrame, scores: DataFrame, pool: DataFrame, percent
     """(class_id, component) of the classes that links join, of buckets (band, class_id, n) of n classes.
 
     scores: (class_id, score), how central a class is. pool: (class_id, n_shingles, ..., grams) of all classes in
-    buckets. verified gives those pairs (a, b) whose sets agree, within the links between two blocks of classes.
+    buckets. A class has a row in each of its buckets, so no table of labels or groups has more rows than buckets.
+    verified gives those pairs (a, b) whose sets agree, within the links between two blocks of classes.
     """
+    rows = buckets.count()
     scored = buckets.join(scores, "class_id")
     centres = scored.groupBy("band").agg(F.max_by("class_id", F.struct("score", -F.col("class_id"))).alias("a"), F.max("score").alias("s"))
     spokes = buckets.join(centres, "band").filter("class_id <> a").groupBy(F.col("class_id").alias("b")).agg(F.max_by("a", F.struct("s", -F.col("a"))).alias("a"))
@@ -308,15 +311,15 @@ def link_classes(buckets: DataFrame, scores: DataFrame, pool: DataFrame, percent
     # a link leads from each class to a more central one: two jumps give labels that joined classes share, mostly all
     up = lambda x: links.select(F.col("b").alias(x), F.col("a").alias(f"{x}_up"))
     jump = links.join(up("a"), "a", "left").select("b", F.coalesce("a_up", "a").alias("a"))
-    label = cut(jump.join(jump.select(F.col("b").alias("a"), F.col("a").alias("a_up")), "a", "left").select(F.col("b").alias("class_id"), F.coalesce("a_up", "a").alias("label")))
+    label = cut(jump.join(jump.select(F.col("b").alias("a"), F.col("a").alias("a_up")), "a", "left").select(F.col("b").alias("class_id"), F.coalesce("a_up", "a").alias("label")), rows)
 
     named = buckets.join(label, "class_id", "left").select("band", "class_id", "n", F.coalesce("label", "class_id").alias("c"))
     hub = centres.join(label.withColumnRenamed("class_id", "a"), "a", "left").select("band", F.coalesce("label", "a").alias("grp"))
     mixed = named.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").join(hub, "band").select("band", "grp")
-    named = cut(named.join(mixed, "band"))
+    named = cut(named.join(mixed, "band"), rows)
 
-    groups = cut(named.filter(F.col("n") > SMALL).select("class_id", "grp", "c").distinct())
-    in_groups = _within_groups(groups, pool, percent, within)
+    groups = cut(named.filter(F.col("n") > SMALL).select("class_id", "grp", "c").distinct(), rows)
+    in_groups = _within_groups(groups, pool, percent, within, rows)
 
     own = groups.groupBy("class_id").agg(F.min("grp").alias("grp"))
     few = named.filter(F.col("n") <= SMALL).select("band", "class_id", "c").join(own, "class_id", "left")
@@ -328,9 +331,9 @@ def link_classes(buckets: DataFrame, scores: DataFrame, pool: DataFrame, percent
     of = lambda x: label.select(F.col("class_id").alias(x), F.col("label").alias(f"c_{x}"))
     joined = links.union(in_groups).union(in_pairs).join(of("a"), "a", "left").join(of("b"), "b", "left")
     joined = joined.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")).filter("a <> b")
-    component = components(joined)
+    component = components(joined, rows)
     label = label.join(component.withColumnRenamed("id", "label"), "label", "left").select("class_id", F.coalesce("component", "label").alias("component"))
-    return label.union(component.join(label.select(F.col("class_id").alias("id")), "id", "left_anti").select("id", "component"))
+    return cut(label.union(component.join(label.select(F.col("class_id").alias("id")), "id", "left_anti").select("id", "component")), rows)
 
 
 def by_component(rows: DataFrame, classes: DataFrame, label: DataFrame, id_col: str) -> DataFrame:
@@ -369,7 +372,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     banded = bands(classes)
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = cut(banded.join(shared, "band"))
+    buckets = cut(banded.join(shared, "band"), BANDS * classes.count())
     scores = buckets.groupBy("class_id").agg(F.sum("n").alias("score"))
 
     # one text of each class in a bucket
