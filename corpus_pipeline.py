@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreloom.llm import bpe, exact_dedup, minhash, mixing, toxicity
+from loreloom.llm.common import cut, shared_folder
 from loreloom.llm.queries import vocabulary_path
 
 #: Each slot of the mix is a block of so many words.
@@ -23,7 +24,7 @@ def _with(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 def _one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that found marks to stay; of rows with the same id and text one."""
-    marked = found.filter("stays")
+    marked = cut(found.filter("stays").select("doc_id", "text_hash"))
     kept = _with(docs, marked, "left_semi")
     repeated = marked.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
@@ -100,8 +101,6 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each stage's rows are written to the shared folder and read again, and go
     once the next stage's are written."""
-    from loreloom.llm.common import shared_folder
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     before = None
