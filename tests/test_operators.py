@@ -108,6 +108,20 @@ def test_merge_follows_chains(spark):
     assert {tuple(r) for r in N.final_survivors(merges).collect()} == {("a", "c"), ("b", "c")}
 
 
+def test_citations_meet_each_page_once(spark):
+    sources = spark.createDataFrame([("s", "f.pdf"), ("t", "f.pdf"), ("u", "g.pdf")], "id string, filename string")
+    spans = [("s", "a", 1, 2), ("s", "b", 2, 9), ("t", "c", 2, 4), ("s", "bad", 5, 3), ("u", "d", 7, 7), ("s", "open", 1, None)]
+    chunks = spark.createDataFrame(spans, "source_id string, chunk_id string, page_start long, page_end long")
+    asked = [(i, f, p) for i, (f, p) in enumerate([("f.pdf", 1), ("f.pdf", 2), ("f.pdf", 3), ("f.pdf", 9), ("f.pdf", 10), ("f.pdf", None), ("g.pdf", 6), ("g.pdf", 7), ("none", 1), (None, 1)])]
+    found = S.resolve_citations(spark.createDataFrame(asked, "citation_id long, source_name string, page long"), sources, chunks)
+    assert [r.chunk_id for r in found.orderBy("citation_id").collect()] == ["a", "a", "b", "b", None, "a", None, "d", None, None]
+
+    # no row for each pair of a chunk and a citation of one source
+    joins = [line for line in S.resolve_citations(spark.createDataFrame(asked, "citation_id long, source_name string, page long"), sources, chunks)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not any("page_end" in line or "page_start" in line for line in joins)
+
+
+
 def test_decisions_are_total(spark):
     rows = [(b, t, f) for b in (None, "x", "y") for t in ("x", "y") for f in (None, "x", "y")]
     df = spark.createDataFrame(rows, "b string, t string, f string")
