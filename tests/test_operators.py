@@ -108,6 +108,18 @@ def test_merge_follows_chains(spark):
     assert {tuple(r) for r in N.final_survivors(merges).collect()} == {("a", "c"), ("b", "c")}
 
 
+def test_merged_findings_meet_their_parties_by_keys(spark):
+    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    entities = spark.createDataFrame([Row(id=i, kind="npc", name=i, aliases=[], summary=None, notes=None, codex_stale=False, vault_deleted=None, collection_id="c", campaign_id=None) for i in "abcd"], "id string, kind string, name string, aliases array<string>, summary string, notes string, codex_stale boolean, vault_deleted boolean, collection_id string, campaign_id string")
+    edges = spark.createDataFrame([], "edge_id long, from_id string, to_id string, rel_type string, notes string, created_at timestamp")
+    findings = spark.createDataFrame([("1", ["a", "b"], False), ("2", ["c"], False), ("3", None, False), ("4", ["b", "b"], True), ("5", [], False)], "id string, parties array<string>, resolved boolean")
+    merges = spark.createDataFrame([("b", "a")], "loser string, survivor string")
+    collections, subs = spark.createDataFrame([], "id string, name string, owner_campaign string"), spark.createDataFrame([], "campaign_id string, collection_id string")
+    after = N.merge_entities(entities, edges, findings, merges, collections, subs)["findings"]
+    assert {r.id: r.resolved for r in after.collect()} == {"1": True, "2": False, "3": False, "4": True, "5": False}
+    assert "NestedLoop" not in after._jdf.queryExecution().executedPlan().toString()
+
+
 def test_citations_meet_each_page_once(spark):
     sources = spark.createDataFrame([("s", "f.pdf"), ("t", "f.pdf"), ("u", "g.pdf")], "id string, filename string")
     spans = [("s", "a", 1, 2), ("s", "b", 2, 9), ("t", "c", 2, 4), ("s", "bad", 5, 3), ("u", "d", 7, 7), ("s", "open", 1, None)]
