@@ -65,6 +65,18 @@ def test_similarity_is_symmetric_and_join_finds_all(spark):
         assert found == {p for p, s in measured.items() if s >= limit - 1e-12}
 
 
+def test_similar_keys_of_numbers_other_scripts_and_few_known_trigrams(spark):
+    random.seed(5)
+    keys = {f"customer {random.randrange(3000):09d}" for _ in range(60)} | {"aaaaaaaa", "aaaaaaa", "aaaaaaaab", "\U0001f409 dragon", "\U0001f409 dragons", "дракон", "драконы", "x", "xy"}
+    df = spark.createDataFrame([(b, k) for k in sorted(keys) for b in (1, 2)], "blk int, key string")
+    one = df.filter("blk = 1").drop("blk")
+    pairs = one.select(F.col("key").alias("a")).crossJoin(one.select(F.col("key").alias("b")))
+    measured = [(r.a, r.b) for r in pairs.select("a", "b", N.similarity(F.col("a"), F.col("b")).alias("s")).filter(F.col("s") >= N.SUGGEST - 1e-12).collect()]
+    for head in (N.HEAD, 3):
+        found = [(r.blk, r.a, r.b) for r in N.similar_keys(df, df, ["blk"], N.SUGGEST, head).collect()]
+        assert sorted(found) == sorted((b, *p) for p in measured for b in (1, 2))
+
+
 def entities(spark, rows):
     full = {"kind": "npc", "aliases": [], "summary": None, "notes": None, "codex_article": None, "codex_stale": None, "vault_deleted": None, "collection_id": "c", "campaign_id": None}
     schema = "id string, kind string, name string, aliases array<string>, summary string, notes string, codex_article string, codex_stale boolean, vault_deleted boolean, collection_id string, campaign_id string"
