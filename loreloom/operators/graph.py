@@ -135,7 +135,16 @@ def link_forward_refs(new: DataFrame, notes: DataFrame, scope: str = "campaign_i
     """(from_id, to_id): live entities whose notes link the exact name of a new entity (scope, id, name)."""
     links = extract_links(notes.withColumn("_k", F.struct(scope, "id")), "_k", "notes").select(F.col(f"_k.{scope}").alias(scope), F.col("_k.id").alias("from_id"), F.lower("link").alias("form"))
     named = new.select(scope, F.col("id").alias("to_id"), F.lower("name").alias("form"))
-    return links.join(named, [scope, "form"]).filter("from_id <> to_id").select("from_id", "to_id").distinct()
+    links, named = links.distinct(), named.distinct()
+    # many entities may link one name that many have, so there are many more pairs than rows: they are made by tasks that
+    # share a name, and not compared with one another where they can't come twice, as for entities of one name and scope
+    parts, spark = 16, links.sparkSession
+    dealt = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    named = named.join(links.select(scope, "form").distinct(), [scope, "form"], "left_semi").withColumn("n", F.count("*").over(Window.partitionBy("to_id")))
+    spread = named.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    links = links.withColumn("part", F.pmod(F.xxhash64("from_id"), F.lit(parts)).cast("int")).repartition(dealt, scope, "form", "part")
+    pairs = lambda own: links.join(own, [scope, "form", "part"]).filter("from_id <> to_id").select("from_id", "to_id")
+    return pairs(spread.filter("n = 1")).union(pairs(spread.filter("n > 1")).distinct())
 
 
 def resync_wikilinks(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

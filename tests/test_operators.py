@@ -95,6 +95,15 @@ def entities(spark, rows):
     return spark.createDataFrame([tuple((full | r).get(n) for n in names) for r in rows], schema)
 
 
+def test_forward_refs_come_once_and_are_not_compared(spark):
+    notes = entities(spark, [{"id": f"n{i}", "name": "n", "notes": "[[Red]] [[red]] [[Blue]]"} for i in range(40)])
+    new = entities(spark, [{"id": f"r{i}", "name": "Red"} for i in range(50)] + [{"id": "two", "name": "Red"}, {"id": "two", "name": "blue"}, {"id": "n3", "name": "RED"}])
+    found = G.link_forward_refs(new, notes, "collection_id")
+    assert sorted(map(tuple, found.collect())) == sorted((f"n{i}", t) for i in range(40) for t in [f"r{j}" for j in range(50)] + ["two", "n3"] if t != f"n{i}")
+    top = found._jdf.queryExecution().optimizedPlan()
+    assert top.nodeName() == "Union" and sum("Aggregate" == top.children().apply(i).nodeName() for i in range(2)) == 1
+
+
 def test_links_resolve_by_name_then_alias_then_key(spark):
     own = entities(spark, [{"id": "npc:1", "name": "Free League"}, {"id": "npc:2", "name": "X", "aliases": ["free league", "Bob"]}, {"id": "npc:3", "name": "The Bobs"}])
     links = spark.createDataFrame([("c", x) for x in ("FREE LEAGUE", "bob", "The  Free League", "nobody")], "collection_id string, link string")
