@@ -293,3 +293,24 @@ def test_state_versions(spark, tmp_path):
     assert [tuple(r) for r in vault.list_states(spark, str(tmp_path / "s")).collect()] == [(1, 1)]
     with pytest.raises(Exception):
         vault.snapshot_state(state, str(tmp_path / "s"), 1)
+
+
+def test_notes_of_a_campaign_are_made_once(spark, monkeypatch):
+    """However many questions a campaign has, its entities come once; every question gets its campaign's notes."""
+    from loreloom.operators import context as X
+    from loreloom.plans import retrieval
+
+    made, seen = X.entity_context, []
+    monkeypatch.setattr(X, "entity_context", lambda own, told, hits, by="query_id": seen.append((own.count(), told.count(), hits.count())) or made(own, told, hits, by))
+    questions = spark.createDataFrame([(f"q{i}", ["c1", "c2", None][i % 3], [1.0, 0.0], "en", "why") for i in range(30)], "query_id string, campaign_id string, embedding array<double>, language string, text string")
+    subs = spark.createDataFrame([("c1", "k1")], "campaign_id string, collection_id string")
+    entities = spark.createDataFrame([("e1", "npc", "Ada", "c1", None, None), ("e2", "npc", "Bo", "c2", None, None), ("e3", "npc", "Cy", None, "k1", None)], "id string, kind string, name string, campaign_id string, collection_id string, vault_deleted boolean")
+    sessions = spark.createDataFrame([("s1", "c1", 1, "Start", None, None, None)], "id string, campaign_id string, session_number int, title string, date_played string, notes string, vault_deleted boolean")
+    rules = spark.createDataFrame([], "item_id string, collection_id string, embedding array<double>, vault_deleted boolean, name string, category string, body string, notes string, page_refs array<struct<source_name:string,page_start:long,page_end:long>>")
+    chunks = spark.createDataFrame([], "item_id string, source_id string, collection_id string, embedding array<double>, text string, page_start long, page_end long, section_heading string, source_type string")
+    sources = spark.createDataFrame([], "id string, filename string, display_name string, collection_id string, source_type string")
+    got = {r.query_id: r.entity_context or "" for r in retrieval.retrieve(questions, subs, entities, sessions, rules, chunks, sources).select("query_id", "entity_context").collect()}
+    assert seen == [(2, 1, 1)] and len(got) == 30
+    for i in range(30):
+        text = got[f"q{i}"]
+        assert [x in text for x in ("Ada", "Bo", "Cy", "Start")] == [[True, False, True, True], [False, True, False, False], [False] * 4][i % 3]
