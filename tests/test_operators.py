@@ -314,3 +314,14 @@ def test_notes_of_a_campaign_are_made_once(spark, monkeypatch):
     for i in range(30):
         text = got[f"q{i}"]
         assert [x in text for x in ("Ada", "Bo", "Cy", "Start")] == [[True, False, True, True], [False, True, False, False], [False] * 4][i % 3]
+
+
+def test_layout_packs_glyphs(spark):
+    """Pages whose glyphs lie scattered are laid out whole, and where they lie together no row a glyph is shuffled."""
+    text = ["Head", "\n", *"body one", "\r", "\r", *"next ", None, *"tail"]
+    rows = [(d, p, i, ch, 14.0 if ch == "Head" else 10.0, None, 0.0) for d in (1, 2) for p in (1, 2) for i, ch in enumerate(text)] + [(3, 1, 0, "\n", 10.0, False, 0.0), (None, 1, 0, "x", 10.0, False, 0.0)]
+    schema = "doc_id long, page_num int, pos int, ch string, font_size double, is_bold boolean, y double"
+    want = {(d, p): "Head\n\nbody one\nnext \ntail\n" for d in (1, 2) for p in (1, 2)}
+    for glyphs in (spark.createDataFrame(rows, schema).coalesce(1), spark.createDataFrame(rows[::-1], schema).repartition(7)):
+        assert {(r.doc_id, r.page_num): r.text for r in C.layout_pages(glyphs).collect()} == want
+    assert C._runs(spark.createDataFrame(rows, schema).coalesce(1), ["doc_id", "page_num"]).count() == 5
