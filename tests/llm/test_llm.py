@@ -296,6 +296,51 @@ def test_toxicity_of_whole_texts(spark):
         assert np.allclose(got, want, atol=1e-8)
 
 
+def plain_ngram_ratio(gram, counts):
+    """Log of the toxic over the ordinary chance of the last byte, from Counters of the classes' n-grams."""
+    levels = {toxicity.ORDER: counts}
+    for k in range(toxicity.ORDER - 1, 2, -1):
+        levels[k] = [Counter(g[1:] for g in level) for level in levels[k + 1]]
+    pairs = Counter(g[1:] for g in {*levels[3][0], *levels[3][1]})
+    both = Counter(g[1:] for g in pairs)
+
+    def chance(g, c):
+        if len(g) == 1:
+            return (max(both[g] - 0.75, 0) + 0.75 * len(both) / 256) / sum(both.values())
+        n = {k: v for k, v in (levels[len(g)][c] if len(g) > 2 else pairs).items() if k[:-1] == g[:-1]}
+        below = chance(g[1:], c)
+        return (max(n.get(g, 0) - 0.75, 0) + 0.75 * len(n) * below) / sum(n.values()) if n else below
+
+    return float(np.log(chance(gram, 1)) - np.log(chance(gram, 0)))
+
+
+def test_toxicity_rates_whole_texts_by_contexts(spark):
+    random.seed(8)
+    grams = lambda t: [(b"    " + t.encode().lower())[i : i + 5] for i in range(len(t.encode()))]
+    known = [("".join(random.choices("abcdé漢字", k=60)), i % 2) for i in range(8)]
+    texts = [("".join(random.choices("abcdexyzé漢", k=n))) for n in (1, 7, 40)] + ["", None]
+    counts = [Counter(g for t, c in known if c == want for g in grams(t)) for want in range(2)]
+    frame = spark.createDataFrame(known, "text string, toxic int")
+    docs = spark.createDataFrame([(None if i else 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(sum(plain_ngram_ratio(g, counts) for g in grams(t)) / len(grams(t)) if t else 0.0 for t in texts)
+    for head in (0, 10, toxicity.HEAD):
+        got = sorted(r.whole for r in toxicity.log_ratios(docs, toxicity.word_counts(frame), head, toxicity.ngram_counts(frame)).collect())
+        assert np.allclose(got, want, atol=1e-8)
+
+
+def test_toxicity_hears_the_whole_text(spark):
+    """Classes of the same words in another order: only what stands before a word tells them apart."""
+    random.seed(6)
+    rows = []
+    for i in range(300):
+        pairs, toxic = random.choices(["red fox", "old oak", "big bee"], k=12), i % 3 == 0
+        rows.append((i, " ".join(" ".join(reversed(p.split())) if toxic else p for p in pairs) + ".", int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = by_id(toxicity.score(df.select("doc_id", "text"), df.select("doc_id", "toxic")))
+    held = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert sum(p == y for p, y in held) >= 0.95 * len(held)
+
+
 def test_toxicity_learns_from_the_rest_of_the_calibration_fold(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
     random.seed(5)
