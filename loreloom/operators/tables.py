@@ -29,9 +29,14 @@ def _place(df: DataFrame) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("source_id"), F.lit(BUCKETS)).cast("int"))
 
 
+def _by_folder(df: DataFrame) -> DataFrame:
+    """df dealt out by folder, so that a folder gets few files and not one from each task; large ones are split."""
+    return df.hint("rebalance", F.col("collection_id"), F.col("bucket"))
+
+
 def write_index(index: DataFrame, path: str) -> None:
     """A new stored index: a folder for each collection and bucket of sources, so that a scope reads its own files only."""
-    _place(index).write.mode("overwrite").partitionBy("collection_id", "bucket").parquet(path)
+    _by_folder(_place(index)).write.mode("overwrite").partitionBy("collection_id", "bucket").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -55,7 +60,7 @@ def replace_in_index(new: DataFrame, sources: DataFrame, path: str) -> None:
         old = spark.read.parquet(path)
         kept = old.join(touched, ["collection_id", "bucket"], "left_semi").join(gone.select("collection_id", "source_id"), ["collection_id", "source_id"], "left_anti")
         merged = kept.select(old.columns).unionByName(merged.select(old.columns))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection_id", "bucket").parquet(path)
+    _by_folder(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection_id", "bucket").parquet(path)
     # a folder that lost all its chunks isn't written, so what it had is still there
     left = spark.read.schema(merged.schema).parquet(path).join(touched, ["collection_id", "bucket"], "left_semi")
     stale = left.join(gone.select("collection_id", "source_id"), ["collection_id", "source_id"], "left_semi").join(new.select("collection_id", "source_id").distinct(), ["collection_id", "source_id"], "left_anti")

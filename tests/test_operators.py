@@ -127,6 +127,34 @@ def test_collapse_does_not_depend_on_order(spark):
         assert {tuple(r) for r in G.collapse_edges(df).collect()} == want
 
 
+def exchanges(df):
+    return str(df._jdf.queryExecution().optimizedPlan()), df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_relations_are_collapsed_in_one_exchange(spark):
+    columns = "edge_id long, from_id string, to_id string, rel_type string, notes string, created_at timestamp"
+    old = spark.createDataFrame([(1, "a", "b", "mentioned", None, None), (2, "b", "a", "knows", None, None), (3, "c", "d", "mentioned", None, None), (3, "c", "d", "mentioned", None, None), (4, "c", "d", "owns", None, None)], columns)
+    new = spark.createDataFrame([(5, "a", "b", "knows", "x", None), (6, "b", "a", "knows", None, None)], columns)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = G.relate_collapsing(old, new)
+        assert exchanges(made)[1] == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(r.edge_id for r in made.collect()) == [3, 3, 4, 5, 6]
+
+
+def test_reports_of_a_reconciliation_shuffle_no_contents(spark):
+    from loreloom.plans.graph_queries import _vault
+    from loreloom.plans.registry import Base
+
+    tables = _vault(Base(spark, "/root/testdata/sf0.001"))
+    assert all(t.inputFiles() for t in tables) and len({tuple(sorted(t.inputFiles())) for t in tables}) == 1
+    plan = Y.sync_decisions(*tables).groupBy("action").count()._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("LogicalRDD") if "LogicalRDD" in plan else plan.index("Relation")]
+    assert "min_by(content" not in above
+
+
 def test_deleted_rows_are_nowhere(spark):
     own = entities(spark, [{"id": f"npc:{i}", "name": "Same", "vault_deleted": d} for i, d in enumerate((None, False, True))])
     assert {r.id for r in S.live(own).collect()} == {"npc:0", "npc:1"}
@@ -234,6 +262,15 @@ def test_chunks_are_packed_in_order(spark):
     assert chunks == {k: packed(v) for k, v in sentences.items()}
 
 
+def test_chunks_are_made_where_documents_are(spark):
+    docs = spark.createDataFrame([(1, "Combat Rules\n\nFirst. " + "Word after word goes on. " * 90), (None, "Of no id."), (2, " \n "), (3, None)], "doc_id long, text string")
+    made = C.chunk_documents(docs)
+    assert exchanges(made)[1] == 0
+    rows = made.orderBy("doc_id", "ordinal").collect()
+    assert [(r.doc_id, r.ordinal) for r in rows] == [(None, 0), (1, 0), (1, 1), (1, 2)]
+    assert [r.section_heading for r in rows] == ["", *["Combat Rules"] * 3] and all(r.end == r.start + len(r.text) for r in rows)
+
+
 def test_chunk_pages_and_headings(spark):
     pages = spark.createDataFrame([(1, 1, "Combat Rules\n\nFirst text here."), (1, 2, "Second page here.")], "doc_id long, page_num int, text string")
     got = C.chunk_documents(C.assemble_documents(pages)).collect()

@@ -2,6 +2,8 @@
 
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from loreloom.operators import tables as TB
 from loreloom.operators import vectors as V
 from loreloom.streaming import streams as ST
@@ -24,6 +26,13 @@ def test_sources_are_replaced(spark, tmp_path):
     assert TB.read_index(spark, path).count() == len(want) - 1 and not list(Path(path).glob("collection_id=other/bucket=*"))
 
 
+def test_a_folder_of_the_index_gets_few_files(spark, tmp_path):
+    rows = spark.range(0, 400, 1, 16).select(F.lit("all").alias("collection_id"), F.col("id").cast("string").alias("source_id"))
+    TB.replace_in_index(rows, rows, str(tmp_path / "index"))
+    files = [p.parent for p in (tmp_path / "index").rglob("*.parquet")]
+    assert len(files) == len(set(files)) == TB.BUCKETS and TB.read_index(spark, str(tmp_path / "index")).count() == 400
+
+
 def test_stream_into_the_index(spark, tmp_path):
     """A document that comes again replaces itself, one that comes blank goes, and a batch run twice changes nothing."""
     schema, index, stale, told = "doc_id long, text string, collection_id string, source_type string", str(tmp_path / "index"), [], []
