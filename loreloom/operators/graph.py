@@ -59,11 +59,13 @@ def upsert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
 
 def relate_collapsing(edges: DataFrame, new: DataFrame) -> DataFrame:
     """edges with the new ones, of which only those that say most remain for each pair of ends that a new one joins."""
-    pairs = new.select(canonical_pair().alias("_p")).distinct()
-    with_pair = edges.withColumn("_p", canonical_pair())
-    touched = with_pair.join(pairs, "_p", "left_semi").select(edges.columns)
-    rest = with_pair.join(pairs, "_p", "left_anti").select(edges.columns)
-    return rest.unionByName(collapse_edges(upsert_edges(touched, new)))
+    both = edges.withColumn("_new", F.lit(0)).unionByName(new.select(edges.columns).withColumn("_new", F.lit(1)))
+    both = both.withColumns({"_p": canonical_pair(), "_tier": tier(F.col("rel_type"))})
+    # one exchange and one sort serve both windows: the pair's rows lie together, and in it those of an edge
+    order = Window.partitionBy("_p", "from_id", "to_id", "rel_type").orderBy(F.col("_new").desc(), F.col("created_at").desc_nulls_last(), *(c for c in edges.columns if c not in ("from_id", "to_id", "rel_type", "created_at")))
+    pair = Window.partitionBy("_p")
+    marked = both.withColumn("_n", F.row_number().over(order)).withColumns({"_touched": F.max("_new").over(pair), "_best": F.max("_tier").over(pair)})
+    return marked.filter("_touched = 0 or (_tier = _best and _n = 1)").select(edges.columns)
 
 
 def delete_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
