@@ -35,10 +35,13 @@ def sync_decisions(records: DataFrame, files: DataFrame, state: DataFrame) -> Da
     records: record, key, content; files: key, record (null if unreadable), content; state: record, key, synced_hash,
     conflict.
     """
-    found = files.filter("record is not null").groupBy("record").agg(F.min(F.struct("key", "content")).alias("f")).select("record", F.col("f.key").alias("file_key"), F.col("f.content").alias("file_content"))
+    # contents are hashed where they are, and go through the joins only for who reads them
+    hashed = files.filter("record is not null").withColumn("file_hash", T.content_hash(F.col("content")))
+    first = F.struct("key", "file_hash")
+    found = hashed.groupBy("record").agg(F.min("key").alias("file_key"), F.min_by("content", first).alias("file_content"), F.min_by("file_hash", first).alias("file_hash"))
     known = state.select("record", F.col("synced_hash").alias("base_hash"), F.coalesce("conflict", F.lit(False)).alias("was_conflict"))
-    wide = records.select("record", "key", "content").join(found, "record", "left").join(known, "record", "left")
-    wide = wide.withColumns({"table_hash": T.content_hash(F.col("content")), "file_hash": T.content_hash(F.col("file_content")), "was_conflict": F.coalesce("was_conflict", F.lit(False))})
+    wide = records.select("record", "key", "content", T.content_hash(F.col("content")).alias("table_hash")).join(found, "record", "left").join(known, "record", "left")
+    wide = wide.withColumn("was_conflict", F.coalesce("was_conflict", F.lit(False))).select("record", "key", "content", "file_key", "file_content", "base_hash", "was_conflict", "table_hash", "file_hash")
     return wide.withColumn("action", decide(F.col("base_hash"), F.col("table_hash"), F.col("file_hash")))
 
 
