@@ -67,6 +67,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # blocks of one pass follow each other, so a pass takes one range of words
     keys = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source")]
     taken = takes.groupBy(*keys, "row", "pass").agg(F.min("first_word").alias("_first"), F.max(F.col("first_word") + F.col("n_words")).alias("_last"), F.min("slot").alias("_slot")).drop("row", "pass")
+    # a plan of its own: as one with the texts' join and sort, adaptive execution plans all of it anew at each of its stages
+    taken = cut(taken)
     # rows of equal id, text and source share what is taken of them
     repeated = described.groupBy("doc_id", "text_hash", "source").count().filter("count > 1").limit(1).count()
     own = docs.dropDuplicates(["doc_id", "text", "source"]) if repeated else docs

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RollingHash, chunks, codes, cut, map_texts, text_bytes, words
@@ -182,22 +182,26 @@ def _pairs(level: DataFrame) -> DataFrame:
 
 
 def chances(wanted: DataFrame, levels: dict[int, DataFrame], order: int = ORDER) -> DataFrame:
-    """(gram, toxic, ordinary): the chance of the last byte of each distinct n-gram wanted, given those before it.
+    """(gram, toxic, ordinary): the chance of the last byte of each distinct n-gram wanted, given those before it; of the
+    shared order, of all pairs of bytes.
 
     It is the n-gram's discounted share of its context's count, and the context's weight times the chance at the next
-    shorter order; of a context that the class doesn't have, that chance alone. All tables stay distributed.
+    shorter order; of a context that the class doesn't have, that chance alone. The n-grams wanted and the counted ones
+    meet by their context, which has at most 256 of either, so one exchange gives an order both counts. All tables stay
+    distributed but the pairs, which are broadcast.
     """
     if order == SHARED:
-        return wanted.join(_pairs(levels[SHARED]), "gram", "left").select("gram", *(F.col("chance").alias(c) for c in CLASSES))
-    shorter = chances(wanted.select(_suffix(order - 1).alias("gram")).distinct(), levels, order - 1)
+        return F.broadcast(_pairs(levels[SHARED])).select("gram", *(F.col("chance").alias(c) for c in CLASSES))
+    shorter = chances(wanted.select(_suffix(order - 1).alias("gram")), levels, order - 1)
     shorter = shorter.select(F.col("gram").alias("suffix"), *(F.col(c).alias(f"{c}_below") for c in CLASSES))
-    sums = [f(c) for c in CLASSES for f in (lambda c: F.sum(c).alias(f"{c}_total"), lambda c: F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_spread"))]
-    contexts = levels[order].groupBy(F.shiftright("gram", 8).alias("context")).agg(*sums)
-    known = wanted.join(levels[order], "gram", "left").withColumns({"context": F.shiftright("gram", 8), "suffix": _suffix(order - 1)})
-    known = known.join(contexts, "context", "left").join(shorter, "suffix")
+    both = wanted.select("gram", F.lit(True).alias("asked"), *(F.lit(0).cast("long").alias(c) for c in CLASSES)).union(levels[order].select("gram", F.lit(False), *CLASSES))
+    found = both.withColumn("context", F.shiftright("gram", 8)).repartition("context").groupBy("context", "gram").agg(F.max("asked").alias("asked"), *(F.sum(c).alias(c) for c in CLASSES))
+    context = Window.partitionBy("context")
+    sums = {f"{c}_total": F.sum(c).over(context) for c in CLASSES} | {f"{c}_spread": F.sum((F.col(c) > 0).cast("long")).over(context) for c in CLASSES}
+    known = found.withColumns(sums).filter("asked").withColumn("suffix", _suffix(order - 1)).join(shorter, "suffix")
 
     def chance(c: str) -> Column:
-        own = F.greatest(F.coalesce(F.col(c), F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{c}_spread") * F.col(f"{c}_below")
+        own = F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{c}_spread") * F.col(f"{c}_below")
         return F.when(F.col(f"{c}_total") > 0, own / F.col(f"{c}_total")).otherwise(F.col(f"{c}_below")).alias(c)
 
     return known.select("gram", *(chance(c) for c in CLASSES))

@@ -328,6 +328,16 @@ def test_toxicity_rates_whole_texts_by_contexts(spark):
         assert np.allclose(got, want, atol=1e-8)
 
 
+def test_chances_take_few_exchanges(spark):
+    """Each exchange is a stage, with threads and buffers that the driver holds."""
+    texts = spark.createDataFrame([(f"some text {i}", i % 2) for i in range(20)], "text string, toxic int")
+    counts = toxicity.ngram_counts(texts).localCheckpoint()
+    found = toxicity.chances(counts.select("gram"), toxicity.levels_of(counts))
+    exchanges = re.findall("[^t]Exchange (?:hash|range|Single)", found._jdf.queryExecution().executedPlan().toString())
+    assert len(exchanges) <= 8
+    assert found.count() == counts.count()
+
+
 def test_toxicity_hears_the_whole_text(spark):
     """Classes of the same words in another order: only what stands before a word tells them apart."""
     random.seed(6)
