@@ -24,18 +24,19 @@ def _finding(df: DataFrame, kind: str, scope: str, key, parties, detail=None, si
 
 
 def broken_wikilinks(entities: DataFrame, scope: str = "collection_id", suggest: bool = True) -> DataFrame:
-    """(scope, entity_id, link, candidates): links in notes and articles that no live name in scope answers.
+    """(scope, entity_id, link, candidates, n): links in notes and articles that no live name in scope answers.
 
-    Each once for an entity, whatever its case, in its first spelling; with the names of at least 0.72.
+    Each once for an entity, whatever its case, in its first spelling; with the names of at least 0.72 and their number,
+    which can be had without the names.
     """
     own = live(entities).filter(F.col(scope).isNotNull())
     links = extract_links(own.withColumn("_k", F.struct(scope, "id")), "_k", "notes", "codex_article").select(f"_k.{scope}", F.col("_k.id").alias("from_id"), "place", "link")
     first = links.groupBy(scope, "from_id", F.lower("link").alias("folded")).agg(F.min_by("link", "place").alias("link"))
     broken = resolve_links(first, own, scope).filter("entity_id is null").select(scope, F.col("from_id").alias("entity_id"), "link")
     if not suggest:
-        return broken.withColumn("candidates", F.array().cast("array<struct<similarity: double, id: string, name: string>>"))
-    near = best_match(broken.select(scope, F.col("link").alias("needle")), own, [scope], SUGGEST).select(scope, F.col("needle").alias("link"), "candidates")
-    return broken.join(near, [scope, "link"], "left").select(scope, "entity_id", "link", "candidates")
+        return broken.withColumns({"candidates": F.array().cast("array<struct<similarity: double, id: string, name: string>>"), "n": F.lit(0).cast("long")})
+    near = best_match(broken.select(scope, F.col("link").alias("needle")), own, [scope], SUGGEST).select(scope, F.col("needle").alias("link"), "candidates", "n")
+    return broken.join(near, [scope, "link"], "left").select(scope, "entity_id", "link", "candidates", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def stale_articles(entities: DataFrame) -> DataFrame:
