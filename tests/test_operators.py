@@ -386,3 +386,17 @@ def test_layout_packs_glyphs(spark):
     for glyphs in (spark.createDataFrame(rows, schema).coalesce(1), spark.createDataFrame(rows[::-1], schema).repartition(7)):
         assert {(r.doc_id, r.page_num): r.text for r in C.layout_pages(glyphs).collect()} == want
     assert C._runs(spark.createDataFrame(rows, schema).coalesce(1), ["doc_id", "page_num"]).count() == 5
+
+
+def test_glyphs_of_a_line_are_shuffled_as_its_text(spark):
+    """Ligatures, empty and unknown glyphs keep their places, and a line of like glyphs is one run."""
+    from loreloom.operators import chunking as C
+
+    rows = [(1, 1, 10 * n + i, ch, 10.0, False, -12.0 * n) for n, line in enumerate(("plain text", "more of it")) for i, ch in enumerate(line)]
+    rows += [(2, 1, i, ch, 10.0, None if i == 2 else False, 0.0) for i, ch in enumerate(["o", "ffi", "c", "", "e"])] + [(2, 1, 5, None, 10.0, False, 0.0), (2, 1, None, "x", None, False, 0.0)]
+    glyphs = spark.createDataFrame(rows, "doc_id long, page_num int, pos long, ch string, font_size double, is_bold boolean, y double").coalesce(1)
+    packed = {r.doc_id: r for r in C._runs(glyphs, ["doc_id", "page_num"]).collect()}
+    assert packed[1].text == ["plain text", "more of it"] and packed[1].sizes == [None, None] and packed[1].pos == [0, 10]
+    assert packed[2].text == ["offi", "c", "e\r", "x"] and packed[2].sizes == [[1, 3], None, [0, 1, 1], None]
+    for parts in (1, 4):
+        assert {r.doc_id: r.text for r in C.layout_pages(glyphs.repartition(parts)).collect()} == {1: "plain text\nmore of it\n", 2: "xoffice\n"}
