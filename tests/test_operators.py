@@ -400,3 +400,15 @@ def test_glyphs_of_a_line_are_shuffled_as_its_text(spark):
     assert packed[2].text == ["offi", "c", "e\r", "x"] and packed[2].sizes == [[1, 3], None, [0, 1, 1], None]
     for parts in (1, 4):
         assert {r.doc_id: r.text for r in C.layout_pages(glyphs.repartition(parts)).collect()} == {1: "plain text\nmore of it\n", 2: "xoffice\n"}
+
+
+def test_recall_cuts_up_again_what_was_found_only(spark, monkeypatch):
+    """The second time, only documents of the five chunks found for each question are cut up."""
+    from loreloom.plans import text_queries
+    from loreloom.plans.registry import Base
+
+    cut, seen = text_queries.C.chunk_documents, []
+    monkeypatch.setattr(text_queries.C, "chunk_documents", lambda docs: seen.append(docs) or cut(docs))
+    kb = Base(spark, "/root/testdata/sf0.001")
+    text_queries.v11(kb)
+    assert len(seen) == 2 and "rank" in seen[1].schema["doc_id"].dataType.fieldNames()
